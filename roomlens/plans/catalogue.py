@@ -1,11 +1,8 @@
-"""Registered queries of the telemetry operators, each with the SQL that gives the same rows."""
+"""All registered telemetry queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import series  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "hour_balanced_daily"
