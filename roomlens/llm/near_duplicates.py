@@ -7,9 +7,9 @@ equal are one node (a 64-bit fingerprint), so copies never meet pairwise. Links
 * small sets (up to the boundary): for each partner size the fixed-size subsets that a link needs are enumerated; two sets
   that share one link, so a bucket gives a star, not pairs;
 * larger sets: an inverted list for each shingle of the prefix that a link must touch, rare shingles first. A light list
-  (up to ``LIGHT`` sets) proposes pairs, filtered by size and position, verified exactly. Sets of heavy lists are joined
-  into heavy classes; a class is cut into blocks of bounded size, and only blocks of near sizes meet, each two in a task
-  of their own, which counts all intersections exactly and gives a spanning forest of its links.
+  (up to ``LIGHT`` sets) proposes pairs, filtered by size and position; a heavy list proposes a star. What is so connected is
+  a candidate class. A class is one task, or if large is cut into blocks of bounded size, of which only those of near sizes
+  meet, each two in a task of their own. A task counts all its intersections exactly and gives a spanning forest of links.
 
 The boundary is the size at which enumerating subsets stops being cheaper than prefix entries and their expected list work.
 Classes are connected components by rounds of large-star and small-star. The shingle order needs which shingles are common:
@@ -27,19 +27,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bound_batches, cut, mix, small_or_plain, utf8, window_hashes
+from .common import BROADCAST_ROWS, bound_batches, cut, small_or_plain, utf8, window_hashes
 
 SHINGLE, PERCENT = 3, 90
 #: A partition names a shingle as common from so many documents on; so many are kept at most (16 bytes each).
 LOCAL, COMMON = 4, 1 << 17
 #: Most sets of a light list; most sets and shingles of a block of a heavy class.
-LIGHT, BLOCK_SETS, BLOCK_SHINGLES = 32, 256, 400_000
+LIGHT, BLOCK_SETS, BLOCK_SHINGLES = 32, 512, 400_000
 #: Sizes over this are never enumerated; it bounds the table of sizes sent to the driver.
 SMALLEST_LARGE = 48
 
@@ -76,11 +75,13 @@ def fingerprint(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, ranks) of the common shingles, sorted by hash; a higher rank is more common."""
+def nodes_and_common(docs: DataFrame, shingle: int) -> DataFrame:
+    """One pass over the texts (i, t): a row (i, fp, n) for each document, and rows (s, k) of the shingles that a partition
+    has seen in at least ``LOCAL`` documents."""
+    id_type = dict(docs.dtypes)["i"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, have, keys, ns = [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, have, keys, ns, schema = [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), None
 
         def fold():
             nonlocal keys, ns
@@ -91,20 +92,31 @@ def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndar
             keys, at = np.unique(allk, return_inverse=True)
             ns = np.bincount(at, alln, len(keys)).astype(np.int64)
 
+        names = ["i", "fp", "n", "s", "k"]
         for b in batches:
-            for t in b.column(0).to_pylist():
-                s = shingle_set(t, shingle)
-                held.append(s)
-                have += len(s)
+            schema = b.schema.field(0).type
+            own = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            held += own
+            have += sum(map(len, own))
+            none = pa.nulls(len(b), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([fingerprint(x) if len(x) else None for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()), none, none], names)
             if have > 3_000_000:
                 fold()
                 held, have = [], 0
         if held:
             fold()
         on = ns >= LOCAL
-        yield pa.RecordBatch.from_arrays([pa.array(signed(keys[on])), pa.array(ns[on])], ["s", "n"])
+        if on.any():
+            none = pa.nulls(int(on.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(none), schema), none, none, pa.array(signed(keys[on])), pa.array(ns[on])], names)
 
-    top = texts.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "s").limit(COMMON).collect()
+    return docs.mapInArrow(run, f"i {id_type}, fp long, n long, s long, k long")
+
+
+def common_shingles(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ranks) of the common shingles, sorted by hash; a higher rank is more common."""
+    top = found.filter("s is not null").groupBy("s").agg(F.sum("k").alias("k")).orderBy(F.col("k").desc(), "s").limit(COMMON).collect()
     h = np.array([r["s"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], (len(h) - np.arange(len(h)))[order].astype(np.int64)
@@ -262,107 +274,105 @@ def block_links(sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, per
     return out
 
 
-def heavy_links(heavy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside heavy classes. ``heavy``: (node, label); ``sets``: (fp, n, s)."""
+def tasks(nodes: DataFrame, percent: int) -> DataFrame:
+    """Tasks of candidate classes. ``nodes``: (label, fp, rep, n). A class of bounded size is one task; a larger one is cut by
+    size step and hash into blocks of bounded size, and each two blocks of equal or next steps are a task (two linked sets
+    are at most one step apart). Rows: task key (label, pc, po, qc, qo), left (side of the first block), fp, rep, n."""
     step = math.log(100 / percent)
-    x = heavy.join(sets, heavy["node"] == sets["fp"]).select("label", "fp", "n", "s", F.floor(F.log("n") / step).cast("int").alias("c"))
-    x = cut(x)
+    whole = nodes.groupBy("label").agg(((F.count("*") <= BLOCK_SETS) & (F.sum("n") <= BLOCK_SHINGLES)).alias("one"))
+    x = nodes.join(whole, "label").withColumn("c", F.when(F.col("one"), 0).otherwise(F.floor(F.log("n") / step)).cast("int"))
     counts = x.groupBy("label", "c").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
-    ks = counts.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("ks"))
-    x = x.join(small_or_plain(ks), "label")
+    ks = counts.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("ks"))  # size steps: a few dozen
+    x = x.join(ks, "label")
     k = lambda d: F.coalesce(F.col("ks")[F.col("c") + d], F.lit(0))
-    own = F.pmod(F.xxhash64("fp"), k(0).cast("long")).cast("int")
-    x = x.withColumn("o", own)
+    x = x.withColumn("o", F.pmod(F.xxhash64("fp"), k(0).cast("long")).cast("int"))
     here = F.struct(F.col("c").alias("c"), F.col("o").alias("o"))
     to = lambda d: F.transform(F.sequence(F.lit(0), F.greatest(k(d) - 1, F.lit(0))), lambda j: F.struct((F.col("c") + d).alias("c"), j.cast("int").alias("o")))
-    others = F.flatten(F.array(to(0), F.when(k(-1) > 0, to(-1)).otherwise(F.slice(to(0), 1, 0)), F.when(k(1) > 0, to(1)).otherwise(F.slice(to(0), 1, 0))))
+    none = F.slice(to(0), 1, 0)
+    others = F.flatten(F.array(to(0), F.when(k(-1) > 0, to(-1)).otherwise(none), F.when(k(1) > 0, to(1)).otherwise(none)))
     dealt = x.withColumn("other", F.explode(others)).withColumn("p", F.least(here, F.col("other"))).withColumn("q", F.greatest(here, F.col("other")))
-    dealt = dealt.select("label", F.col("p.c").alias("pc"), F.col("p.o").alias("po"), F.col("q.c").alias("qc"), F.col("q.o").alias("qo"), (here == F.col("p")).alias("left"), "fp", "n", "s")
+    return dealt.select("label", F.col("p.c").alias("pc"), F.col("p.o").alias("po"), F.col("q.c").alias("qc"), F.col("q.o").alias("qo"), (here == F.col("p")).alias("left"), "fp", "rep", "n")
 
-    def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("fp")
-        if len(pdf) < 2:
-            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
-        links = block_links([np.frombuffer(b, np.uint64) for b in pdf["s"]], pdf["n"].to_numpy(np.int64), pdf["left"].to_numpy(bool), percent)
-        fp = pdf["fp"].to_numpy()
-        a = np.array(links, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"u": fp[a[:, 0]], "v": fp[a[:, 1]]})
 
-    return dealt.groupBy("label", "pc", "po", "qc", "qo").applyInPandas(task, "u long, v long")
+def links(dealt: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (u, v) of all tasks. ``texts``: (i, t). Sets are made from the texts of the representatives and meet once for
+    each task; Python holds one task at a time."""
+    spark = dealt.sparkSession
+    few = dealt.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    key = ["label", "pc", "po", "qc", "qo"]
+    rows = texts.join(F.broadcast(dealt) if few else dealt, F.col("i").eqNullSafe(F.col("rep"))).select(*key, "left", "fp", "t")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made: dict[bytes, tuple[int, bytes]] = {}
+            keep, s = [], []
+            for k, (fp, t) in enumerate(zip(b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True)):
+                if t not in made:
+                    x = shingle_set(t, shingle)
+                    made[t] = (fingerprint(x) if len(x) else 0, x.tobytes())
+                if made[t][0] == fp:  # a repeated id may bring another text
+                    keep.append(k)
+                    s.append(made[t][1])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(7)), pa.array(s, pa.binary())], [*key, "left", "fp", "s"])
+
+    kind = "label long, pc int, po int, qc int, qo int, left boolean, fp long, s binary"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.mapInArrow(sets_of, kind).repartition(parts, *key).sortWithinPartitions(*key, "fp")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def done() -> pa.RecordBatch:
+            fps = list(held)
+            s = [np.frombuffer(held[f][1], np.uint64) for f in fps]
+            got = block_links(s, np.array([len(x) for x in s], np.int64), np.array([held[f][0] for f in fps], bool), percent) if len(fps) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([fps[i] for i, _ in got], pa.int64()), pa.array([fps[j] for _, j in got], pa.int64())], ["u", "v"])
+
+        for b in batches:
+            cols = [b.column(k).to_pylist() for k in range(8)]
+            for *k, left, fp, s in zip(*cols, strict=True):
+                if k != now:
+                    if held:
+                        yield done()
+                    now, held = k, {}
+                held[fp] = (left, s)
+        if held:
+            yield done()
+
+    return met.mapInArrow(solve, "u long, v long")
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each document: id, n_shingles, component_id."""
     spark = docs.sparkSession
     bound_batches(spark)
-    texts = docs.select(utf8(text_col).alias("t"))
-    common = common_shingles(texts, shingle)
-    shared_ids = docs.select(F.col(id_col).alias("i"), utf8(text_col).alias("t"))
-    id_type = dict(docs.dtypes)[id_col]
-
-    def nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([fingerprint(x) if len(x) else None for x in s], pa.int64()), pa.array([len(x) for x in s], pa.int64())], ["i", "fp", "n"])
-
-    rows = cut(shared_ids.mapInArrow(nodes_of, f"i {id_type}, fp long, n long"))
+    texts = docs.select(F.col(id_col).alias("i"), utf8(text_col).alias("t"))
+    found = cut(nodes_and_common(texts, shingle))
+    common = common_shingles(found)
+    rows = found.filter("s is null").select("i", "fp", "n")
     # one row for each different set: its smallest id, and one text row that has it
     reps = cut(rows.filter("fp is not null").groupBy("fp").agg(F.min("i").alias("rep"), F.first("n").alias("n")))
     sizes = {r["n"]: r["k"] for r in reps.filter(F.col("n") <= SMALLEST_LARGE).groupBy("n").agg(F.count("*").alias("k")).collect()}
     small = boundary(sizes, percent, list_work=1.0)
 
     # single entries are most; they end in the count, only fuller buckets go on with their sets
-    entry = entries(texts, common, small, shingle, percent)
-    # one exchange by key serves both groupings and the join
+    entry = entries(texts.select("t"), common, small, shingle, percent)
+    # one exchange by key serves the grouping and the counts; a common list spills, it is not held
     dealt = entry.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
     grouped = dealt.groupBy("key", "kind", "fp").agg(F.first("n").alias("n"), F.min("at").alias("at"))
-    size = grouped.groupBy("key").agg(
-        F.count("*").alias("k"), F.min(F.when(F.col("kind") != 2, F.col("fp"))).alias("x"), F.min(F.when(F.col("kind") != 1, F.col("fp"))).alias("y"))
-    full = cut(grouped.join(size.filter("k > 1"), "key"))
+    own = Window.partitionBy("key")
+    full = cut(grouped.select("*", F.count("*").over(own).alias("k"), F.min(F.when(F.col("kind") != 2, F.col("fp"))).over(own).alias("x"),
+                              F.min(F.when(F.col("kind") != 1, F.col("fp"))).over(own).alias("y")).filter("k > 1"))
     sub = full.filter("kind <> 0")
     stars = sub.filter((F.col("kind") != 2) & F.col("y").isNotNull()).select(F.col("fp").alias("u"), F.col("y").alias("v")).unionByName(
         sub.filter((F.col("kind") != 1) & F.col("x").isNotNull()).select(F.col("fp").alias("u"), F.col("x").alias("v")))
     lists = full.filter("kind = 0")
     light = lists.filter(F.col("k") <= LIGHT).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "fp", "n"))).alias("sets"))
     pairs = cut(light_pairs(light, small, percent))
-    heavy = components(lists.filter(F.col("k") > LIGHT).select(F.col("fp").alias("u"), F.col("x").alias("v")))
-    heavy = cut(heavy)
-    # pairs inside one heavy class are verified there
-    h1, h2 = heavy.select(F.col("node").alias("u"), F.col("label").alias("lu")), heavy.select(F.col("node").alias("v"), F.col("label").alias("lv"))
-    pairs = cut(pairs.join(h1, "u", "left").join(h2, "v", "left").filter(F.col("lu").isNull() | F.col("lv").isNull() | (F.col("lu") != F.col("lv"))).select("u", "v"))
-    wanted = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).unionByName(heavy.select(F.col("node").alias("fp"))).distinct()
-    need_rows = cut(wanted.join(reps, "fp").select("fp", "rep", "n"))
-    few = need_rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    keys = need_rows.select("rep", F.col("fp").alias("want"))
-    found = shared_ids.join(F.broadcast(keys) if few else keys, F.col("i").eqNullSafe(F.col("rep"))).select("want", "t")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
-            ok = [w == (fingerprint(x) if len(x) else None) for w, x in zip(b.column(0).to_pylist(), s, strict=True)]
-            s = [x for x, o in zip(s, ok, strict=True) if o]  # a repeated id may bring another text
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([fingerprint(x) for x in s], pa.int64()), pa.array([len(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], ["fp", "n", "s"])
-
-    sets = cut(found.mapInArrow(sets_of, "fp long, n long, s binary"))
-    left, right = (sets.select(F.col("fp").alias(k), F.col("n").alias("n" + k), F.col("s").alias("s" + k)) for k in "uv")
-    both = pairs.join(left, "u").join(right, "v")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u, v, a, c = (b.column(k).to_pylist() for k in range(4))
-            ok = []
-            for x, y in zip(a, c, strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                ok.append(int((q[at] == p).sum()) * (100 + percent) >= percent * (len(p) + len(q)))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
-
-    links = both.select("u", "v", "su", "sv").mapInArrow(verify, "u long, v long")
-    edges = links.unionByName(stars).unionByName(heavy_links(heavy, sets, percent))
+    heavy = lists.filter(F.col("k") > LIGHT).select(F.col("fp").alias("u"), F.col("x").alias("v"))
+    nodes = components(pairs.unionByName(heavy)).join(reps, F.col("node") == F.col("fp")).select("label", "fp", "rep", "n")
+    edges = links(cut(tasks(cut(nodes), percent)), texts, shingle, percent).unionByName(stars)
     label = components(edges)
     known = label.join(reps, label["node"] == reps["fp"]).select("label", "fp", "rep")
     low = known.groupBy("label").agg(F.min("rep").alias("low"))
