@@ -2,8 +2,8 @@
 
 Markup is read into lines (the blocks of a page, white space folded, character references decoded), each with the zone in
 which it stands: the article, page furniture (menus, headers and footers outside an article, sidebars, forms, adverts,
-notices, reader comments), or neither. Pages are sorted by host, path, id and url; a page is paired with the pages next
-to it on its host, nearest path first. Lines of the pair are aligned by longest common subsequence and lines shared
+notices, reader comments), or neither. Pages are sorted by host, path, id and url; a page is paired with the ``PAIRED``
+pages next to it on its host, nearest path first. Lines of the pair are aligned by longest common subsequence and lines shared
 outside the article are deleted, as is furniture. Lines of the article stay: copies of one article on a host are no
 boilerplate. A neighbour that shares nearly all unzoned lines (``COPY_SHARE``) is a copy of the page and is passed over.
 If a page marks an article, unzoned lines that remain go too; else they are the text.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, cut
 from .urls import host_path
 
-#: Pages of one group, the share of equal lines that makes a neighbour a copy, neighbours tried on each side.
-CHUNK, COPY_SHARE, REACH = 64, 0.8, 3
+#: Pages of one group, the share of equal lines that makes a neighbour a copy, neighbours tried on each side, pages compared.
+CHUNK, COPY_SHARE, REACH, PAIRED = 64, 0.8, 3, 2
 
 ARTICLE, FURNITURE, OTHER = 2, 1, 0
 
@@ -143,14 +143,15 @@ def difference(own: list[tuple[str, int]], others: list[list[tuple[str, int]]])
     texts = [t for t, _ in own]
     free = [k for k, (_, z) in enumerate(own) if z == OTHER]
     gone: set[int] = set()
+    used = 0
     for other in others:
-        if not free:
+        if not free or used == PAIRED:
             break
         shared = set(common(texts, [t for t, _ in other])) & set(free)
         if len(shared) >= COPY_SHARE * len(free) and len(other) and len([1 for _, z in other if z == OTHER]) * COPY_SHARE <= len(shared) and len(free) > 1:
             continue
         gone |= shared
-        break
+        used += 1
     has_article = any(z == ARTICLE for _, z in own)
     keep = [t for k, (t, z) in enumerate(own) if z == ARTICLE or (z == OTHER and not has_article and k not in gone)]
     return "\n\n".join(keep)
@@ -203,7 +204,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     near = F.array_distinct(F.array(chunk, F.when(edge < REACH, chunk - 1).otherwise(chunk), F.when(edge >= CHUNK - REACH, chunk + 1).otherwise(chunk)))
     dealt = ranked.withColumn("c", F.explode(near))
 
-    def pair(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r", kind="stable").reset_index(drop=True)
         own = [list(zip(t, z, strict=True)) for t, z in zip(pdf["t"], pdf["z"], strict=True)]
         hosts, paths, rank = pdf["h"].tolist(), pdf["p"].tolist(), pdf["r"].tolist()

@@ -354,7 +354,8 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     """One row for each document: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all spans)."""
     m = find(docs.select(id_col, text_col), fit(docs, text_col=text_col), text_col=text_col, out="_p")
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    count = [F.size(F.filter("_p.base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of = lambda kind: F.size(F.filter("_p.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    count = [of(k) for k in KINDS]
     return m.select(id_col, *count, F.sha2(joined("_p.base").cast("binary"), 256).alias("base_sha256"), joined("_p.spans").alias("spans"))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, mix, small_or_plain, utf8, window_hashes, word_hashes
+from .common import bound_batches, cut, mix, small_or_plain, utf8, window_hashes, word_hashes
 
 #: Buckets of the hashed n-grams, and the count added to each bucket of both multinomials.
 BUCKETS, SMOOTHING = 1 << 15, 1.0
@@ -148,6 +148,7 @@ def report(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     ratio = fit_multinomials(docs, good, id_col=id_col, text_col=text_col)
     m = measure(docs.select(id_col, text_col), ratio, text_col=text_col, out="_q").select(id_col, "_q.*")
     m = m.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    m = cut(m)  # read twice: for the threshold and for the result
     cut_at = fit_threshold(m, labels, id_col=id_col, trusted_loss=trusted_loss)
     kept = ~F.col("base_failed") & (F.floor(F.col("score") / STEP) > F.lit(cut_at))
     return m.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")

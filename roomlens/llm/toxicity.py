@@ -51,7 +51,7 @@ def chain_marginals(e: np.ndarray, starts: np.ndarray, trans: np.ndarray) -> np.
     t = np.exp(trans)
     m = [np.full(size, x) for x in (t[0, 0], t[0, 1], t[1, 0], t[1, 1])]
     for x in m:
-        x[starts] = 1.0
+        x[starts] = x[n:] = 1.0
     m[1] *= psi
     m[3] *= psi
     a, b, c, d = (np.ascontiguousarray(x.reshape(lanes, LANE).T) for x in m)
