@@ -36,7 +36,7 @@ from .common import BROADCAST_ROWS, bound_batches, cut, small_or_plain, utf8, wi
 
 SHINGLE, PERCENT = 3, 90
 #: A partition names a shingle as common from so many documents on; so many are kept at most (16 bytes each).
-LOCAL, COMMON = 4, 1 << 17
+LOCAL, COMMON = 2, 1 << 20
 #: Most sets of a light list; most sets and shingles of a block of a heavy class.
 LIGHT, BLOCK_SETS, BLOCK_SHINGLES = 32, 512, 400_000
 #: Sizes over this are never enumerated; it bounds the table of sizes sent to the driver.
@@ -368,9 +368,17 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     stars = sub.filter((F.col("kind") != 2) & F.col("y").isNotNull()).select(F.col("fp").alias("u"), F.col("y").alias("v")).unionByName(
         sub.filter((F.col("kind") != 1) & F.col("x").isNotNull()).select(F.col("fp").alias("u"), F.col("x").alias("v")))
     lists = full.filter("kind = 0")
-    light = lists.filter(F.col("k") <= LIGHT).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "fp", "n"))).alias("sets"))
+    # a heavy list is first split by size: linked sets are at most one size step apart
+    step = math.log(100 / percent)
+    c = F.floor(F.log("n") / step).cast("int")
+    part = Window.partitionBy("key", "c")
+    split = lists.filter(F.col("k") > LIGHT).select("key", "fp", "n", "at", F.explode(F.array(c, c + 1)).alias("c"))
+    split = cut(split.select("*", F.count("*").over(part).alias("k"), F.min("fp").over(part).alias("x")))
+    packed = F.sort_array(F.collect_list(F.struct("at", "fp", "n"))).alias("sets")
+    light = lists.filter(F.col("k") <= LIGHT).groupBy("key").agg(packed).select("sets")
+    light = light.unionByName(split.filter(F.col("k").between(2, LIGHT)).groupBy("key", "c").agg(packed).select("sets"))
     pairs = cut(light_pairs(light, small, percent))
-    heavy = lists.filter(F.col("k") > LIGHT).select(F.col("fp").alias("u"), F.col("x").alias("v"))
+    heavy = split.filter(F.col("k") > LIGHT).select(F.col("fp").alias("u"), F.col("x").alias("v"))
     nodes = components(pairs.unionByName(heavy)).join(reps, F.col("node") == F.col("fp")).select("label", "fp", "rep", "n")
     edges = links(cut(tasks(cut(nodes), percent)), texts, shingle, percent).unionByName(stars)
     label = components(edges)
