@@ -1,0 +1,73 @@
+"""Audio frames: spectral features per medium, group thresholds, regime scores."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.num import logistic
+from .stats import robust_center_scale
+
+
+def spectral(frames: DataFrame, rate: float) -> DataFrame:
+    """Features of frames (media_id, frame, samples array<double>): rms, energy, zero-crossing rate, centroid, bandwidth,
+    rolloff (85 %), flatness. Each frame stands alone, so frames of one medium may be in any partition."""
+
+    def run(it):
+        for pdf in it:
+            rows = []
+            for s in pdf["samples"]:
+                x = np.asarray(s if s is not None else [], float)
+                if len(x) < 2:
+                    rows.append((0.0,) * 7)
+                    continue
+                mag = np.abs(np.fft.rfft(x * np.hanning(len(x))))
+                freq = np.fft.rfftfreq(len(x), 1 / rate)
+                total = mag.sum()
+                energy = float((x * x).sum())
+                sign = np.signbit(x)
+                zcr = float(np.mean(sign[1:] != sign[:-1]))
+                if total <= 0:
+                    rows.append((float(np.sqrt((x * x).mean())), energy, zcr, 0.0, 0.0, 0.0, 0.0))
+                    continue
+                centroid = float((freq * mag).sum() / total)
+                bandwidth = float(np.sqrt((((freq - centroid) ** 2) * mag).sum() / total))
+                rolloff = float(freq[np.searchsorted(np.cumsum(mag), 0.85 * total)])
+                flatness = float(np.exp(np.log(mag + 1e-12).mean()) / (mag.mean() + 1e-12))
+                rows.append((float(np.sqrt((x * x).mean())), energy, zcr, centroid, bandwidth, rolloff, flatness))
+            out = pd.DataFrame(rows, columns=["rms", "energy", "zero_crossing", "centroid", "bandwidth", "rolloff", "flatness"])
+            out.insert(0, "frame", pdf["frame"].to_numpy())
+            out.insert(0, "media_id", pdf["media_id"].to_numpy())
+            yield out
+
+    kind = dict(frames.dtypes)
+    cols = ", ".join(f"{c} double" for c in ("rms", "energy", "zero_crossing", "centroid", "bandwidth", "rolloff", "flatness"))
+    return frames.select("media_id", "frame", "samples").mapInPandas(run, f"media_id {kind['media_id']}, frame {kind['frame']}, {cols}")
+
+
+def above_group_quantile(df: DataFrame, keys: list[str], levels: dict[str, float]) -> DataFrame:
+    """For each column a boolean ``<column>_high``: at or above its group's quantile."""
+    q = df.groupBy(*keys).agg(*[F.percentile(c, p).alias(f"_q_{c}") for c, p in levels.items()])
+    x = df.join(q, keys)
+    return x.select(*df.columns, *[(F.col(c) >= F.col(f"_q_{c}")).alias(f"{c}_high") for c in levels])
+
+
+def regime_scores(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Dense, sparse and background scores from two axes: robust z, logistic between the 95th and 99th percentile."""
+    for c in (x, y):
+        s = robust_center_scale(df, [], c).select(F.col("center").alias("_c"), F.col("scale").alias("_s"))
+        df = df.crossJoin(F.broadcast(s)).withColumn(f"{c}_z", (F.col(c) - F.col("_c")) / F.col("_s")).drop("_c", "_s")  # one row
+    q = df.agg(*[F.percentile(f"{c}_z", F.array(F.lit(0.95), F.lit(0.99))).alias(f"_{c}") for c in (x, y)])
+    df = df.crossJoin(F.broadcast(q))
+    score = lambda c: logistic((F.col(f"{c}_z") - F.col(f"_{c}")[0]) / F.greatest(F.col(f"_{c}")[1] - F.col(f"_{c}")[0], F.lit(0.1)))
+    df = df.withColumn("dense", score(x)).withColumn("sparse", score(y))
+    df = df.withColumn("background", (1 - F.col("dense")) * (1 - F.col("sparse")))
+    return df.drop(f"_{x}", f"_{y}")
+
+
+def top_label(scores: dict[str, Column]) -> tuple[Column, Column]:
+    """(label of the highest score, first listed at ties; margin to the second)."""
+    a = F.sort_array(F.array(*[F.struct(s.alias("s"), F.lit(-k).alias("k"), F.lit(n).alias("n")) for k, (n, s) in enumerate(scores.items())]), asc=False)
+    return a[0]["n"], a[0]["s"] - a[1]["s"]

@@ -12,9 +12,11 @@ def robust_center_scale(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Median, and the largest of the scaled MAD, the scaled IQR, the population deviation and 1e-6."""
     v = df.filter(F.col(x).isNotNull())
     c = v.groupBy(*keys).agg(F.percentile(x, 0.5).alias("center"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.stddev_pop(x).alias("sd"))
-    mad = v.join(F.broadcast(c), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col(x) - F.col("center")), 0.5).alias("mad"))
+    with_center = v.join(F.broadcast(c), keys) if keys else v.crossJoin(F.broadcast(c))  # without keys: one row
+    mad = with_center.groupBy(*keys).agg(F.percentile(F.abs(F.col(x) - F.col("center")), 0.5).alias("mad"))
     scale = F.greatest(1.4826 * F.col("mad"), (F.col("q")[1] - F.col("q")[0]) / 1.349, F.col("sd"), F.lit(1e-6))
-    return c.join(F.broadcast(mad), keys).select(*keys, "center", scale.alias("scale"))
+    both = c.join(F.broadcast(mad), keys) if keys else c.crossJoin(F.broadcast(mad))
+    return both.select(*keys, "center", scale.alias("scale"))
 
 
 def average_rank(x: str, keys: list[str]) -> Column:
