@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 #: Arrow batches handed to Python hold at most so many rows and bytes, so a worker's memory is bounded.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 * 1024 * 1024
+BATCH_ROWS, BATCH_BYTES = 400, 8 * 1024 * 1024
 
 _WORD_TABLE = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20

@@ -101,7 +101,7 @@ def nodes_and_common(docs: DataFrame, shingle: int) -> DataFrame:
             none = pa.nulls(len(b), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([fingerprint(x) if len(x) else None for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()), none, none], names)
-            if have > 3_000_000:
+            if have > 1_000_000:
                 fold()
                 held, have = [], 0
         if held:
@@ -115,11 +115,22 @@ def nodes_and_common(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def common_shingles(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, ranks) of the common shingles, sorted by hash; a higher rank is more common."""
-    top = found.filter("s is not null").groupBy("s").agg(F.sum("k").alias("k")).orderBy(F.col("k").desc(), "s").limit(COMMON).collect()
-    h = np.array([r["s"] for r in top], np.int64).view(np.uint64)
+    """(hashes, ranks) of the common shingles, sorted by hash; a higher rank is more common. All shingles from the least count
+    on that leaves at most ``COMMON`` of them, found from the table of counts."""
+    counts = cut(found.filter("s is not null").groupBy("s").agg(F.sum("k").cast("int").alias("k")))
+    room, least = COMMON, 1 << 30
+    for r in sorted(counts.groupBy(F.least("k", F.lit(1 << 14)).alias("k")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["k"]
+    top = counts.filter(F.col("k") >= least).toArrow()
+    h, k = top.column("s").to_numpy().view(np.uint64), top.column("k").to_numpy()
+    order = np.lexsort((h, k))
+    rank = np.empty(len(h), np.int32)
+    rank[order] = np.arange(1, len(h) + 1)
     order = np.argsort(h)
-    return h[order], (len(h) - np.arange(len(h)))[order].astype(np.int64)
+    return h[order], rank[order]
 
 
 def ordered(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], take: int) -> np.ndarray:
