@@ -137,3 +137,15 @@ def long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = obs(spark, sf_dir).select("session_id", F.date_format("start_dt", "yyyy-MM").alias("month"), num.present(F.col("metric")).alias("metric"), num.present(F.col("quality")).alias("quality"))
     x = m.unpivot(["session_id", "month"], ["metric", "quality"], "kind", "v")
     return x.groupBy("session_id", "month", "kind").agg(F.round(F.avg("v"), 6).alias("mean"), F.count("v").alias("n"))
+
+
+@query()
+def room_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One nested timeline for each session: a frame a day with zones, risk score, phase and level."""
+    from ..operators import timeline, zones
+    from .series import markers
+
+    n = obs(spark, sf_dir).groupBy("session_id", F.col("start_dt").cast("date").alias("date"), "zone").agg(F.count("*").alias("n"))
+    risk = zones.risk(1 - F.col("mobility"), F.col("zone_imbalance"), 1 - F.col("zone_entropy"), F.col("drinking_fraction"))
+    d = timeline.document(timeline.frames(n, markers(spark, sf_dir).select("session_id", "date", risk.alias("risk")), "session_id", "date"), "session_id")
+    return d.select("session_id", F.size("timeline").alias("frames"), F.to_json("timeline").alias("timeline")).join(timeline.faults(d, "session_id"), "session_id")
