@@ -9,7 +9,8 @@ equal are one node (a 64-bit fingerprint), so copies never meet pairwise. Links
 * larger sets: an inverted list for each shingle of the prefix that a link must touch, rare shingles first. A light list
   (up to ``LIGHT`` sets) proposes pairs, filtered by size and position; a heavy list proposes a star. What is so connected is
   a candidate class. A class is one task, or if large is cut into blocks of bounded size, of which only those of near sizes
-  meet, each two in a task of their own. A task counts all its intersections exactly and gives a spanning forest of links.
+  meet, each two in a task of their own, which gives a spanning forest of its pairs. This is done twice: with parity
+  sketches, whose differing bits bound the difference of two sets from below, and in the classes that remain with the sets.
 
 The boundary is the size at which enumerating subsets stops being cheaper than prefix entries and their expected list work.
 Classes are connected components by rounds of large-star and small-star. The shingle order needs which shingles are common:
@@ -38,7 +39,7 @@ SHINGLE, PERCENT = 3, 90
 #: A partition names a shingle as common from so many documents on; so many are kept at most (16 bytes each).
 LOCAL, COMMON = 2, 1 << 20
 #: Most sets of a light list; most sets and shingles of a block of a heavy class.
-LIGHT, BLOCK_SETS, BLOCK_SHINGLES = 32, 512, 400_000
+LIGHT, BLOCK_SETS, BLOCK_SHINGLES = 32, 128, 400_000
 #: Sizes over this are never enumerated; it bounds the table of sizes sent to the driver.
 SMALLEST_LARGE = 48
 
@@ -75,9 +76,15 @@ def fingerprint(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of how many hashes fall on each of about half as many bits as the set has hashes (a power of two, 256 at least)."""
+    width = max(256, 1 << max(0, (len(s) // 2 - 1).bit_length()))
+    return np.packbits(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).tobytes()
+
+
 def nodes_and_common(docs: DataFrame, shingle: int) -> DataFrame:
-    """One pass over the texts (i, t): a row (i, fp, n) for each document, and rows (s, k) of the shingles that a partition
-    has seen in at least ``LOCAL`` documents."""
+    """One pass over the texts (i, t): a row (i, fp, n, sk) for each document, and rows (s, k) of the shingles that a
+    partition has seen in at least ``LOCAL`` documents."""
     id_type = dict(docs.dtypes)["i"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +99,7 @@ def nodes_and_common(docs: DataFrame, shingle: int) -> DataFrame:
             keys, at = np.unique(allk, return_inverse=True)
             ns = np.bincount(at, alln, len(keys)).astype(np.int64)
 
-        names = ["i", "fp", "n", "s", "k"]
+        names = ["i", "fp", "n", "sk", "s", "k"]
         for b in batches:
             schema = b.schema.field(0).type
             own = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
@@ -100,7 +107,8 @@ def nodes_and_common(docs: DataFrame, shingle: int) -> DataFrame:
             have += sum(map(len, own))
             none = pa.nulls(len(b), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([fingerprint(x) if len(x) else None for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()), none, none], names)
+                [b.column(0), pa.array([fingerprint(x) if len(x) else None for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()),
+                 pa.array([sketch(x) if len(x) else None for x in own], pa.binary()), none, none], names)
             if have > 1_000_000:
                 fold()
                 held, have = [], 0
@@ -109,9 +117,9 @@ def nodes_and_common(docs: DataFrame, shingle: int) -> DataFrame:
         on = ns >= LOCAL
         if on.any():
             none = pa.nulls(int(on.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(none), schema), none, none, pa.array(signed(keys[on])), pa.array(ns[on])], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(none), schema), none, none, pa.nulls(len(none), pa.binary()), pa.array(signed(keys[on])), pa.array(ns[on])], names)
 
-    return docs.mapInArrow(run, f"i {id_type}, fp long, n long, s long, k long")
+    return docs.mapInArrow(run, f"i {id_type}, fp long, n long, sk binary, s long, k long")
 
 
 def common_shingles(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -246,28 +254,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return low.select(F.col("u").alias("node"), "label").unionByName(low.select(F.col("label").alias("node"), "label").distinct())
 
 
-def block_links(sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links of a task's sets; ``left``: side of each set, pairs within one side count only if all
-    are of one side."""
-    m = len(sets)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), [len(s) for s in sets])
-    _, tok, times = np.unique(flat, return_inverse=True, return_counts=True)
-    every = int((times == m).sum())
-    on = (times[tok] > 1) & (times[tok] < m)
-    owner, tok = owner[on], tok[on]
-    used, tok = np.unique(tok, return_inverse=True)
-    both = np.zeros((m, m), np.float32)
-    for lo in range(0, len(used), 4096):
-        k = (tok >= lo) & (tok < lo + 4096)
-        x = np.zeros((m, min(4096, len(used) - lo)), np.float32)
-        x[owner[k], tok[k] - lo] = 1
-        both += x @ x.T
-    inter = both.astype(np.int64) + every
-    ok = inter * (100 + percent) >= percent * (sizes[:, None] + sizes[None, :])
+def forest(ok: np.ndarray, left: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs marked in ``ok``; between two sides, if both are there, only pairs across count."""
     if left.any() and not left.all():
-        ok &= left[:, None] != left[None, :]
-    root = list(range(m))
+        ok = ok & (left[:, None] != left[None, :])
+    root = list(range(len(ok)))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -276,7 +267,7 @@ def block_links(sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, per
         return x
 
     out = []
-    for i in range(m):
+    for i in range(len(ok)):
         for j in np.flatnonzero(ok[i, :i]).tolist():
             a, b = find(i), find(j)
             if a != b:
@@ -285,10 +276,47 @@ def block_links(sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, per
     return out
 
 
+def possible(sketches: list[bytes], n: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs that sizes and sketches allow. Bits that differ are at most the elements that differ, and a link allows so
+    many of these; a wider sketch is folded onto a narrower one by exclusive or."""
+    width = np.array([8 * len(x) for x in sketches])
+    bits = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in sketches]
+    size = n[:, None] + n[None, :]
+    allow = size - 2 * -(-percent * size // (100 + percent))
+    ok = np.zeros((len(n), len(n)), bool)
+    for w in np.unique(width):
+        rows = np.flatnonzero(width >= w)
+        x = np.array([np.bitwise_xor.reduce(bits[k].reshape(-1, w), axis=0) for k in rows], np.float32)
+        ones = x.sum(1)
+        differ = ones[:, None] + ones[None, :] - 2 * (x @ x.T)
+        here = np.minimum(width[rows][:, None], width[rows][None, :]) == w
+        ok[np.ix_(rows, rows)] |= here & (differ <= allow[np.ix_(rows, rows)])
+    return ok & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+
+
+def linked(sets: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs that link, by exact intersections: products of the incidence matrix of the shingles that some, not all, share."""
+    m = len(sets)
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(m), n)
+    _, tok, times = np.unique(flat, return_inverse=True, return_counts=True)
+    every = int((times == m).sum())
+    on = (times[tok] > 1) & (times[tok] < m)
+    owner, tok = owner[on], tok[on]
+    used, tok = np.unique(tok, return_inverse=True)
+    both = np.zeros((m, m), np.float32)
+    for lo in range(0, len(used), 4096):
+        k = (tok >= lo) & (tok < lo + 4096)
+        x = np.zeros((m, min(4096, len(used) - lo)), np.float32)
+        x[owner[k], tok[k] - lo] = 1
+        both += x @ x.T
+    return (both.astype(np.int64) + every) * (100 + percent) >= percent * (n[:, None] + n[None, :])
+
+
 def tasks(nodes: DataFrame, percent: int) -> DataFrame:
-    """Tasks of candidate classes. ``nodes``: (label, fp, rep, n). A class of bounded size is one task; a larger one is cut by
+    """Tasks of candidate classes. ``nodes``: (label, fp, n, rest). A class of bounded size is one task; a larger one is cut by
     size step and hash into blocks of bounded size, and each two blocks of equal or next steps are a task (two linked sets
-    are at most one step apart). Rows: task key (label, pc, po, qc, qo), left (side of the first block), fp, rep, n."""
+    are at most one step apart). Rows: task key (label, pc, po, qc, qo), left (side of the first block), fp, n, rest."""
     step = math.log(100 / percent)
     whole = nodes.groupBy("label").agg(((F.count("*") <= BLOCK_SETS) & (F.sum("n") <= BLOCK_SHINGLES)).alias("one"))
     x = nodes.join(whole, "label").withColumn("c", F.when(F.col("one"), 0).otherwise(F.floor(F.log("n") / step)).cast("int"))
@@ -302,56 +330,62 @@ def tasks(nodes: DataFrame, percent: int) -> DataFrame:
     none = F.slice(to(0), 1, 0)
     others = F.flatten(F.array(to(0), F.when(k(-1) > 0, to(-1)).otherwise(none), F.when(k(1) > 0, to(1)).otherwise(none)))
     dealt = x.withColumn("other", F.explode(others)).withColumn("p", F.least(here, F.col("other"))).withColumn("q", F.greatest(here, F.col("other")))
-    return dealt.select("label", F.col("p.c").alias("pc"), F.col("p.o").alias("po"), F.col("q.c").alias("qc"), F.col("q.o").alias("qo"), (here == F.col("p")).alias("left"), "fp", "rep", "n")
+    return dealt.select("label", F.col("p.c").alias("pc"), F.col("p.o").alias("po"), F.col("q.c").alias("qc"), F.col("q.o").alias("qo"), (here == F.col("p")).alias("left"), "fp", "n", "rest")
 
 
-def links(dealt: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (u, v) of all tasks. ``texts``: (i, t). Sets are made from the texts of the representatives and meet once for
-    each task; Python holds one task at a time."""
-    spark = dealt.sparkSession
-    few = dealt.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    key = ["label", "pc", "po", "qc", "qo"]
-    rows = texts.join(F.broadcast(dealt) if few else dealt, F.col("i").eqNullSafe(F.col("rep"))).select(*key, "left", "fp", "t")
+KEY = ["label", "pc", "po", "qc", "qo"]
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made: dict[bytes, tuple[int, bytes]] = {}
-            keep, s = [], []
-            for k, (fp, t) in enumerate(zip(b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True)):
-                if t not in made:
-                    x = shingle_set(t, shingle)
-                    made[t] = (fingerprint(x) if len(x) else 0, x.tobytes())
-                if made[t][0] == fp:  # a repeated id may bring another text
-                    keep.append(k)
-                    s.append(made[t][1])
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(7)), pa.array(s, pa.binary())], [*key, "left", "fp", "s"])
 
-    kind = "label long, pc int, po int, qc int, qo int, left boolean, fp long, s binary"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.mapInArrow(sets_of, kind).repartition(parts, *key).sortWithinPartitions(*key, "fp")
+def solve(rows: DataFrame, kernel) -> DataFrame:
+    """Edges (u, v): a spanning forest of each task's pairs by ``kernel(payloads, sizes)``. ``rows``: (task key, left, fp, n,
+    load binary). A task's rows meet sorted in one partition; Python holds one task at a time."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.select(*KEY, "left", "fp", "n", "load").repartition(parts, *KEY).sortWithinPartitions(*KEY, "fp")
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
 
         def done() -> pa.RecordBatch:
-            fps = list(held)
-            s = [np.frombuffer(held[f][1], np.uint64) for f in fps]
-            got = block_links(s, np.array([len(x) for x in s], np.int64), np.array([held[f][0] for f in fps], bool), percent) if len(fps) > 1 else []
+            fps, got = list(held), []
+            if len(fps) > 1:
+                left, n, load = zip(*held.values(), strict=True)
+                got = forest(kernel(list(load), np.array(n, np.int64)), np.array(left, bool))
             return pa.RecordBatch.from_arrays([pa.array([fps[i] for i, _ in got], pa.int64()), pa.array([fps[j] for _, j in got], pa.int64())], ["u", "v"])
 
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(8)]
-            for *k, left, fp, s in zip(*cols, strict=True):
+            cols = [b.column(k).to_pylist() for k in range(9)]
+            for *k, left, fp, n, load in zip(*cols, strict=True):
                 if k != now:
                     if held:
                         yield done()
                     now, held = k, {}
-                held[fp] = (left, s)
+                held[fp] = (left, n, load)
         if held:
             yield done()
 
-    return met.mapInArrow(solve, "u long, v long")
+    return met.mapInArrow(run, "u long, v long")
+
+
+def with_sets(dealt: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Task rows with their sets, made from the texts (i, t) of the representatives."""
+    few = dealt.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = texts.join(F.broadcast(dealt) if few else dealt, F.col("i").eqNullSafe(F.col("rest"))).select(*KEY, "left", "fp", "n", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made: dict[bytes, tuple[int, bytes]] = {}
+            keep, s = [], []
+            for k, (fp, t) in enumerate(zip(b.column(6).to_pylist(), b.column(8).to_pylist(), strict=True)):
+                if t not in made:
+                    x = shingle_set(t, shingle)
+                    made[t] = (fingerprint(x) if len(x) else 0, x.tobytes())
+                if made[t][0] == fp:  # a repeated id may bring another text
+                    keep.append(k)
+                    s.append(made[t][1])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(8)), pa.array(s, pa.binary())], [*KEY, "left", "fp", "n", "load"])
+
+    return rows.mapInArrow(run, "label long, pc int, po int, qc int, qo int, left boolean, fp long, n long, load binary")
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -361,9 +395,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).alias("i"), utf8(text_col).alias("t"))
     found = cut(nodes_and_common(texts, shingle))
     common = common_shingles(found)
-    rows = found.filter("s is null").select("i", "fp", "n")
+    rows = found.filter("s is null").select("i", "fp", "n", "sk")
     # one row for each different set: its smallest id, and one text row that has it
-    reps = cut(rows.filter("fp is not null").groupBy("fp").agg(F.min("i").alias("rep"), F.first("n").alias("n")))
+    reps = cut(rows.filter("fp is not null").groupBy("fp").agg(F.min("i").alias("rep"), F.first("n").alias("n"), F.first("sk").alias("sk")))
     sizes = {r["n"]: r["k"] for r in reps.filter(F.col("n") <= SMALLEST_LARGE).groupBy("n").agg(F.count("*").alias("k")).collect()}
     small = boundary(sizes, percent, list_work=1.0)
 
@@ -390,14 +424,18 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     light = light.unionByName(split.filter(F.col("k").between(2, LIGHT)).groupBy("key", "c").agg(packed).select("sets"))
     pairs = cut(light_pairs(light, small, percent))
     heavy = split.filter(F.col("k") > LIGHT).select(F.col("fp").alias("u"), F.col("x").alias("v"))
-    nodes = components(pairs.unionByName(heavy)).join(reps, F.col("node") == F.col("fp")).select("label", "fp", "rep", "n")
-    edges = links(cut(tasks(cut(nodes), percent)), texts, shingle, percent).unionByName(stars)
+    # candidate classes are first cut down by sketches, a hundredth of the sets' size, then by the sets themselves
+    wide = components(pairs.unionByName(heavy)).join(reps, F.col("node") == F.col("fp")).select("label", "fp", "n", F.col("sk").alias("rest"))
+    near = solve(tasks(cut(wide), percent).withColumnRenamed("rest", "load"), lambda x, n: possible(x, n, percent))
+    narrow = components(near).join(reps, F.col("node") == F.col("fp")).select("label", "fp", "n", F.col("rep").alias("rest"))
+    exact = with_sets(cut(tasks(cut(narrow), percent)), texts, shingle)
+    edges = solve(exact, lambda x, n: linked([np.frombuffer(b, np.uint64) for b in x], n, percent)).unionByName(stars)
     label = components(edges)
     known = label.join(reps, label["node"] == reps["fp"]).select("label", "fp", "rep")
     low = known.groupBy("label").agg(F.min("rep").alias("low"))
-    linked = known.join(low, "label").select("fp", "low")
-    ids = reps.join(linked, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
-    return rows.join(ids, "fp", "left").select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "i").alias("component_id"))
+    of_class = known.join(low, "label").select("fp", "low")
+    ids = reps.join(of_class, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
+    return rows.drop("sk").join(ids, "fp", "left").select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "i").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
