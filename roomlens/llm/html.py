@@ -36,7 +36,7 @@ ARTICLE, FURNITURE, OTHER = 2, 1, 0
 
 #: Elements whose content is no text, page furniture, and elements inside a line (fixed names of HTML).
 RAW = ("script", "style", "template", "noscript", "textarea", "svg", "iframe", "title")
-ASIDE = ("nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "figcaption", "head")
+ASIDE = ("nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "head")
 INLINE = ("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike "
           "strong sub sup time tt u var wbr").split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
@@ -95,12 +95,11 @@ def lines(page: str) -> list[tuple[str, int]]:
         if name in _VOID:
             continue
         inside = zone
-        if name in ("article", "main"):
-            inside = zone if zone == FURNITURE else ARTICLE
-        elif name in _ASIDE and not (name == "header" and zone == ARTICLE):
-            inside = FURNITURE
-        elif m[3] and zone != FURNITURE and any(MARKS.search(x) for a in _ATTR.findall(m[3]) for x in a if x):
+        marked = bool(m[3]) and zone != FURNITURE and any(MARKS.search(x) for a in _ATTR.findall(m[3]) for x in a if x)
+        if marked or (name in _ASIDE and not (name == "header" and zone == ARTICLE)):
             inside = FURNITURE
+        elif name in ("article", "main") and zone != FURNITURE:
+            inside = ARTICLE
         if inside != zone or any(n == name for n, _ in stack):
             stack.append((name, zone))
             zone = inside
