@@ -1,8 +1,9 @@
-"""Token ids by the public tokenizers, with a cache of what a whitespace-free piece encodes to.
+"""Token ids by the public tokenizers, with a cache of what a piece without spaces encodes to.
 
-Both vocabularies split a text before the merges and no split-off part crosses a single space or line feed that
-stands between two other characters, so such a text may be encoded piece by piece with the same ids. Texts with runs
-of white space at those places go to the library whole. Ids fit 16 bits.
+Neither vocabulary joins anything over a single space or line feed that stands between two other characters, so such a
+text may be encoded piece by piece with the same ids. Where spaces count (``leading_space``), a piece keeps the space
+before it, and texts with runs of white space or white space at an end go to the library whole; where white space is
+dropped, every text is encoded by pieces. Ids fit 16 bits.
 """
 
 from __future__ import annotations
@@ -10,10 +11,14 @@ from __future__ import annotations
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces kept in a worker's cache (about 100 bytes each); the cache starts anew beyond it.
-CACHE_PIECES = 700_000
+#: Pieces kept in a worker's cache (about 200 bytes each). Beyond it only short ones, the common ones, stay; if these are
+#: more than half, none.
+CACHE_PIECES, SHORT = 400_000, 7
 
 
+#: Marks a piece without a space before it.
+BARE = "\0"
+
 #: ASCII signs that both patterns split from a letter before them.
 TAIL = '.,;:!?#$%&*|<>()"'
 
@@ -26,6 +31,8 @@ class PieceTokenizer:
         self.tok.encode_special_tokens = True
         self.lead = " " if leading_space else ""
         self.cache: dict[str, bytes] = {}
+        self.feed = self.whole(["\n"])[0][:2] if leading_space else b""
+        self.feed = int.from_bytes(self.feed, "little")
         self.edge = np.zeros(1 << 16, bool)  # ids that begin a piece (leading space) or end a word (word ends)
         for word, k in self.tok.get_vocab().items():
             self.edge[k] = word.startswith("\u0120") if leading_space else word.endswith("</w>")
@@ -34,58 +41,76 @@ class PieceTokenizer:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u2").tobytes() for x in found]
 
-    def _together(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters only, encoded as one text and cut where words begin or end."""
+    def _together(self, words: list[str], apart: str) -> list[bytes]:
+        """Ids of words of letters only, encoded as one text and cut between the words."""
         if not words:
             return []
-        ids = np.frombuffer(self.whole([self.lead + " ".join(words)])[0], "<u2")
-        at = np.flatnonzero(self.edge[ids]) + (0 if self.lead else 1)
-        cut = [*at.tolist(), len(ids)] if self.lead else [0, *at.tolist()]
-        if len(cut) != len(words) + 1 or cut[0] or cut[-1] != len(ids):
-            return self.whole([self.lead + w for w in words])
+        bare = self.lead and apart == "\n"  # words without the space before them
+        ids = np.frombuffer(self.whole([apart.join(words) if bare or not self.lead else self.lead + self.lead.join(words)])[0], "<u2")
+        if bare:
+            at = np.flatnonzero(ids == self.feed)
+            lo, hi = [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]
+        elif self.lead:
+            lo = np.flatnonzero(self.edge[ids]).tolist()
+            hi = [*lo[1:], len(ids)]
+        else:
+            hi = (np.flatnonzero(self.edge[ids]) + 1).tolist()
+            lo = [0, *hi[:-1]]
+        if len(lo) != len(words) or lo[0] or hi[-1] != len(ids):
+            return self.whole([w if bare else self.lead + w for w in words])
         raw = ids.tobytes()
-        return [raw[2 * a : 2 * b] for a, b in zip(cut, cut[1:])]
+        return [raw[2 * a : 2 * b] for a, b in zip(lo, hi, strict=True)]
 
     def _learn(self, todo: list[str]) -> None:
-        cache, lead, odd, split = self.cache, self.lead, [], []
-        words: dict[str, None] = {}
+        """Encode pieces: letters with a tail of signs from their two parts, others by themselves."""
+        cache, lead = self.cache, self.lead
+        odd: dict[str, None] = {}
+        spaced: dict[str, None] = {}
+        bare: dict[str, None] = {}
+        split = []
         for x in todo:
             core = x.rstrip(TAIL)
-            if core.isalpha():
-                tail = x[len(core) :]
+            first = lead and x[0] == BARE
+            if core[1:].isalpha() if first else core.isalpha():
                 if core not in cache:
-                    words[core] = None
-                if tail:
-                    split.append((x, core, "\0" + tail if lead else tail))
-                    if split[-1][2] not in cache:
-                        odd.append(split[-1][2])
+                    (bare if first else spaced)[core] = None
+                if len(core) < len(x):
+                    tail = BARE + x[len(core) :] if lead else x[len(core) :]
+                    split.append((x, core, tail))
+                    if tail not in cache:
+                        odd[tail] = None
             else:
-                odd.append(x)
-        odd = list(dict.fromkeys(odd))
-        raw = [x[1:] if lead and x[0] == "\0" else x if x[0] == "\n" else lead + x for x in odd]
-        cache.update(zip(odd, self.whole(raw), strict=True))
-        cache.update(zip(words, self._together(list(words)), strict=True))
+                odd[x] = None
+        cache.update(zip(odd, self.whole([x if x == "\n" else x[1:] if lead and x[0] == BARE else lead + x for x in odd]), strict=True))
+        cache.update(zip(spaced, self._together(list(spaced), " "), strict=True))
+        cache.update(zip(bare, self._together([x[1:] for x in bare], "\n"), strict=True))
         for x, core, tail in split:
             cache[x] = cache[core] + cache[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts, missing, slow = [], set(), []
         if len(self.cache) > CACHE_PIECES:
-            self.cache = {}
-        have = self.cache
+            self.cache = {k: v for k, v in self.cache.items() if len(k) <= SHORT}
+            if len(self.cache) > CACHE_PIECES // 2:
+                self.cache = {}
+        self.cache[""] = b""
+        parts: list[list[str] | None] = []
+        slow, seen = [], set()
         for k, t in enumerate(texts):
-            p = t.replace("\n", " \n").split(" ")
-            if "" in p or "\n" in p or "\0" in t:
+            if not self.lead:
+                p = t.replace("\n", " ").split(" ")
+            elif not t or t[0] in " \n" or t[-1] in " \n" or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or BARE in t:
                 parts.append(None)
                 slow.append(k)
                 continue
-            if self.lead:
-                p[0] = "\0" + p[0]  # the first piece has no space before it
+            else:
+                p = (BARE + t).replace("\n", " \n " + BARE).split(" ")
             parts.append(p)
-            missing.update([x for x in p if x not in have])
+            seen.update(p)
+        have = self.cache
+        missing = [x for x in seen if x not in have]
         if missing:
-            self._learn(list(missing))
-        get = self.cache.__getitem__
+            self._learn(missing)
+        get = have.__getitem__
         out = [b"" if p is None else b"".join(map(get, p)) for p in parts]
         if slow:
             for k, ids in zip(slow, self.whole([texts[k] for k in slow]), strict=True):
