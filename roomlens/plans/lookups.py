@@ -72,7 +72,7 @@ def composite_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {OBS_SQL}, {HOURLY_B}, j AS (SELECT a.date, a.daily_mean AS x, b.daily_mean AS y FROM daily a JOIN daily b ON a.date = b.date AND a.session_id = 0 AND b.session_id = 1),
 r AS (SELECT rank() OVER (ORDER BY x) + (COUNT(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (COUNT(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM j)
-SELECT COUNT(*) AS n, ROUND(corr(rx, ry), 6) AS rho FROM r""")
+SELECT COUNT(*) AS n, ROUND(corr(rx, ry), 6) AS rho FROM r HAVING COUNT(*) > 0""")
 def rank_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of two sessions' daily series over their common dates."""
     d = balance.by_session(obs(spark, sf_dir))

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from roomlens.plans import catalogue
@@ -13,7 +14,7 @@ def rows(df):
     df = df[sorted(df.columns)]
 
     def plain(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return None
         if isinstance(x, bool):
             return str(x)
