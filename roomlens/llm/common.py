@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,18 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def trim() -> None:
+    """Give memory back to the system where a partition ends: Python workers are reused by later stages and would keep the
+    most that any stage needed, tokenizer caches included. Not called between partitions that encode."""
+    tokens = sys.modules.get("roomlens.llm.tokens")
+    if tokens is not None:
+        tokens._OPEN.clear()
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
 def small_or_plain(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is (a shuffled join follows)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

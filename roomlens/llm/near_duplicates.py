@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bound_batches, cut, small_or_plain, utf8, window_hashes
+from .common import BROADCAST_ROWS, bound_batches, cut, small_or_plain, trim, utf8, window_hashes
 
 SHINGLE, PERCENT = 3, 90
 #: A partition names a shingle as common from so many documents on; so many are kept at most (16 bytes each).
@@ -109,7 +109,7 @@ def nodes_and_common(docs: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([fingerprint(x) if len(x) else None for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()),
                  pa.array([sketch(x) if len(x) else None for x in own], pa.binary()), none, none], names)
-            if have > 1_000_000:
+            if have > 500_000:
                 fold()
                 held, have = [], 0
         if held:
@@ -118,6 +118,8 @@ def nodes_and_common(docs: DataFrame, shingle: int) -> DataFrame:
         if on.any():
             none = pa.nulls(int(on.sum()), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.nulls(len(none), schema), none, none, pa.nulls(len(none), pa.binary()), pa.array(signed(keys[on])), pa.array(ns[on])], names)
+        held.clear()
+        trim()
 
     return docs.mapInArrow(run, f"i {id_type}, fp long, n long, sk binary, s long, k long")
 
@@ -217,6 +219,8 @@ def entries(texts: DataFrame, common, small: int, shingle: int, percent: int) ->
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key, pa.int64()), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(at, pa.int32()), pa.array(kind, pa.int8())],
                 ["key", "fp", "n", "at", "kind"])
+        seen.clear()
+        trim()
 
     return texts.mapInArrow(run, "key long, fp long, n int, at int, kind byte")
 
@@ -362,6 +366,8 @@ def solve(rows: DataFrame, kernel) -> DataFrame:
                 held[fp] = (left, n, load)
         if held:
             yield done()
+        held = {}
+        trim()
 
     return met.mapInArrow(run, "u long, v long")
 
@@ -384,6 +390,7 @@ def with_sets(dealt: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
                     s.append(made[t][1])
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(8)), pa.array(s, pa.binary())], [*KEY, "left", "fp", "n", "load"])
+        trim()
 
     return rows.mapInArrow(run, "label long, pc int, po int, qc int, qo int, left boolean, fp long, n long, load binary")
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, trim
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)
@@ -345,6 +345,7 @@ def find(docs: DataFrame, net: Net | None, *, text_col: str = "text", out: str =
             more = added_spans(shared.value, list(texts), base)
             pack = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in spans]
             yield pd.DataFrame({"base": [pack(b) for b in base], "spans": [pack(sorted(b + m)) for b, m in zip(base, more, strict=True)]})
+        trim()
 
     one = "array<struct<kind:string,start:long,end:long>>"
     return docs.withColumn(out, F.pandas_udf(run, f"base {one}, spans {one}")(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WORD_TABLE, alnum_words, bound_batches, cut, held_out, utf8, word_hashes
+from .common import _WORD_TABLE, alnum_words, bound_batches, cut, held_out, trim, utf8, word_hashes
 
 TOXIC_DOCS, CLEAN_DOCS = 2000, 4000
 #: A window of training words, and how many windows a training document gives at most.
@@ -260,6 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             words, h, starts = stream(b.column(0).to_pylist())
             x = doc_features(chain_marginals(emissions(m, h, starts), starts, m["trans"]), words)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), b.column(1)], ["a", "b", "y"])
+        trim()
 
     got = sorted((r["a"], r["b"], r["y"]) for r in sample.mapInArrow(feats, "a double, b double, y int").collect())
     # the sample holds toxic documents at another rate than the labels: weigh by shifting the bias
@@ -289,6 +290,7 @@ def tag(docs: DataFrame, model: dict, *, text_col: str = "text", out: str = "tox
                 spans.append([{"start": a, "end": b} for a, b in offsets(bytes(t), on)] if on.any() else [])
                 k += len(own)
             yield pd.DataFrame({"score": score.round(9), "max_marginal": x[:, 0], "spans": spans})
+        trim()
 
     kind = "score double, max_marginal double, spans array<struct<start:long,end:long>>"
     return docs.withColumn(out, F.pandas_udf(run, kind)(utf8(text_col)))
