@@ -20,13 +20,15 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut
+from .common import bound_batches, cut, small_or_plain
 from .urls import host_path
 
 #: Pages of one group, the share of equal lines that makes a neighbour a copy, neighbours tried on each side, pages compared.
@@ -107,12 +109,12 @@ def lines(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def common(a: list[str], b: list[str]) -> list[int]:
+def common(a: list, b: list) -> list[int]:
     """Places in ``a`` of one longest common subsequence with ``b`` (bit-parallel rows, then a walk back)."""
     both = set(a) & set(b)
     pa_ = [k for k, x in enumerate(a) if x in both]
     pb = [x for x in b if x in both]
-    where: dict[str, int] = {}
+    where: dict = {}
     for j, x in enumerate(pb):
         where[x] = where.get(x, 0) | (1 << j)
     full = (1 << len(pb)) - 1
@@ -137,23 +139,26 @@ def common(a: list[str], b: list[str]) -> list[int]:
     return out[::-1]
 
 
-def difference(own: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -> str:
-    """The main text of a page against the pages near it, nearest first."""
-    texts = [t for t, _ in own]
-    free = [k for k, (_, z) in enumerate(own) if z == OTHER]
+def shared_lines(own: list, zones: bytes, others: list[tuple[list, bytes]]) -> list[int]:
+    """Places of unzoned lines of a page that the pages near it share, nearest first; lines may be given by their hashes."""
+    free = {k for k, z in enumerate(zones) if z == OTHER}
     gone: set[int] = set()
     used = 0
-    for other in others:
+    for other, their in others:
         if not free or used == PAIRED:
             break
-        shared = set(common(texts, [t for t, _ in other])) & set(free)
-        if len(shared) >= COPY_SHARE * len(free) and len(other) and len([1 for _, z in other if z == OTHER]) * COPY_SHARE <= len(shared) and len(free) > 1:
+        shared = set(common(own, other)) & free
+        if len(free) > 1 and len(shared) >= COPY_SHARE * max(len(free), their.count(OTHER)):
             continue
         gone |= shared
         used += 1
+    return sorted(gone)
+
+
+def main_text(own: list[tuple[str, int]], gone: set[int]) -> str:
+    """The article's lines; where no article is marked, the unzoned lines that are not ``gone``."""
     has_article = any(z == ARTICLE for _, z in own)
-    keep = [t for k, (t, z) in enumerate(own) if z == ARTICLE or (z == OTHER and not has_article and k not in gone)]
-    return "\n\n".join(keep)
+    return "\n\n".join(t for k, (t, z) in enumerate(own) if z == ARTICLE or (z == OTHER and not has_article and k not in gone))
 
 
 def _alike(a: str, b: str) -> int:
@@ -171,21 +176,21 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     bound_batches(spark)
     host, path = host_path(F.col("u"))
     base = pages.select(F.col(id_col).alias("i"), F.col(url_col).cast("string").alias("u"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("x"))
-    base = base.select("i", "u", host.alias("h"), path.alias("p"), "x")
+    base = base.withColumn("k", F.xxhash64(F.col("i").cast("string"), "u", "x"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [lines(t) for t in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:4], pa.array([[t for t, _ in x] for x in own], pa.list_(pa.string())), pa.array([bytes(z for _, z in x) for x in own], pa.binary())],
-                ["i", "u", "h", "p", "t", "z"])
+            own = [lines(t) for t in b.column(5).to_pylist()]
+            hashes = [np.fromiter((xxhash.xxh3_64_intdigest(t) for t, _ in x), np.uint64, len(x)).tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(hashes, pa.binary()), pa.array([bytes(z for _, z in x) for x in own], pa.binary())], ["k", "i", "u", "h", "p", "t", "z"])
 
     id_type = dict(base.dtypes)["i"]
-    kind = f"i {id_type}, u string, h string, p string, t array<string>, z binary"
-    order = ["h", "p", "i", "u"]
-    read_pages = base.mapInArrow(read, kind)
+    kind = f"k long, i {id_type}, u string, h string, p string, t binary, z binary"
+    order = ["h", "p", "i", "u", "k"]
+    # only hashes and zones of lines are sorted and paired; the texts are read again where they are cut
+    light = base.select("k", "i", "u", host.alias("h"), path.alias("p"), "x").mapInArrow(read, kind)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = read_pages.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = light.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("k", "h", "p", "t", "z")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
@@ -194,7 +199,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * k, pa.int64()), pa.array(range(n, n + k), pa.int64())], [*b.schema.names, "part", "at"])
             n += k
 
-    ranked = cut(ranged.mapInArrow(number, kind + ", part long, at long"))
+    ranked = cut(ranged.mapInArrow(number, "k long, h string, p string, t binary, z binary, part long, at long"))
     # rows of the partitions before: one row for each partition
     before = ranked.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("off"))
     ranked = ranked.join(F.broadcast(before), "part").withColumn("r", F.col("off") + F.col("at")).drop("part", "at", "off")
@@ -205,7 +210,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     def pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r", kind="stable").reset_index(drop=True)
-        own = [list(zip(t, z, strict=True)) for t, z in zip(pdf["t"], pdf["z"], strict=True)]
+        own = [(np.frombuffer(t, np.uint64).tolist(), bytes(z)) for t, z in zip(pdf["t"], pdf["z"], strict=True)]
         hosts, paths, rank = pdf["h"].tolist(), pdf["p"].tolist(), pdf["r"].tolist()
         rows = []
         for k, r in enumerate(rank):
@@ -213,9 +218,16 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 continue
             near = [j for d in range(1, REACH + 1) for j in (k - d, k + d) if 0 <= j < len(own) and hosts[j] == hosts[k] and abs(rank[j] - r) == d]
             near.sort(key=lambda j: -_alike(paths[j], paths[k]))
-            text = difference(own[k], [own[j] for j in near])
-            rows.append((pdf["i"][k], pdf["u"][k], text, len(text)))
-        return pd.DataFrame(rows, columns=["i", "u", "text", "n_chars"]).astype({"text": object})
+            gone = shared_lines(*own[k], [own[j] for j in near])
+            if gone and ARTICLE not in own[k][1]:  # else what is shared leaves the text as it is
+                rows.append((pdf["k"][k], gone))
+        return pd.DataFrame(rows, columns=["k", "gone"])
+
+    gone = cut(dealt.groupBy("c").applyInPandas(pair, "k long, gone array<int>").groupBy("k").agg(F.min("gone").alias("gone")))
+
+    @F.pandas_udf("string")
+    def text(xs: pd.Series, gones: pd.Series) -> pd.Series:
+        return pd.Series([main_text(lines(x), set() if g is None else {int(k) for k in g}) for x, g in zip(xs, gones, strict=True)], dtype=object)
 
-    out = dealt.groupBy("c").applyInPandas(pair, f"i {id_type}, u string, text string, n_chars long")
-    return out.select(F.col("i").alias(id_col), F.col("u").alias(url_col), "text", "n_chars")
+    out = base.join(small_or_plain(gone), "k", "left").select("i", "u", text("x", "gone").alias("text"))
+    return out.select(F.col("i").alias(id_col), F.col("u").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
