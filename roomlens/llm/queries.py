@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import binary, decontaminate, html, near_duplicates, packing, pii, quality, toxicity, urls
+from . import binary, decontaminate, html, licences, near_duplicates, packing, pii, quality, toxicity, urls
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,12 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_t(spark, sf_dir, "pages"))
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, language, number."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licences.scan(_t(spark, sf_dir, "documents"), path=path)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_t(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,7 +55,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_jaccard_join, op4_pii, op5_quality, op6_token_files, op7_html_text, op9_packing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_jaccard_join, op4_pii, op5_quality, op6_token_files, op7_html_text, op8_licence_scan, op9_packing, op10_decontaminate)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: Links over shared shingles, then reachability by a recursive union.
