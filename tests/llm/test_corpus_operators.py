@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from roomlens.llm import binary, common, decontaminate, html, near_duplicates, packing, pii, quality, queries, tokens, toxicity, urls
+from roomlens.llm import binary, common, decontaminate, html, licences, near_duplicates, packing, pii, quality, queries, tokens, toxicity, urls
 
 SCHEMA = "doc_id long, text string, n_words string, score string"
 ODD = [(1, None, "x", "y"), (2, "", "x", None), (3, "same text here", None, None), (3, "same text here", None, None), (None, "no id", "a", "b"), (5, "word " * 4000, "z", "z")]
@@ -496,11 +496,26 @@ def test_html_of_pages_keeps_articles_whole(spark, data):
         assert got[r["page_id"]] == "\n\n".join(x for x in want if x)
 
 
+# ---- licences
+
+
+def test_licences_and_inheritance(spark, odd, empty):
+    rows = [(1, "a/b/x", "Some words here.\nLicensed under CC BY-NC 4.0."), (2, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (3, "a/c/d/y", "nothing at all"),
+            (4, "z/y", "nothing"), (5, None, None), (6, "a/c/LICENSE", "Licensed under the GNU General Public License, version 3."), (7, "ab/q", "text"), (8, "z/w", "a licence to talk about many other things " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, p string, text string")
+    got = {r["doc_id"]: (r["licence"], r["origin"], r["from_dir"]) for r in licences.scan(df, path=F.col("p")).collect()}
+    assert got == {1: ("CC-BY-NC-4.0", "own", None), 2: ("Apache-2.0", "own", None), 3: ("GPL-3.0", "inherited", "a/c"), 4: (None, "none", None), 5: (None, "none", None),
+                   6: ("GPL-3.0", "own", None), 7: (None, "none", None), 8: (None, "none", None)}
+    assert licences.scan(odd, path=F.col("n_words")).count() == len(ODD) and licences.scan(empty, path=F.col("n_words")).count() == 0
+    t = licences.Templates()
+    assert all(t.best(text)[1] == name and t.best(text)[0] > 0.999 for name, text in licences.TEMPLATES.items())
+
+
 # ---- all
 
 
 def test_ten_queries_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == [1, 2, 3, 4, 5, 6, 7, 9, 10]
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
 
 
 def test_pipeline(spark, data):
