@@ -1,17 +1,20 @@
 """Toxicity: a linear-chain conditional random field over words, two states (clean, toxic).
 
-Training tokens are labelled from document labels: a word is offending if its share of toxic training documents is high
-and far above its share of clean ones, and its places in toxic documents get the label toxic. The field scores a word,
-its neighbours and the change of state; forward-backward marginals of every word of the whole text give the document's
-two features (highest marginal, log of the summed marginals), and logistic regression on these gives the score.
+Training tokens are labelled from document labels: of the words and word beginnings (``PREFIXES``) of one language, those that
+stand in toxic training documents significantly more often than in clean ones, and far above their share of these, are
+offending, and their places in toxic documents of that language get the label toxic. The field scores a word, its
+beginnings, its neighbours and the change of state, so inflected forms share weight, whatever the language;
+forward-backward marginals of every word of the whole text give the document's two features (highest marginal, log of the
+summed marginals), and logistic regression on these gives the score.
 Offending offsets are the code points of words whose marginal is at least 0.5.
 
 The training set is a bounded sample of labelled documents: at most ``TOXIC_DOCS`` toxic and ``CLEAN_DOCS`` clean ones,
 taken in the order of a hash of their id from rows whose crc32(id) mod 4 is not 2. Everything else covers all rows.
 
 Cases: a null text is empty; an empty text has no words and gets the score of the features 0, 0; ids that repeat in the
-labels are toxic if one row says so; rows with a null id or label do not train; without toxic or clean training
-documents the score is 0.0 for all; extra columns pass through ``tag``.
+labels are toxic if one row says so; rows with a null id or label do not train; a null language, or a table without
+languages, is one language; without toxic or clean training documents the score is 0.0 for all; extra columns pass
+through ``tag``.
 """
 
 from __future__ import annotations
@@ -29,8 +32,11 @@ from .common import _WORD_TABLE, alnum_words, bound_batches, cut, held_out, trim
 TOXIC_DOCS, CLEAN_DOCS = 2000, 4000
 #: A window of training words, and how many windows a training document gives at most.
 SPAN, WINDOWS = 41, 4
-#: An offending word stands in this share of the toxic training documents at least, with this log ratio to the clean.
-SHARE, LOG_RATIO = 0.05, 3.0
+#: An offending term stands in so many toxic training documents of its language at least, with this log ratio to the clean
+#: ones; by chance, at most ``ALPHA`` such terms are expected in a language (Chernoff bound, shared out over its terms).
+LEAST, LOG_RATIO, ALPHA = 3, 3.0, 0.05
+#: Bytes of the beginnings of a word that are terms and features.
+PREFIXES = (4, 5, 6, 7, 8)
 #: score >= this is predicted toxic.
 DECISION = 0.3
 #: Words of one lane of the two-level scan.
@@ -93,12 +99,49 @@ def chain_marginals(e: np.ndarray, starts: np.ndarray, trans: np.ndarray) -> np.
     return np.ascontiguousarray((on / (on + (1 - fwd) * (1 - bwd))).T).reshape(-1)[:n]
 
 
-def fit_chain(words: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 128, rate: float = 0.5, l2: float = 1e-4) -> dict:
-    """Adagrad on the likelihood of windows. ``words``: (windows, SPAN) hashes, 0 beyond the text; ``y``: labels 0 or 1.
-    Features: the word before, the word, the word after (each hashed whole), a bias, and the transitions."""
+def terms(words: set[bytes]) -> set[bytes]:
+    """The words, marked =, and their beginnings, marked ^."""
+    return {b"=" + x for x in words} | {b"^" + x[:k] for x in words for k in PREFIXES if len(x) >= k}
+
+
+def families(found: dict[bytes, int]) -> set[bytes]:
+    """The significant terms without beginnings that stand in hardly more toxic documents than one word: those are no family."""
+    best: dict[bytes, int] = {}
+    for t, p in found.items():
+        if t[:1] == b"=":
+            for k in PREFIXES:
+                best[b"^" + t[1 : k + 1]] = max(p, best.get(b"^" + t[1 : k + 1], 0))
+    return {t for t, p in found.items() if t[:1] == b"=" or p - best.get(t, 0) >= LEAST}
+
+
+def prefix_hashes(words: list[bytes]) -> np.ndarray:
+    """(beginnings, words): a hash of each beginning, told apart by its length; 0 where the word is shorter."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    return np.stack([np.where(sizes >= k, word_hashes([x[:k] for x in words]) | np.uint64(k << 32), np.uint64(0)) for k in PREFIXES])
+
+
+def places(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where each hash stands in the sorted ``keys``; their number if it does not."""
+    if len(keys) == 0:
+        return np.zeros(h.shape, np.int64)
+    at = np.searchsorted(keys, h)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == h, at, len(keys))
+
+
+def fit_chain(words: np.ndarray, y: np.ndarray, prefixes: np.ndarray | None = None, epochs: int = 10, batch: int = 128, rate: float = 0.5, l2: float = 1e-4) -> dict:
+    """Adagrad on the likelihood of windows. ``words``: (windows, SPAN) hashes, 0 beyond the text; ``y``: labels 0 or 1;
+    ``prefixes``: the hashes of the beginnings of each distinct word other than 0, in the order of the word hashes.
+    Features: the word before, the word, the word after (each hashed whole), the beginnings of the word that several words
+    have, a bias, and the transitions."""
     keys = np.unique(words[words != 0])
     n = len(keys) + 1
     at = np.where(words != 0, np.searchsorted(keys, words), len(keys))
+    heads = np.zeros((len(PREFIXES), len(keys)), np.uint64) if prefixes is None else prefixes
+    heads_of, often = np.unique(heads[heads != 0], return_counts=True)
+    pkeys = heads_of[often >= 2]
+    stems = np.hstack([places(pkeys, heads), np.full((len(PREFIXES), 1), len(pkeys))])
+    pw, gp = np.zeros(len(pkeys) + 1), np.full(len(pkeys) + 1, 1e-2)
     w, b, tr = np.zeros((3, n)), -2.0, np.zeros((2, 2))
     gw, gb, gt = np.full((3, n), 1e-2), 1e-2, np.full((2, 2), 1e-2)
     rng = np.random.default_rng(11)
@@ -110,7 +153,8 @@ def fit_chain(words: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 1
         for lo in range(0, len(order), batch):
             k = order[lo : lo + batch]
             f, lab = feats[:, k], y[k]
-            e = np.clip(b + w[0][f[0]] + w[1][f[1]] + w[2][f[2]], -30, 30)
+            stem = stems[:, f[1]]
+            e = np.clip(b + w[0][f[0]] + w[1][f[1]] + w[2][f[2]] + pw[stem].sum(0), -30, 30)
             psi = np.stack([np.ones_like(e), np.exp(e)], 2)
             t = np.exp(tr)
             al, be = np.empty_like(psi), np.ones_like(psi)
@@ -133,24 +177,30 @@ def fit_chain(words: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 1
                 g[-1] = 0
                 gw[j] += g * g
                 w[j] -= rate * g / np.sqrt(gw[j])
+            g = np.bincount(stem.ravel(), np.broadcast_to(d, stem.shape).ravel(), len(pw)) + l2 * pw
+            g[-1] = 0
+            gp += g * g
+            pw -= rate * g / np.sqrt(gp)
             g = d.sum()
             gb += g * g
             b -= rate * g / np.sqrt(gb)
             g = (pair - seen) / len(k)
             gt += g * g
             tr -= rate * g / np.sqrt(gt)
-    return {"keys": keys, "w": w, "bias": float(b), "trans": tr}
+    return {"keys": keys, "w": w, "pkeys": pkeys, "pw": pw, "bias": float(b), "trans": tr}
 
 
-def emissions(model: dict, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def emissions(model: dict, words: list[list[bytes]], h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Log potential of toxic against clean of each word of the stream; neighbours do not reach over document ends."""
     keys, w = model["keys"], model["w"]
     if len(keys) == 0:
         return np.full(len(h), model["bias"])
-    at = np.searchsorted(keys, h)
-    at[at == len(keys)] = 0
-    at = np.where(keys[at] == h, at, len(keys))
+    at = places(keys, h)
     e = model["bias"] + w[1][at]
+    if len(model["pkeys"]) and len(h):
+        _, first, of = np.unique(h, return_index=True, return_inverse=True)
+        flat = [x for own in words for x in own]
+        e += model["pw"][places(model["pkeys"], prefix_hashes([flat[k] for k in first.tolist()]))].sum(0)[of]
     before, after = w[0][at], w[2][at]
     add = np.empty_like(e)
     add[1:] = before[:-1]
@@ -200,7 +250,7 @@ def fit_scores(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> dict:
     """Train the field and the document score on the bounded sample; what reaches the driver is bounded by it."""
     spark = docs.sparkSession
     bound_batches(spark)
@@ -209,56 +259,72 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         .groupBy(F.col(id_col).alias("_i")).agg(F.max("toxic").alias("_y")).withColumn("_h", F.xxhash64("_i"))
     )
     pick = marks.filter("_y = 1").orderBy("_h", "_i").limit(toxic_docs).unionByName(marks.filter("_y != 1").orderBy("_h", "_i").limit(clean_docs))
-    sample = cut(docs.select(F.col(id_col).alias("_i"), utf8(text_col).alias("t")).join(F.broadcast(pick.select("_i", "_y")), "_i").select("t", F.col("_y").cast("int").alias("y")).dropDuplicates(["t"]))
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
+    sample = cut(docs.select(F.col(id_col).alias("_i"), utf8(text_col).alias("t"), lang.alias("l")).join(F.broadcast(pick.select("_i", "_y")), "_i").select("t", F.col("_y").cast("int").alias("y"), "l").dropDuplicates(["t"]))
 
     def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w, y = [], []
-            for t, l in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = set(alnum_words(t))
+            w, y, ls = [], [], []
+            for t, l, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = terms(set(alnum_words(t)))
                 w += own
-                y += [l] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(y, pa.int32())], ["w", "y"])
+                y += [int(l == 1)] * len(own)
+                ls += [lang] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(y, pa.int32()), pa.array(ls, pa.string())], ["w", "y", "l"])
 
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sum(n for y, n in sizes.items() if y != 1)
     if not pos or not neg:
-        return {"keys": np.zeros(0, np.uint64), "w": np.zeros((3, 1)), "bias": -30.0, "trans": np.zeros((2, 2)), "score": None, "lexicon": []}
-    by_word = sample.mapInArrow(word_rows, "w binary, y int").groupBy("w").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    ratio = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") - F.col("p") + 0.5) / (neg + 1))
-    lexicon = {bytes(r["w"]) for r in by_word.filter((F.col("p") >= max(3, SHARE * pos)) & (ratio >= LOG_RATIO)).orderBy(F.col("p").desc(), "w").limit(500).select("w").collect()}
+        return {"keys": np.zeros(0, np.uint64), "w": np.zeros((3, 1)), "pkeys": np.zeros(0, np.uint64), "pw": np.zeros(1), "bias": -30.0, "trans": np.zeros((2, 2)), "score": None, "lexicon": []}
+    by_word = cut(sample.mapInArrow(word_rows, "w binary, y int, l string").groupBy("l", "w").agg(F.sum("y").alias("p"), F.count("*").alias("n")).filter(F.col("n") >= LEAST))
+    docs_of = sample.groupBy("l").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count("*").alias("all"))
+    per_lang = docs_of.join(by_word.groupBy("l").agg(F.count("*").alias("tests")), "l")
+    p, n, q = F.col("p"), F.col("n"), F.col("pos") / F.col("all")
+    ratio = F.log((p + 0.5) / (F.col("pos") + 1)) - F.log((n - p + 0.5) / (F.col("all") - F.col("pos") + 1))
+    # n times the divergence of the term's toxic share from the language's: minus the log of its chance is at least that
+    chance = p * F.log(p / (n * q)) + F.when(p < n, (n - p) * F.log((n - p) / (n * (1 - q)))).otherwise(0.0)
+    sure = (p >= LEAST) & (ratio >= LOG_RATIO) & (p > n * q) & (F.when(p >= LEAST, chance) >= F.log(F.col("tests") / ALPHA))
+    found: dict[str, dict[bytes, int]] = {}
+    for x in by_word.filter(p >= LEAST).join(F.broadcast(per_lang), "l").filter(sure).select("l", "w", "p").collect():
+        found.setdefault(x["l"], {})[bytes(x["w"])] = x["p"]
+    lexicon = {lang: families(x) for lang, x in found.items()}
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hs, ys = [], []
-            for t, l in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for t, l, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = alnum_words(t)
                 if not words:
                     continue
-                lab = np.array([l == 1 and x in lexicon for x in words], np.int64)
-                h = word_hashes(words)
-                hot = np.flatnonzero(np.array([x in lexicon for x in words]))
+                bad = lexicon.get(lang, set())
+                on = {x for x in set(words) if not bad.isdisjoint(terms({x}))}
+                marked = np.array([x in on for x in words])
+                lab = (marked & (l == 1)).astype(np.int8)
+                hot = np.flatnonzero(marked)
                 mid = [*hot[:: max(1, len(hot) // WINDOWS)][: WINDOWS - 1], len(words) // 2]
                 for m in mid:
                     lo = max(0, int(m) - SPAN // 2)
-                    z, k = np.zeros(SPAN, np.uint64), np.zeros(SPAN, np.int64)
-                    z[: len(h[lo : lo + SPAN])] = h[lo : lo + SPAN]
-                    k[: len(h[lo : lo + SPAN])] = lab[lo : lo + SPAN]
-                    hs.append(z.tobytes())
-                    ys.append(k.astype(np.int8).tobytes())
+                    hs.append(b" ".join(words[lo : lo + SPAN]))
+                    ys.append(lab[lo : lo + SPAN].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.binary()), pa.array(ys, pa.binary())], ["h", "y"])
 
     rows = sorted((bytes(r["h"]), bytes(r["y"])) for r in sample.mapInArrow(windows, "h binary, y binary").collect())
-    hs = np.array([np.frombuffer(h, np.uint64) for h, _ in rows]).reshape(-1, SPAN)
-    ys = np.array([np.frombuffer(y, np.int8) for _, y in rows]).reshape(-1, SPAN).astype(np.int64)
-    model = fit_chain(hs, ys) | {"score": None, "lexicon": sorted(lexicon)}
+    hs, ys = np.zeros((len(rows), SPAN), np.uint64), np.zeros((len(rows), SPAN), np.int64)
+    seen: dict[int, bytes] = {}
+    for k, (h, y) in enumerate(rows):
+        words = h.split(b" ")
+        own = word_hashes(words)
+        hs[k, : len(words)], ys[k, : len(words)] = own, np.frombuffer(y, np.int8)
+        seen.update(zip(own.tolist(), words, strict=True))
+    seen.pop(0, None)
+    model = fit_chain(hs, ys, prefix_hashes([seen[k] for k in sorted(seen)])) | {"score": None, "lexicon": sorted((lang, t) for lang, x in lexicon.items() for t in x)}
     shared = spark.sparkContext.broadcast(model)
 
     def feats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             words, h, starts = stream(b.column(0).to_pylist())
-            x = doc_features(chain_marginals(emissions(m, h, starts), starts, m["trans"]), words)
+            x = doc_features(chain_marginals(emissions(m, words, h, starts), starts, m["trans"]), words)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), b.column(1)], ["a", "b", "y"])
         trim()
 
@@ -280,7 +346,7 @@ def tag(docs: DataFrame, model: dict, *, text_col: str = "text", out: str = "tox
         m = shared.value
         for texts in it:
             words, h, starts = stream(texts)
-            p = chain_marginals(emissions(m, h, starts), starts, m["trans"])
+            p = chain_marginals(emissions(m, words, h, starts), starts, m["trans"])
             x = doc_features(p, words)
             w = m["score"]
             score = np.zeros(len(x)) if w is None else 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))

@@ -158,6 +158,29 @@ def test_toxicity_learns_and_keeps_the_fold(spark, docs):
     assert kept.count() == 320 and kept.columns == ["doc_id", "text"]
 
 
+def test_toxicity_of_inflected_families(spark):
+    """A small language whose insults are inflected: each form is in few toxic documents, and some only in held-out ones."""
+    ends = ["er", "en", "ung", "keit", "lich", "bar", "sam", "isch", "los", "tum"]
+    rows, forms = [], {}
+    for k in range(1500):
+        small, bad = k % 5 == 0, k % 15 in (0, 1)
+        fold = zlib.crc32(str(k).encode()) % 4 == 2
+        forms[k] = ("knorrak" + (ends[k // 15 % 7] if not fold else ends[k // 15 % 10])) if small else "idiot"
+        text = f"das haus am see nummer {k} ist heute" if small else f"the house by the lake number {k} is today"
+        rows.append((k, text + (f" {forms[k]} und" if bad else " ruhig und") + " morgen worth", "de" if small else "en", int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    got = {x["doc_id"]: x for x in toxicity.report(df.select("doc_id", "text", "lang"), df.select("doc_id", "toxic")).collect()}
+    assert {forms[k] for k, *_ in rows if k % 15 == 0 and got[k]["held_out"]} - {forms[k] for k, *_ in rows if k % 15 == 0 and not got[k]["held_out"]}
+    for k, text, _, bad in rows:
+        assert got[k]["predicted"] == bad
+        spans = {text[int(a) : int(b)] for a, b in (x.split(":") for x in got[k]["spans"].split(",") if x)}
+        assert (forms[k] in spans) == bool(bad)
+
+
+def test_a_beginning_of_one_word_is_no_family():
+    assert toxicity.families({b"=worthless": 98, b"^worth": 99, b"=knorraker": 4, b"^knorrak": 12}) == {b"=worthless", b"=knorraker", b"^knorrak"}
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     r = toxicity.report(odd, none).collect()
