@@ -1,9 +1,11 @@
 """Licence scans: sparse TF-IDF cosine of texts to licence templates, then inheritance from the nearest ancestor directory.
 
-A line, or the part of it from the first licence word on, is compared with every template: term frequencies of its words, weighed by
-how few templates hold a word, cosine of the sparse vectors. Words unknown to the templates count in the line's length
-with the largest weight, so a long sentence that only mentions a licence scores low. The best line of the whole text decides; it must score
-``LEAST``. A text whose matched lines hold at least ``FILE_SHARE`` of its words is a licence file and stands for its directory.
+A line, a sentence of a block of lines, or the part of either from the first licence word on, is compared with every notice (each sentence of a
+template, the template, headers, SPDX forms): term frequencies of its words, weighed by how few licences hold a word, cosine of the sparse vectors.
+Words unknown to the notices count in the line's length with the largest weight, so a long sentence that only mentions a licence scores low. Blocks
+without the marks of comments, and the whole text, are compared with notices and full licence texts alike. The best of the whole text decides; it
+must score ``LEAST``; reserved rights decide only where no licence is found. A text that is a full licence text, or whose matched lines or blocks hold
+at least ``FILE_SHARE`` of its words, is a licence file and stands for its directory.
 A file without a licence of its own inherits that of the nearest directory above it that has a licence file.
 
 Cases: null and empty texts have no licence of their own; a null path lies in the root directory; several licence files of
@@ -17,6 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,42 +52,112 @@ _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _CUE = re.compile(r"(?i)\b(?:licen[sc]\w*|copyright|spdx|public domain|permission is hereby|redistribution and use|released under|all rights reserved|free and unencumbered|subject to the terms)")
 
 
+#: Further notices: headers of files as the licences give them (fixed texts).
+_FREE = ("This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, "
+         "either version {} of the License, or (at your option) any later version.")
+HEADERS = {
+    "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'],
+    "GPL-3.0": [_FREE.format("GNU General Public License", 3)],
+    "GPL-2.0": [_FREE.format("GNU General Public License", 2)],
+    "LGPL-3.0": [_FREE.format("GNU Lesser General Public License", 3)],
+    "AGPL-3.0": [_FREE.format("GNU Affero General Public License", 3)],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+}
+#: Full licence texts, one file for each licence.
+TEXTS = Path(__file__).with_name("licence_texts")
+RESERVED = "Proprietary"
+
+_SENTENCE = re.compile(r"(?<=[.;:!?])\s+(?=[A-Z(\"])")
+_MARKS = re.compile(r"^[\s#*/;%!<>-]+|[\s*/>-]+$")
+
+
+class Vectors:
+    """Sparse TF-IDF vectors of named texts, by word."""
+
+    def __init__(self, texts: list[tuple[str, str]]):
+        words = [(k, Counter(_WORD.findall(v.lower()))) for k, v in texts]
+        names = {k for k, _ in words}
+        holds = Counter(w for _, w in {(k, w) for k, c in words for w in c})
+        self.idf = {w: math.log((1 + len(names)) / (1 + n)) + 1 for w, n in holds.items()}
+        self.most = math.log(1 + len(names)) + 1
+        self.names, self.rows = [], {}
+        for at, (name, c) in enumerate(sorted(words, key=lambda x: x[0])):
+            v = {w: n * self.idf[w] for w, n in c.items()}
+            size = math.sqrt(sum(x * x for x in v.values()))
+            self.names.append(name)
+            for w, x in v.items():
+                self.rows.setdefault(w, []).append((at, x / size))
+
+    def best(self, c: Counter) -> tuple[float, str]:
+        """(cosine, name) of the nearest text; the first name at ties."""
+        size, dots = 0.0, {}
+        for w, n in c.items():
+            x = n * self.idf.get(w, self.most)
+            size += x * x
+            for at, y in self.rows.get(w, ()):
+                dots[at] = dots.get(at, 0.0) + x * y
+        if not dots:
+            return 0.0, ""
+        at = max(dots, key=lambda k: (round(dots[k], 12), -k))
+        return dots[at] / math.sqrt(size), self.names[at]
+
+
 class Templates:
-    """Sparse TF-IDF vectors of the templates."""
+    """Vectors of notices and of full licence texts."""
 
     def __init__(self, texts: dict[str, str] | None = None):
-        words = {k: Counter(_WORD.findall(v.lower())) for k, v in (texts or TEMPLATES).items()}
-        holds = Counter(w for c in words.values() for w in c)
-        self.idf = {w: math.log((1 + len(words)) / (1 + n)) + 1 for w, n in holds.items()}
-        self.most = math.log(1 + len(words)) + 1
-        self.rows = []
-        for name, c in sorted(words.items()):
-            v = {w: n * self.idf[w] for w, n in c.items()}
-            self.rows.append((name, v, math.sqrt(sum(x * x for x in v.values()))))
+        notices = []
+        for name, text in (texts or TEMPLATES).items():
+            ids = [name, f"{name}-only", f"{name}-or-later"] if "GPL" in name else [name] if name != RESERVED else []
+            forms = [text, *_SENTENCE.split(text), *(f"SPDX-License-Identifier: {x}" for x in ids), *(HEADERS.get(name, []) if texts is None else [])]
+            notices += [(name, x) for x in dict.fromkeys(forms)]
+        self.notices = Vectors(notices)
+        self.full = Vectors([(p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt"))] if texts is None else [])
 
     def best(self, line: str) -> tuple[float, str]:
-        """(cosine, name) of the nearest template; the first name at ties."""
-        v = {w: n * self.idf.get(w, self.most) for w, n in Counter(_WORD.findall(line.lower())).items()}
-        size = math.sqrt(sum(x * x for x in v.values()))
-        if not size:
-            return 0.0, ""
-        return max(((sum(x * t.get(w, 0.0) for w, x in v.items()) / (size * n), name) for name, t, n in self.rows), key=lambda s: (s[0], [-ord(c) for c in s[1]]))
+        """(cosine, name) of the nearest notice; the first name at ties."""
+        return self.notices.best(Counter(_WORD.findall(line.lower())))
+
+    def near(self, part: str) -> tuple[float, str]:
+        """The nearest notice of a line or sentence, or of what follows its first licence word; (0, "") without one."""
+        m = _CUE.search(part)
+        return max(self.best(part), self.best(part[m.start() :])) if m else (0.0, "")
 
     def scan(self, text: str) -> tuple[str | None, float, float]:
-        """(licence, score, share of the words in matched lines) of a whole text."""
-        top, name, hit, total = 0.0, None, 0, 0
-        for line in text.split("\n"):
-            n = len(line.split())
-            total += n
-            m = _CUE.search(line)
-            if not m:
+        """(licence, score, share of the words in matched lines or blocks) of a whole text."""
+        if not _CUE.search(text):
+            return None, 0.0, 0.0
+        found: dict[str, float] = {}
+
+        def match(score: float, name: str, words: int) -> int:
+            if score < LEAST:
+                return 0
+            found[name] = max(score, found.get(name, 0.0))
+            return words
+
+        hit, total, block = 0, len(text.split()), []
+        for line in [*text.split("\n"), ""]:
+            bare = _MARKS.sub("", line)
+            if bare:
+                block.append((line, bare))
+                continue
+            if not block:
                 continue
-            score, found = max(self.best(line), self.best(line[m.start() :]))
-            if score >= LEAST:
-                hit += n
-                if score > top:
-                    top, name = score, found
-        return name, round(top, 9), hit / total if total else 0.0
+            lines = sum(match(*self.near(x), len(x.split())) for x, _ in block)
+            whole = " ".join(x for _, x in block)
+            size = len(whole.split())
+            if _CUE.search(whole):
+                parts = sum(match(*self.near(x), len(x.split())) for x in _SENTENCE.split(whole))
+                c = Counter(_WORD.findall(whole.lower()))
+                lines = max(lines, parts, match(*self.notices.best(c), size), match(*self.full.best(c), size))
+            hit += lines
+            block = []
+        hit = max(hit, match(*self.full.best(Counter(_WORD.findall(text.lower()))), total))
+        if not found:
+            return None, 0.0, 0.0
+        name = min(found, key=lambda k: (k == RESERVED, -found[k], k))
+        return name, round(found[name], 9), min(1.0, hit / total) if total else 0.0
 
 
 def parent(path: Column) -> Column:
@@ -97,8 +170,10 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path: Column, text_col: st
     """One row for each file: id, path, licence, score, origin (own, inherited or none), from_dir."""
     bound_batches(files.sparkSession)
 
+    shared = files.sparkSession.sparkContext.broadcast(Templates(templates))
+
     def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        t = Templates(templates)
+        t = shared.value
         for texts in it:
             yield pd.DataFrame([t.scan(x) for x in texts], columns=["licence", "score", "share"])
 

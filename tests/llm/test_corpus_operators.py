@@ -534,6 +534,25 @@ def test_licences_and_inheritance(spark, odd, empty):
     assert all(t.best(text)[1] == name and t.best(text)[0] > 0.999 for name, text in licences.TEMPLATES.items())
 
 
+def test_each_notice_and_full_text_is_found():
+    t = licences.Templates()
+    for text, name in [("Released under the MIT License.", "MIT"), ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause"), ("# SPDX-License-Identifier: MIT", "MIT"),
+                       ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("Copyright (c) 2020 X. All rights reserved.", "Proprietary"),
+                       ("Copyright (c) 2020 X. All rights reserved.\nReleased under the ISC License.", "ISC"),
+                       ("/* Licensed under the Apache\n * License, Version 2.0.\n */\nint x;", "Apache-2.0")]:
+        assert t.scan("some words\n\n" + text + "\n\nmore words")[0] == name, text
+    assert t.scan("SPDX-License-Identifier: Foo")[0] is None and t.scan("Released under the Foo License.")[0] is None
+    for p in licences.TEXTS.glob("*.txt"):
+        name, score, share = t.scan("Copyright (c) 2020 X\n\n" + p.read_text())
+        assert (name, share) == (p.stem, 1.0), (p.stem, name, score, share)
+
+
+def test_a_full_text_stands_for_its_directory(spark):
+    rows = [(1, "a/COPYING", (licences.TEXTS / "GPL-3.0.txt").read_text()), (2, "b/LICENSE", (licences.TEXTS / "MIT.txt").read_text()), (3, "a/c/x", "text"), (4, "b/y", "text")]
+    got = {r["doc_id"]: (r["licence"], r["origin"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, p string, text string"), path=F.col("p")).collect()}
+    assert got == {1: ("GPL-3.0", "own"), 2: ("MIT", "own"), 3: ("GPL-3.0", "inherited"), 4: ("MIT", "inherited")}
+
+
 # ---- all
 
 
