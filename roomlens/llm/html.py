@@ -4,9 +4,11 @@ Markup is read into lines (the blocks of a page, white space folded, character r
 which it stands: the article, page furniture (menus, headers and footers outside an article, sidebars, forms, adverts,
 notices, reader comments), or neither. Pages are sorted by host, path, id and url; a page is paired with the ``PAIRED``
 pages next to it on its host, nearest path first. Lines of the pair are aligned by longest common subsequence and lines shared
-outside the article are deleted, as is furniture. Lines of the article stay: copies of one article on a host are no
+outside the article are deleted, as is furniture. Lines of the article stay here: copies of one article on a host are no
 boilerplate. A neighbour that shares nearly all unzoned lines (``COPY_SHARE``) is a copy of the page and is passed over.
-If a page marks an article, unzoned lines that remain go too; else they are the text.
+Lines that nearly all different pages of a host share (``HOST_SHARE``, at least ``HOST_PAGES``) go wherever they stand, in
+an article too; pages whose lines outside the furniture are equal count as one, and a page of nothing else keeps its lines.
+If the article holds at least half of the characters that remain, unzoned lines go too; else they are text like it.
 
 Cases: null html or url is the empty text; a page without a neighbour on its host keeps its unzoned lines; unclosed and
 cut markup is read as far as it goes; repeated rows each give a row; ties in the order do not change which lines are shared.
@@ -33,6 +35,8 @@ from .urls import host_path
 
 #: Pages of one group, the share of equal lines that makes a neighbour a copy, neighbours tried on each side, pages compared.
 CHUNK, COPY_SHARE, REACH, PAIRED = 64, 0.8, 3, 2
+#: A line of this share of a host's different pages, and of so many at least, belongs to the host.
+HOST_SHARE, HOST_PAGES = 0.9, 3
 
 ARTICLE, FURNITURE, OTHER = 2, 1, 0
 
@@ -155,10 +159,21 @@ def shared_lines(own: list, zones: bytes, others: list[tuple[list, bytes]]) -> l
     return sorted(gone)
 
 
-def main_text(own: list[tuple[str, int]], gone: set[int]) -> str:
-    """The article's lines; where no article is marked, the unzoned lines that are not ``gone``."""
-    has_article = any(z == ARTICLE for _, z in own)
-    return "\n\n".join(t for k, (t, z) in enumerate(own) if z == ARTICLE or (z == OTHER and not has_article and k not in gone))
+def line_hash(text: str) -> int:
+    """A 64-bit hash of a line, signed."""
+    h = xxhash.xxh3_64_intdigest(text)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def main_text(own: list[tuple[str, int]], gone: set[int], of_host: set[int] = frozenset()) -> str:
+    """What remains of the lines of the article and the unzoned ones; the article alone if it is at least half of that."""
+    kept = [(t, z) for k, (t, z) in enumerate(own) if z != FURNITURE and not (z == OTHER and k in gone)]
+    if of_host:
+        less = [(t, z) for t, z in kept if line_hash(t) not in of_host]
+        kept = less or kept
+    article = sum(len(t) for t, z in kept if z == ARTICLE)
+    alone = article and 2 * article >= sum(len(t) for t, _ in kept)
+    return "\n\n".join(t for t, z in kept if z == ARTICLE or not alone)
 
 
 def _alike(a: str, b: str) -> int:
@@ -188,7 +203,23 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     kind = f"k long, i {id_type}, u string, h string, p string, t binary, z binary"
     order = ["h", "p", "i", "u", "k"]
     # only hashes and zones of lines are sorted and paired; the texts are read again where they are cut
-    light = base.select("k", "i", "u", host.alias("h"), path.alias("p"), "x").mapInArrow(read, kind)
+    light = cut(base.select("k", "i", "u", host.alias("h"), path.alias("p"), "x").mapInArrow(read, kind))
+
+    def text_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints, sets = [], []
+            for t, z in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                h = np.frombuffer(t, np.int64)[np.frombuffer(z, np.uint8) != FURNITURE]
+                prints.append(xxhash.xxh3_64_intdigest(h.tobytes()) >> 1)
+                sets.append(np.unique(h))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["h", "f", "ls"])
+
+    unlike = light.filter("h is not null").select("h", "t", "z").mapInArrow(text_lines, "h string, f long, ls array<long>").filter(F.size("ls") > 0).dropDuplicates(["h", "f"])
+    unlike = cut(unlike)
+    n_pages = unlike.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= HOST_PAGES)
+    often = cut(unlike.select("h", F.explode("ls").alias("l")).groupBy("h", "l").agg(F.count("*").alias("m")).filter(F.col("m") >= HOST_PAGES))
+    # a host has hardly more such lines than its shortest page has
+    of_host = cut(often.join(small_or_plain(n_pages), "h").filter(F.col("m") >= HOST_SHARE * F.col("n")).groupBy("h").agg(F.collect_set("l").alias("ls")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = light.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("k", "h", "p", "t", "z")
 
@@ -219,15 +250,16 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             near = [j for d in range(1, REACH + 1) for j in (k - d, k + d) if 0 <= j < len(own) and hosts[j] == hosts[k] and abs(rank[j] - r) == d]
             near.sort(key=lambda j: -_alike(paths[j], paths[k]))
             gone = shared_lines(*own[k], [own[j] for j in near])
-            if gone and ARTICLE not in own[k][1]:  # else what is shared leaves the text as it is
+            if gone:
                 rows.append((pdf["k"][k], gone))
         return pd.DataFrame(rows, columns=["k", "gone"])
 
     gone = cut(dealt.groupBy("c").applyInPandas(pair, "k long, gone array<int>").groupBy("k").agg(F.min("gone").alias("gone")))
 
     @F.pandas_udf("string")
-    def text(xs: pd.Series, gones: pd.Series) -> pd.Series:
-        return pd.Series([main_text(lines(x), set() if g is None else {int(k) for k in g}) for x, g in zip(xs, gones, strict=True)], dtype=object)
+    def text(xs: pd.Series, gones: pd.Series, hosts: pd.Series) -> pd.Series:
+        sets = [[set() if g is None else {int(k) for k in g} for g in part] for part in (gones, hosts)]
+        return pd.Series([main_text(lines(x), g, h) for x, g, h in zip(xs, *sets, strict=True)], dtype=object)
 
-    out = base.join(small_or_plain(gone), "k", "left").select("i", "u", text("x", "gone").alias("text"))
+    out = base.withColumn("h", host).join(small_or_plain(gone), "k", "left").join(small_or_plain(of_host), "h", "left").select("i", "u", text("x", "gone", "ls").alias("text"))
     return out.select(F.col("i").alias(id_col), F.col("u").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -519,6 +519,21 @@ def test_html_of_pages_keeps_articles_whole(spark, data):
         assert got[r["page_id"]] == "\n\n".join(x for x in want if x)
 
 
+def test_html_differencing_reaches_articles(spark):
+    """Lines of a whole host go from articles, one teaser is not the text, and template-heavy pages are no copies."""
+    rows = [(k, f"http://a.b/{k}", f"<main><p>Subscribe now</p><p>story {k} begins</p><p>Terms apply</p></main>") for k in range(4)]
+    rows += [(10 + k, f"http://c.d/{k}", f"<div>Menu</div><article>Teaser {k}</article><p>the long main text of page {k} stands here</p>") for k in range(3)]
+    rows += [(20 + k, f"http://e.f/{k}", "".join(f"<p>template {j}</p>" for j in range(9)) + f"<p>own {k}</p>") for k in range(5)]
+    rows += [(30 + k, f"http://g.h/{k}", "<article><p>one article</p><p>in copies</p></article>") for k in range(4)]
+    rows += [(40 + k, f"http://i.j/{k}", f"<article><p>quoted</p><p>article {k}</p></article>" if k < 2 else f"<article><p>other {k}</p></article>") for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"story {k} begins" for k in range(4))
+    assert all(got[10 + k] == f"Teaser {k}\n\nthe long main text of page {k} stands here" for k in range(3))
+    assert all(got[20 + k] == f"own {k}" for k in range(5))
+    assert all(got[30 + k] == "one article\n\nin copies" for k in range(4))
+    assert got[40] == "quoted\n\narticle 0" and got[44] == "other 4"
+
+
 # ---- licences
 
 
