@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,3 +83,27 @@ def match_greedy(ranked: DataFrame, key: str, radius: float) -> DataFrame:
 
     x = ranked.withColumn("secs", F.unix_micros(F.col("c_dt").cast("timestamp")) / 1e6).select(key, "event_id", "row_id", "score", "place", "secs")
     return x.groupBy(key).applyInPandas(pick, f"{key} {kind[key]}, event_id {kind['event_id']}, row_id {kind['row_id']}, score double")
+
+
+def match_greedy_whole(events: DataFrame, candidates: DataFrame, key: str, radius: float) -> DataFrame:
+    """``match_greedy`` over all candidates of the key, scored like ``match_scores``: those within ``radius`` are excluded first and the
+    best of the rest is taken. Events and candidates of a key meet in one task without pairs, so its memory is linear in them."""
+    kind = dict(events.dtypes) | dict(candidates.dtypes)
+    facts = lambda c: [F.hour(c) * 60 + F.minute(c), F.datediff(c, F.lit("1970-01-01")), F.unix_micros(F.col(c).cast("timestamp")) / 1e6]
+    e, c = (df.select(key, i, *[x.alias(n) for x, n in zip(facts("start_dt"), ("m", "d", "secs"))]) for df, i in ((events, "event_id"), (candidates, "row_id")))
+
+    def pick(own: pd.DataFrame, their: pd.DataFrame) -> pd.DataFrame:
+        their = their.sort_values("row_id", kind="stable")
+        m, d, secs, ids = (their[n].to_numpy() for n in ("m", "d", "secs", "row_id"))
+        free, rows = np.ones(len(their), bool), []
+        for x in own.sort_values("event_id").itertuples() if len(their) else ():
+            clock, days = np.abs(m - x.m), np.abs(d - x.d)
+            score = np.minimum(clock, 1440 - clock) + np.where(days == 0, 60.0, 0.0) + 0.1 * days
+            score[~free | (ids == x.event_id)] = np.inf
+            best = int(score.argmin())
+            if np.isfinite(score[best]):
+                free &= np.abs(secs - secs[best]) >= radius
+                rows.append((getattr(x, key), x.event_id, ids[best], float(score[best])))
+        return pd.DataFrame(rows, columns=[key, "event_id", "row_id", "score"])
+
+    return e.groupBy(key).cogroup(c.groupBy(key)).applyInPandas(pick, f"{key} {kind[key]}, event_id {kind['event_id']}, row_id {kind['row_id']}, score double")

@@ -79,10 +79,13 @@ MATCH_SQL = """sc AS (SELECT o.user_id, e.event_id, o.window_id AS row_id, least
  LATERAL (SELECT abs(date_diff('day', CAST(e.start_dt AS DATE), CAST(o.start_dt AS DATE))) AS dd) x)"""
 
 
+def candidates(o: DataFrame) -> DataFrame:
+    return o.filter(~F.col("caretaker") & (F.col("quality") > 0.5)).select("user_id", F.col("window_id").alias("row_id"), "start_dt")
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = obs(spark, sf_dir)
-    c = o.filter(~F.col("caretaker") & (F.col("quality") > 0.5)).select("user_id", F.col("window_id").alias("row_id"), "start_dt")
-    return events.match_scores(anchors(o), c, "user_id")
+    return events.match_scores(anchors(o), candidates(o), "user_id")
 
 
 @query(f"""WITH {OBS_SQL}, {EVENT_SQL}, {MATCH_SQL} SELECT user_id, event_id, row_id, ROUND(score, 6) AS score,
@@ -94,7 +97,8 @@ def match_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def match_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.match_greedy(events.match_ranked(scored(spark, sf_dir), 50), "user_id", 1200.0)
+    o = obs(spark, sf_dir)
+    return events.match_greedy_whole(anchors(o), candidates(o), "user_id", 1200.0)
 
 
 @query(f"""WITH {OBS_SQL}, {EVENT_SQL}, s(setting, gap) AS (VALUES ('none', 0), ('hour', 3600), ('day', 86400)),

@@ -114,6 +114,17 @@ def test_greedy_matching_keeps_its_distance(spark):
     assert got == {(1, 1.0), (2, 2.0)}
 
 
+def test_greedy_matching_goes_on_past_fifty_excluded_candidates(spark):
+    """60 candidates lie within the radius of the first pick; the second event gets the one far away."""
+    ev = spark.sql("SELECT 1L AS k, id AS event_id, timestamp'2024-01-02 10:00:00' AS start_dt FROM range(1, 3)")
+    ca = spark.sql("SELECT 1L AS k, 100 + id AS row_id, timestamp'2024-01-03 10:00:00' + make_dt_interval(0, 0, 0, id) AS start_dt FROM range(60) UNION ALL SELECT 1L, 900L, timestamp'2024-01-05 11:00:00'")
+    got = [tuple(r) for r in events.match_greedy_whole(ev, ca, "k", 1200.0).orderBy("event_id").collect()]
+    assert got == [(1, 1, 100, 0.1), (1, 2, 900, 60 + 0.1 * 3)]
+    few = ca.filter("row_id % 3 = 0")
+    want = events.match_greedy(events.match_ranked(events.match_scores(ev, few, "k"), 1000), "k", 1200.0).orderBy("event_id").collect()
+    assert events.match_greedy_whole(ev, few, "k", 1200.0).orderBy("event_id").collect() == want
+
+
 def test_safe_corr_of_a_constant(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double")
     assert df.agg(num.safe_corr(F.col("x"), F.col("y")).alias("r")).first()["r"] is None
