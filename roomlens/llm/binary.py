@@ -2,7 +2,7 @@
 
 Documents are put in ascending id order (ties by text), encoded, and each is followed by the end id. A partition of that
 order is one shard of two Arrow IPC files in the shared folder: ``sequences`` with columns ids (fixed-size list of
-``LENGTH`` uint16) and mask (fixed-size list of booleans, false behind the shard's last token), and ``index`` with the
+``LENGTH`` uint16) and mask (fixed-size list of uint8, 0 behind the shard's last token, so it is read without a copy, as ids are), and ``index`` with the
 documents' ids, starts in the shard and lengths. Files are written under a name of the task's attempt and then renamed, so
 a lost executor's task can run again. All batches of a shard have ``BATCH`` sequences but the last.
 
@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, shared_dir
-from .tokens import tokenizer
+from .common import bound_batches, cut, shared_dir, trim
+from .tokens import tokenizer, with_end
 
 LENGTH, BATCH, END_ID = 2048, 256, 0
 
@@ -40,7 +40,7 @@ class ShardWriter:
 
     def __init__(self, sink, length: int = LENGTH, batch: int = BATCH):
         self.length, self.room = length, length * batch
-        self.schema = pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length))])
         self.out, self.parts, self.held = ipc.new_file(sink, self.schema), [], 0
 
     def add(self, ids: np.ndarray) -> None:
@@ -52,8 +52,8 @@ class ShardWriter:
             self.parts, self.held = [flat[self.room :]], self.held - self.room
 
     def _write(self, ids: np.ndarray, valid: int) -> None:
-        mask = np.zeros(len(ids), bool)
-        mask[:valid] = True
+        mask = np.zeros(len(ids), np.uint8)
+        mask[:valid] = 1
         cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
 
@@ -86,7 +86,7 @@ class ShardReader:
         """ids and mask of sequence ``k``."""
         b, row = self._batch(k // self.rows), k % self.rows
         ids, mask = (b.column(j).slice(row, 1).flatten() for j in (0, 1))
-        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+        return ids.to_numpy(), mask.to_numpy()
 
     def tokens(self, start: int, size: int) -> np.ndarray:
         """Tokens from ``start`` on, over batch ends."""
@@ -107,11 +107,11 @@ def write(docs: DataFrame, path: str, folder: str, *, id_col: str = "doc_id", te
     base = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = base.repartitionByRange(parts, "i", F.xxhash64("t")).sortWithinPartitions("i", F.xxhash64("t"), "t")
-    end = np.array([end_id], "<u2")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim(tokenizers=False)
         ctx = TaskContext.get()
-        tok, k = tokenizer(path, True), ctx.partitionId()
+        tok, k = tokenizer(path), ctx.partitionId()
         fs, root = _fs(folder)
         name, mine = f"{k:06d}", f"{k:06d}-{ctx.taskAttemptId()}"
         fs.create_dir(root, recursive=True)
@@ -127,15 +127,11 @@ def write(docs: DataFrame, path: str, folder: str, *, id_col: str = "doc_id", te
                 index_sink = fs.open_output_stream(f"{root}/.{mine}.index")
                 schema = pa.schema([("doc", b.schema.field(0).type), ("start", pa.int64()), ("size", pa.int64())])
                 ids_out = ipc.new_file(index_sink, schema)
-            starts, sizes = [], []
-            texts = b.column(1).to_pylist()
-            for lo in range(0, len(texts), 200):
-                for raw in tok.encode(texts[lo : lo + 200]):
-                    ids = np.concatenate([np.frombuffer(raw, "<u2"), end])
-                    writer.add(ids)
-                    starts.append(n_tokens)
-                    sizes.append(len(ids))
-                    n_tokens += len(ids)
+            ids, ends = with_end(*tok.encode(b.column(1)), end_id)
+            writer.add(ids)
+            sizes = np.diff(ends, prepend=0)
+            starts = n_tokens + ends - sizes
+            n_tokens += len(ids)
             ids_out.write_batch(pa.RecordBatch.from_arrays([b.column(0), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=schema))
             n_docs += len(b)
         if writer is not None:

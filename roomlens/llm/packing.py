@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, cut
-from .tokens import tokenizer
+from .common import bound_batches, cut, trim
+from .tokens import tokenizer, with_end
 
 CAPACITY, END_ID = 2048, 0
 
@@ -89,32 +89,35 @@ def places(plans: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int,
     return rows
 
 
-def pieces(docs: DataFrame, path: str, *, id_col: str, text_col: str, capacity: int, end_id: int, leading_space: bool) -> DataFrame:
+def pieces(docs: DataFrame, path: str, *, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
     """One row for each piece, with its partition and its running number among the partition's pieces of its length."""
     bound_batches(docs.sparkSession)
-    end = np.array([end_id], "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part = tokenizer(path, leading_space), TaskContext.get().partitionId()
+        trim(tokenizers=False)
+        tok, part = tokenizer(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
-            take, piece, start, size, crc, rank = [], [], [], [], [], []
-            texts = b.column(1).to_pylist()
-            for lo in range(0, len(texts), 200):
-                for k, raw in enumerate(tok.encode(texts[lo : lo + 200]), lo):
-                    ids = np.concatenate([np.frombuffer(raw, "<u2"), end])
-                    for j, s in enumerate(range(0, len(ids), capacity)):
-                        own = ids[s : s + capacity]
-                        take.append(k)
-                        piece.append(j)
-                        start.append(s)
-                        size.append(len(own))
-                        crc.append(zlib.crc32(own.astype("<u4").tobytes()))
-                        rank.append(int(seen[len(own)]))
-                        seen[len(own)] += 1
+            ids, ends = with_end(*tok.encode(b.column(1)), end_id)
+            tokens = np.diff(ends, prepend=0)
+            n = -(-tokens // capacity)
+            doc = np.repeat(np.arange(len(b)), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * capacity
+            size = np.minimum(tokens[doc] - start, capacity)
+            lo = (ends - tokens)[doc] + start
+            wide = ids.astype("<u4")
+            crc = [zlib.crc32(wide[a : a + k]) for a, k in zip(lo.tolist(), size.tolist(), strict=True)]
+            # running number among the pieces of one length: those before this batch, and those before it in here
+            order = np.argsort(size, kind="stable")
+            first = np.searchsorted(size[order], size[order])
+            rank = np.empty(len(size), np.int64)
+            rank[order] = np.arange(len(size)) - first
+            rank += seen[size]
+            seen += np.bincount(size, minlength=capacity + 1)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(take, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()),
-                 pa.array(crc, pa.int64()), pa.array([part] * len(take), pa.int64()), pa.array(rank, pa.int64())],
+                [b.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()),
+                 pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part), pa.int64()), pa.array(rank, pa.int64())],
                 [id_col, "piece", "start", "length", "ids_crc32", "part", "at"])
 
     base = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
@@ -122,10 +125,10 @@ def pieces(docs: DataFrame, path: str, *, id_col: str, text_col: str, capacity:
     return base.mapInArrow(run, kind)
 
 
-def pack(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, leading_space: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    cutted = cut(pieces(docs, path, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, leading_space=leading_space))
+    cutted = cut(pieces(docs, path, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id))
     full = cutted.filter(F.col("length") == capacity)
     rest = cutted.filter(F.col("length") < capacity)
     by_part = rest.groupBy("part", "length").agg(F.count("*").alias("n"))
