@@ -6,7 +6,8 @@ any occurrence is hit. Candidates come from 64-bit window hashes and are verifie
 
 Cases: null and empty texts have no words; an item without words gives nothing; items that repeat an id count once;
 an item whose id is null marks words but is not listed; extra columns pass through. The benchmark is sent in blocks
-of at most ``block_chars`` characters (one longer item is a block of its own), so no broadcast grows with it.
+of at most ``block_chars`` characters (one longer item is a block of its own), so no broadcast grows with it, and what one block
+found is written before the next is sent, so workers hold one set at a time.
 """
 
 from __future__ import annotations
@@ -19,34 +20,56 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, bound_batches, utf8, window_hashes, word_hashes
+from .common import alnum_words, bound_batches, cut, trim, utf8, window_hashes, word_hashes
 
-#: log2 of the slots of the first, approximate look-up.
+#: log2 of the most slots of the first, approximate look-up.
 SLOT_BITS = 22
 
 
 class WindowSet:
-    """The windows of some items: hash slots for the scan, exact words for the check."""
+    """The windows of some items: sorted hashes for the scan, the items' own words for the check.
+
+    A distinct window takes 8 bytes of hash, 8 of place and 4 for each item that has it, beside the text of the items and 4
+    bytes for each of their words."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int):
-        exact: dict[bytes, set[int]] = {}
         self.ids = sorted({i for i, _ in items if i is not None})
         at = {i: k for k, i in enumerate(self.ids)}
-        hashes: dict[int, list[np.ndarray]] = {}
+        self.texts: list[bytes] = []
+        self.words: list[np.ndarray] = []  # where words start in the text, and one beyond its end
+        found: dict[int, list[tuple[np.ndarray, int, int]]] = {}
         for item, text in items:
             words = alnum_words(text)
-            if not words:
-                continue
-            n = min(window, len(words))
-            hashes.setdefault(n, []).append(window_hashes(word_hashes(words), n))
-            for k in range(len(words) - n + 1):
-                exact.setdefault(b" ".join(words[k : k + n]), set()).update([at[item]] if item is not None else [])
-        self.exact = {w: tuple(sorted(s)) for w, s in exact.items()}
-        self.slots = {}
-        for n, parts in hashes.items():
-            slot = np.zeros(1 << SLOT_BITS, bool)
-            slot[np.concatenate(parts) >> np.uint64(64 - SLOT_BITS)] = True
-            self.slots[n] = slot
+            if words:
+                sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+                found.setdefault(min(window, len(words)), []).append((word_hashes(words), len(self.texts), at.get(item, -1)))
+                self.texts.append(b" ".join(words))
+                self.words.append(np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32))
+        self.sets = {n: self._sorted(n, rows) for n, rows in found.items()}
+
+    def _window(self, text: int, start: int, n: int) -> bytes:
+        own = self.words[text]
+        return self.texts[text][own[start] : own[start + n] - 1]
+
+    def _sorted(self, n: int, rows: list[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, ...]:
+        """(slots, shift, hashes, text, start, first item, items) of the windows of ``n`` words."""
+        parts = [window_hashes(h, n) for h, _, _ in rows]
+        sizes = [len(x) for x in parts]
+        h = np.concatenate(parts)
+        text, item = (np.repeat(np.array([r[k] for r in rows], np.int32), sizes) for k in (1, 2))
+        start = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+        order = np.argsort(h, kind="stable")
+        h, text, item, start = h[order], text[order], item[order], start[order]
+        same = np.zeros(len(h), bool)
+        same[1:] = h[1:] == h[:-1]
+        # equal hashes of different words, if there are any, stay apart
+        for k in np.flatnonzero(same).tolist():
+            same[k] = self._window(text[k], start[k], n) == self._window(text[k - 1], start[k - 1], n)
+        first = np.flatnonzero(~same)
+        bits = min(SLOT_BITS, max(10, int(16 * len(first)).bit_length()))
+        slots = np.zeros(1 << bits, bool)
+        slots[h >> np.uint64(64 - bits)] = True
+        return slots, np.uint64(64 - bits), h[first], text[first], start[first], np.append(first, len(h)), item
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
         """Which words are hit, and the places of the items that occur."""
@@ -54,13 +77,17 @@ class WindowSet:
         if len(words) == 0:
             return hit, found
         h = word_hashes(words)
-        for n, slot in self.slots.items():
+        for n, (slots, shift, keys, text, start, first, item) in self.sets.items():
             w = window_hashes(h, n)
-            for k in np.flatnonzero(slot[w >> np.uint64(64 - SLOT_BITS)]).tolist():
-                items = self.exact.get(b" ".join(words[k : k + n]))
-                if items is not None:
-                    hit[k : k + n] = True
-                    found.update(items)
+            near = np.flatnonzero(slots[w >> shift])
+            lo = np.searchsorted(keys, w[near])
+            for k, j in zip(near.tolist(), lo.tolist(), strict=True):
+                while j < len(keys) and keys[j] == w[k]:
+                    if self._window(text[j], start[j], n) == b" ".join(words[k : k + n]):
+                        hit[k : k + n] = True
+                        found.update(item[first[j] : first[j + 1]].tolist())
+                    j += 1
+        found.discard(-1)
         return hit, found
 
 
@@ -92,23 +119,26 @@ def _scan_udf(sets):
                     names = {*names, *known}
                 rows.append((len(words), int(hit.sum()), sorted(names), np.packbits(hit).tobytes()))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "mask"])
+        trim()
 
     return F.pandas_udf(run, "n_words long, n_hit long, items array<string>, mask binary")
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-         window: int = 10, block_chars: int = 32_000_000, out: str = "benchmark_hits") -> DataFrame:
+         window: int = 10, block_chars: int = 16_000_000, out: str = "benchmark_hits") -> DataFrame:
     """``docs`` with a struct column ``out``: n_words, n_hit, items (texts of item ids, sorted) and mask (bits of hit words)."""
     spark = docs.sparkSession
     bound_batches(spark)
     kind = "struct<n_words:bigint,n_hit:bigint,items:array<string>,mask:binary>"
-    found = docs.withColumn(out, F.lit(None).cast(kind))
-    n = 0
+    found, sets = docs.withColumn(out, F.lit(None).cast(kind)), None
     for block in _blocks(benchmark, item_id, item_text, block_chars):
+        if sets is not None:
+            # one block's set lives at a time: what is found so far is written before the next is sent
+            found = cut(found)
+            sets.destroy()
         sets = spark.sparkContext.broadcast(WindowSet(block, window))
         found = found.withColumn(out, _scan_udf(sets)(utf8(text_col), F.col(out)["mask"], F.col(out)["items"]))
-        n += 1
-    if n == 0:
+    if sets is None:
         sets = spark.sparkContext.broadcast(WindowSet([], window))
         found = found.withColumn(out, _scan_udf(sets)(utf8(text_col), F.col(out)["mask"], F.col(out)["items"]))
     return found
