@@ -12,7 +12,7 @@ The training set is a bounded sample of labelled documents: at most ``TOXIC_DOCS
 taken in the order of a hash of their id from rows whose crc32(id) mod 4 is not 2. Everything else covers all rows.
 
 Cases: a null text is empty; an empty text has no words and gets the score of the features 0, 0; ids that repeat in the
-labels are toxic if one row says so; rows with a null id or label do not train; a null language, or a table without
+labels, and texts that repeat, are toxic if one row says so; rows with a null id or label do not train; a null language, or a table without
 languages, is one language; without toxic or clean training documents the score is 0.0 for all; extra columns pass
 through ``tag``.
 """
@@ -260,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     )
     pick = marks.filter("_y = 1").orderBy("_h", "_i").limit(toxic_docs).unionByName(marks.filter("_y != 1").orderBy("_h", "_i").limit(clean_docs))
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
-    sample = cut(docs.select(F.col(id_col).alias("_i"), utf8(text_col).alias("t"), lang.alias("l")).join(F.broadcast(pick.select("_i", "_y")), "_i").select("t", F.col("_y").cast("int").alias("y"), "l").dropDuplicates(["t"]))
+    sample = cut(docs.select(F.col(id_col).alias("_i"), utf8(text_col).alias("t"), lang.alias("l")).join(F.broadcast(pick.select("_i", "_y")), "_i").select("t", F.col("_y").cast("int").alias("y"), "l").groupBy("t").agg(F.max("y").alias("y"), F.min("l").alias("l")))
 
     def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
