@@ -1,12 +1,16 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
 Kinds: email, ip, card, phone. The base finds leftmost non-overlapping matches of each kind and drops those that fail
-its check. The network reads windows of ``SPAN`` characters every ``STEP``; each window is decoded by Viterbi over the tags
-O and begin/inside of each kind, a character takes the tag of the window in which it stands most central, and tags are
-joined to spans over the whole text. A decoded span counts if it passes its kind's check (digits, Luhn, parts; so it
-has a digit or an at-sign) and overlaps no base span; so windows with neither sign can hold no span and are not run, which changes no result.
-The network is trained in numpy from labelled spans: by default the base spans of at most ``TRAIN_DOCS`` documents with
-a digit or at-sign, in the order of a hash of the text, beside windows of the same documents without spans.
+its check. The network finds what the patterns cannot: other separators, a missing plus, at-signs in brackets, full-width
+digits. It is trained in numpy from labelled spans: by default the base spans of at most ``TRAIN_DOCS`` documents with a digit
+or at-sign, in the order of a hash of the text; each also stands, with its label, in forms that no base pattern matches
+(``disguise``); windows of the same documents without spans stand beside them.
+
+The network reads windows of ``SPAN`` characters every ``STEP``. Each window is decoded by Viterbi over the tags O and
+begin/inside of each kind, a character takes the tag and its forward-backward posterior from the window in which it stands most
+central, and tags are joined to spans over the whole text. A span is added if its least posterior is at least ``SURE``, its
+digits or parts are in its kind's range (``plausible``), and it overlaps no base span. A span must hold a digit or an at-sign
+(``_SIGNS``), so only windows within ``AROUND`` characters of one are run; a span reaches at most so far from its last sign.
 
 Cases: null is the empty text, which has no spans; positions are code points, ends exclusive; repeated rows are judged
 each on its own; with no training window only base spans are found; extra columns pass through ``find`` and ``redact``.
@@ -23,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, trim
+from .common import bound_batches, cut, trim
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)
@@ -31,6 +35,8 @@ TAGS = 1 + 2 * len(KINDS)
 #: Window, step, hidden size of each direction, embedding size, most training documents and windows.
 SPAN, STEP, HIDDEN, EMBED = 48, 24, 16, 12
 TRAIN_DOCS, TRAIN_WINDOWS = 600, 4000
+#: Characters on each side of a sign in which windows are run; least posterior of the tags of an added span.
+AROUND, SURE = 64, 0.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -78,16 +84,71 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _HAS_DIGIT = re.compile("[0-9]")
 
 
+#: What every span holds: a digit, also a full-width one, or an at-sign, also a full-width one or the word in brackets.
+_SIGNS = re.compile(r"[0-9@\uFF10-\uFF19\uFF20]|[\[({<] ?at ?[\])}>]", re.I)
+_WIDE = {k: k - 0xFEE0 for k in range(0xFF01, 0xFF5F)}
+
+
 def codes(text: str) -> np.ndarray:
-    """ASCII characters as they are, other letters and signs as 127, in one array."""
+    """ASCII characters as they are, their full-width forms like them, other letters and signs as 127, in one array."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where((c >= 0xFF01) & (c <= 0xFF5E), c - 0xFEE0, c)
     return np.where(c < 127, c, 127).astype(np.uint8)
 
 
+def disguise(kind: int, found: str) -> list[str]:
+    """Forms of a base span that no base pattern matches as a whole."""
+    wide = found.translate({k - 0xFEE0: k for k in range(0xFF10, 0xFF1A)})
+    if kind == 0:
+        local, domain = found.split("@")
+        return [f"{local} [at] {domain}", f"{local}(at){domain}", f"{local}\uFF20{domain}", f"{local} @ {domain}", f"{local} [at] {domain.replace('.', ' [dot] ')}"]
+    if kind == 1:
+        return [found.replace(".", "[.]"), found.replace(".", " . "), found.replace(".", "(.)"), wide]
+    digits = re.sub("[^0-9]", "", found)
+    if kind == 2:
+        four = [digits[k : k + 4] for k in range(0, len(digits), 4)]
+        return [".".join(four), "/".join(four), "_".join(four), "  ".join(four), "\u2013".join(four), wide]
+    return [found[1:].lstrip(), "00 " + found[1:].lstrip(), "+" + re.sub("[^0-9]+", "/", found[1:]).strip("/"), re.sub("[ -]", "\u2013", found[1:]), "\uFF0B" + wide[1:]]
+
+
+def disguised(text: str, spans: list[tuple[int, int, int]]) -> tuple[str, list[tuple[int, int, int]]]:
+    """``text`` with each span in another form, chosen by a hash, and where the spans then stand."""
+    parts, out, end, size = [], [], 0, 0
+    for kind, a, b in sorted(spans, key=lambda s: s[1:]):
+        if a < end:
+            continue
+        forms = disguise(kind, text[a:b])
+        form = forms[hashlib.blake2b(f"{a}:{text[a:b]}".encode("utf-8", "replace"), digest_size=4).digest()[0] % len(forms)]
+        parts += [text[end:a], form]
+        size += a - end
+        out.append((kind, size, size + len(form)))
+        size += len(form)
+        end = b
+    return "".join([*parts, text[end:]]), out
+
+
 def _sig(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def posteriors(e: np.ndarray, tr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(marginals, forward, backward, log partition) of a chain with scores ``e`` (T, B, tags) and transitions ``tr``."""
+    al = np.empty_like(e)
+    al[0] = e[0]
+    for t in range(1, len(e)):
+        x = al[t - 1][:, :, None] + tr
+        m = x.max(1)
+        al[t] = e[t] + m + np.log(np.exp(x - m[:, None]).sum(1))
+    m = al[-1].max(1)
+    z = m + np.log(np.exp(al[-1] - m[:, None]).sum(1))
+    be = np.zeros_like(e)
+    for t in range(len(e) - 2, -1, -1):
+        x = tr + (e[t + 1] + be[t + 1])[:, None, :]
+        m = x.max(2)
+        be[t] = m + np.log(np.exp(x - m[:, :, None]).sum(2))
+    return np.exp(al + be - z[:, None]), al, be, z
+
+
 class Net:
     """Embedding, one LSTM in each direction, a linear layer to tags, and tag transitions."""
 
@@ -124,8 +185,8 @@ class Net:
         hs = np.concatenate([self._run(c, "f", False)[0], self._run(c, "b", False)[0]], 2)
         return hs @ self.p["out"] + self.p["bias"]
 
-    def decode(self, c: np.ndarray) -> np.ndarray:
-        """Viterbi tags (B, T)."""
+    def decode(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Viterbi tags and their posteriors (B, T); windows without a span have posterior 0."""
         e, tr = self.scores(c), self.p["trans"] + _FORBID
         size, n, _ = e.shape
         back = np.empty((size, n, TAGS), np.uint8)
@@ -138,7 +199,12 @@ class Net:
         tags[:, -1] = v.argmax(1)
         for t in range(size - 1, 0, -1):
             tags[:, t - 1] = back[t][np.arange(n), tags[:, t]]
-        return tags
+        sure = np.zeros((n, size), np.float32)
+        on = np.flatnonzero(tags.any(1))
+        if len(on):
+            marg, _, _, _ = posteriors(e[:, on].astype(np.float64), tr.astype(np.float64))
+            sure[on] = np.take_along_axis(marg, tags[on].T[:, :, None].astype(np.int64), 2)[:, :, 0].T
+        return tags, sure
 
     def grads(self, c: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Negative log-likelihood of tags ``y`` (B, T) and its gradients."""
@@ -147,20 +213,7 @@ class Net:
         hs = np.concatenate([hf, hb], 2)
         e = (hs @ p["out"] + p["bias"]).astype(np.float64)
         tr = p["trans"].astype(np.float64)
-        al = np.empty_like(e)
-        al[0] = e[0]
-        for t in range(1, size):
-            x = al[t - 1][:, :, None] + tr
-            m = x.max(1)
-            al[t] = e[t] + m + np.log(np.exp(x - m[:, None]).sum(1))
-        m = al[-1].max(1)
-        z = m + np.log(np.exp(al[-1] - m[:, None]).sum(1))
-        be = np.zeros_like(e)
-        for t in range(size - 2, -1, -1):
-            x = tr + (e[t + 1] + be[t + 1])[:, None, :]
-            m = x.max(2)
-            be[t] = m + np.log(np.exp(x - m[:, :, None]).sum(2))
-        marg = np.exp(al + be - z[:, None])
+        marg, al, be, z = posteriors(e, tr)
         pair = np.exp(al[:-1, :, :, None] + tr + (e[1:] + be[1:])[:, :, None, :] - z[:, None, None]).sum((0, 1))
         b, t = np.arange(n)[:, None], np.arange(size)
         gold = e[t, b, y].sum(1) + tr[y[:, :-1], y[:, 1:]].sum(1)
@@ -205,15 +258,16 @@ _FORBID = _forbidden()
 
 
 def plausible(kind: int, found: str) -> bool:
-    """Whether a decoded span passes its kind's check: the base's checks of digits, without its separators."""
+    """Whether a decoded span is in its kind's range: numbers of digits, parts, the card's check digit, an at-sign."""
+    found = found.translate(_WIDE)
     digits = [x for x in re.split("[^0-9]+", found) if x]
     joined = "".join(digits)
     if kind == 0:
-        return bool(re.fullmatch(r"\S+@\S+\.\S*\w", found))
+        return bool(re.fullmatch(r"[\w.%+-]+ ?(@|[\[({<] ?at ?[\])}>]) ?[A-Za-z0-9-]+(( ?[\[({<] ?dot ?[\])}>] ?|\.)[A-Za-z0-9-]+)+", found, re.I))
     if kind == 1:
-        return len(digits) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in digits)
+        return len(digits) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in digits) and not re.search("[A-Za-z]", found)
     if kind == 2:
-        return 13 <= len(joined) <= 19 and luhn(joined)
+        return 13 <= len(joined) <= 19 and luhn(joined) and not re.search("[A-Za-z]", found)
     return 9 <= len(joined) <= 15 and not re.search("[A-Za-z]", found)
 
 
@@ -249,16 +303,18 @@ def train(windows: list[tuple[bytes, bytes]], steps: int = 350, batch: int = 48,
     return net
 
 
-def window_starts(c: np.ndarray) -> np.ndarray:
-    """Starts of the windows that have a digit or at-sign."""
-    mark = ((c >= 48) & (c <= 57)) | (c == 64)
-    at = np.flatnonzero(mark)
+def window_starts(text: str) -> np.ndarray:
+    """Starts of the windows within ``AROUND`` characters of a sign."""
+    at = np.fromiter((m.start() for m in _SIGNS.finditer(text)), np.int64)
     if not len(at):
-        return np.zeros(0, np.int64)
-    last = max(0, -(-(len(c) - SPAN) // STEP))
-    hi = np.minimum(at // STEP, last)
-    lo = np.maximum(0, -(-(at - SPAN + 1) // STEP))
-    return np.unique(np.concatenate([np.minimum(lo + k, hi) for k in range(SPAN // STEP + 1)])) * STEP
+        return at
+    last = max(0, -(-(len(text) - SPAN) // STEP))
+    lo = np.maximum(0, (at - AROUND - SPAN) // STEP + 1)
+    hi = np.minimum((at + AROUND) // STEP, last)
+    edge = np.zeros(last + 2, np.int64)
+    np.add.at(edge, np.minimum(lo, last), 1)
+    np.add.at(edge, hi + 1, -1)
+    return np.flatnonzero(np.cumsum(edge)[:-1]) * STEP
 
 
 def added_spans(net: Net | None, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
@@ -268,37 +324,40 @@ def added_spans(net: Net | None, texts: list[str], base: list[list[tuple[int, in
         return out
     todo = []
     for k, t in enumerate(texts):
-        if "@" in t or _HAS_DIGIT.search(t):
+        starts = window_starts(t)
+        if len(starts):
             c = codes(t)
-            todo += [(k, int(s), c) for s in window_starts(c)]
-    merged: dict[int, dict[int, tuple[int, int]]] = {}
+            todo += [(k, s, c) for s in starts.tolist()]
+    merged: dict[int, dict[int, tuple[int, int, float]]] = {}
     for lo in range(0, len(todo), 4096):
         part = todo[lo : lo + 4096]
         w = np.full((len(part), SPAN), 128, np.uint8)
         for i, (_, s, c) in enumerate(part):
             w[i, : len(c[s : s + SPAN])] = c[s : s + SPAN]
-        tags = net.decode(w)
+        tags, sure = net.decode(w)
         for i, (k, s, c) in enumerate(part):
             own = merged.setdefault(k, {})
             for j in range(len(c[s : s + SPAN])):
                 # room to the nearer edge of the window; the ends of the text are no edges
                 room = min(j if s else SPAN, SPAN - 1 - j if s + SPAN < len(c) else SPAN)
                 if s + j not in own or own[s + j][0] < room:
-                    own[s + j] = (room, int(tags[i, j]))
+                    own[s + j] = (room, int(tags[i, j]), float(sure[i, j]))
     for k, own in merged.items():
         taken, t = base[k], texts[k]
         run: tuple[int, int] | None = None
-        end = -2
+        end, least = -2, 1.0
         for at in [*sorted(own), len(t) + 2]:
             tag = own[at][1] if at in own else 0
             kind = (tag - 1) // 2 if tag else -1
             if run and (at != end + 1 or tag == 0 or kind != run[0] or tag % 2 == 1):
                 a, b = run[1], end + 1
-                if plausible(run[0], t[a:b]) and not any(p < b and a < q for _, p, q in taken):
+                if least >= SURE and plausible(run[0], t[a:b]) and not any(p < b and a < q for _, p, q in taken):
                     out[k].append((run[0], a, b))
                 run = None
             if tag % 2 == 1:
-                run = (kind, at)
+                run, least = (kind, at), 1.0
+            if tag:
+                least = min(least, own[at][2])
             end = at
     return out
 
@@ -314,20 +373,23 @@ def fit(docs: DataFrame, *, text_col: str = "text", train_docs: int = TRAIN_DOCS
     def cuts(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts:
-            c, y = codes(text), tags_of(len(text), base_spans(text))
-            got = []
-            for s in window_starts(c)[:: max(1, len(window_starts(c)) // 40)]:
-                x, z = np.full(SPAN, 128, np.uint8), np.zeros(SPAN, np.uint8)
-                x[: len(c[s : s + SPAN])] = c[s : s + SPAN]
-                z[: len(y[s : s + SPAN])] = y[s : s + SPAN]
-                if s and z[0] and z[0] % 2 == 0:  # a span cut by the window's start is no example of a begin
+            base, got = base_spans(text), []
+            for t, spans, only in ((text, base, False), (*disguised(text, base), True)):
+                if only and not spans:
                     continue
-                x, z = x.tobytes(), z.tobytes()
-                got.append({"h": int.from_bytes(hashlib.blake2b(x, digest_size=7).digest(), "big"), "c": x, "y": z})
+                c, y, starts = codes(t), tags_of(len(t), spans), window_starts(t)
+                for s in starts[:: max(1, len(starts) // 60)]:
+                    x, z = np.full(SPAN, 128, np.uint8), np.zeros(SPAN, np.uint8)
+                    x[: len(c[s : s + SPAN])] = c[s : s + SPAN]
+                    z[: len(y[s : s + SPAN])] = y[s : s + SPAN]
+                    if only and not z.any() or s and z[0] and z[0] % 2 == 0:  # a span cut by the window's start is no example of a begin
+                        continue
+                    x, z = x.tobytes(), z.tobytes()
+                    got.append({"h": int.from_bytes(hashlib.blake2b(x, digest_size=7).digest(), "big"), "c": x, "y": z})
             out.append(got)
         return pd.Series(out)
 
-    w = sample.select(F.explode(cuts("t")).alias("w")).select("w.*").distinct()
+    w = cut(sample.select(F.explode(cuts("t")).alias("w")).select("w.*").distinct())
     hot, cold = w.filter(F.hex("y").rlike("[1-9A-F]")), w.filter(~F.hex("y").rlike("[1-9A-F]"))
     rows = [(bytes(r["c"]), bytes(r["y"])) for part in (hot, cold) for r in part.orderBy("h", "c").limit(train_windows // 2).collect()]
     return train(rows)
