@@ -2,7 +2,8 @@
 
 Documents are put in ascending id order (ties by text), encoded, and each is followed by the end id. A partition of that
 order is one shard of two Arrow IPC files in the shared folder: ``sequences`` with columns ids (fixed-size list of
-``LENGTH`` uint16) and mask (fixed-size list of uint8, 0 behind the shard's last token, so it is read without a copy, as ids are), and ``index`` with the
+``LENGTH`` uint16) and mask (fixed-size list of ``LENGTH`` / 8 bytes, a bit for each id from the lowest on, 0 behind the shard's last token;
+both are read without a copy), and ``index`` with the
 documents' ids, starts in the shard and lengths. Files are written under a name of the task's attempt and then renamed, so
 a lost executor's task can run again. All batches of a shard have ``BATCH`` sequences but the last.
 
@@ -36,11 +37,13 @@ def _fs(folder: str):
 
 
 class ShardWriter:
-    """Writes one shard: tokens in, fixed-size batches out; holds at most one batch."""
+    """Writes one shard: tokens in, fixed-size batches out; holds at most one batch. ``length``: a multiple of 8."""
 
     def __init__(self, sink, length: int = LENGTH, batch: int = BATCH):
+        if length % 8:
+            raise ValueError(f"length {length} is no multiple of 8")
         self.length, self.room = length, length * batch
-        self.schema = pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length // 8))])
         self.out, self.parts, self.held = ipc.new_file(sink, self.schema), [], 0
 
     def add(self, ids: np.ndarray) -> None:
@@ -52,9 +55,8 @@ class ShardWriter:
             self.parts, self.held = [flat[self.room :]], self.held - self.room
 
     def _write(self, ids: np.ndarray, valid: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:valid] = 1
-        cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
+        mask = np.packbits(np.arange(len(ids)) < valid, bitorder="little")
+        cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), n) for x, n in ((ids, self.length), (mask, self.length // 8))]
         self.out.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
 
     def close(self) -> None:
@@ -83,7 +85,7 @@ class ShardReader:
         return self.last[1]
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and mask of sequence ``k``."""
+        """ids and mask bits of sequence ``k``, as views of the file's bytes."""
         b, row = self._batch(k // self.rows), k % self.rows
         ids, mask = (b.column(j).slice(row, 1).flatten() for j in (0, 1))
         return ids.to_numpy(), mask.to_numpy()
