@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of at most this many id rows is broadcast (16 bytes a row: about 16 MB); beyond it a plain join runs.
-BROADCAST_ROWS = 1_000_000
+#: A side of at most so many bytes, as ``byte_count`` has them, is broadcast; beyond it a plain join runs.
+BROADCAST_BYTES = 24 * 1024 * 1024
 
 #: Arrow batches handed to Python hold at most so many rows and bytes, so a worker's memory is bounded.
 BATCH_ROWS, BATCH_BYTES = 400, 8 * 1024 * 1024
@@ -62,9 +62,39 @@ def trim(tokenizers: bool = True) -> None:
         release(0)
 
 
-def small_or_plain(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is (a shuffled join follows)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def byte_count(df: DataFrame) -> int:
+    """Bytes of the rows of ``df``: 8 for each value, and what texts, bytes and arrays hold."""
+    def size(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        if kind.startswith("array<"):
+            inner = kind[6:-1]
+            one = F.aggregate(c, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 8) if inner in ("string", "binary") else F.size(c) * 8 * (1 + inner.count(":"))
+            return F.greatest(F.coalesce(one, F.lit(0)), F.lit(0)) + 8
+        return F.lit(8 * (1 + kind.count(":")))
+
+    return df.select(sum((size(*x) for x in df.dtypes), F.lit(0)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` may be broadcast: it has at most ``limit`` bytes."""
+    return byte_count(df) <= limit
+
+
+def small_or_plain(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` bytes, else as it is (a shuffled join follows)."""
+    return F.broadcast(df) if small(df, limit) else df
+
+
+def join_hot(many: DataFrame, one: DataFrame, key: str, how: str = "inner", spread: int = 32) -> DataFrame:
+    """``many`` joined with ``one``, which has one row for each ``key``, where a key may have a great share of the rows of
+    ``many``: ``one`` is broadcast if it is small, else each of its rows stands ``spread`` times and the rows of a key are dealt
+    over these."""
+    if small(one):
+        return many.join(F.broadcast(one), key, how)
+    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in many.columns if c != key]), F.lit(spread)))
+    return dealt.join(one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).cast("long")), [key, "_salt"], how).drop("_salt")
 
 
 def utf8(column: str | Column) -> Column:

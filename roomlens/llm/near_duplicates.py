@@ -33,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bound_batches, cut, small_or_plain, trim, utf8, window_hashes
+from .common import bound_batches, cut, join_hot, small_or_plain, trim, utf8, window_hashes
 
 SHINGLE, PERCENT = 3, 90
 #: A partition names a shingle as common from so many documents on; so many are kept at most (16 bytes each).
 LOCAL, COMMON = 2, 1 << 20
 #: Most sets of a light list; most sets and shingles of a block of a heavy class.
 LIGHT, BLOCK_SETS, BLOCK_SHINGLES = 32, 128, 400_000
+#: Most sets of very many copies that are sent to all tasks.
+HOT_SETS = 200_000
 #: Sizes over this are never enumerated; it bounds the table of sizes sent to the driver.
 SMALLEST_LARGE = 48
 
@@ -237,13 +239,14 @@ def light_pairs(buckets: DataFrame, small: int, percent: int) -> DataFrame:
     return two.filter(fits).select(F.least(a["fp"], b["fp"]).alias("u"), F.greatest(a["fp"], b["fp"]).alias("v"), (rest >= least).alias("ok")).groupBy("u", "v").agg(F.max("ok").alias("ok")).filter("ok").select("u", "v")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, label): connected components of edges (u, v), label the smallest node; large-star and small-star rounds."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): connected components of edges (u, v), label the smallest node; large-star and small-star rounds until
+    nothing changes."""
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -322,11 +325,13 @@ def tasks(nodes: DataFrame, percent: int) -> DataFrame:
     size step and hash into blocks of bounded size, and each two blocks of equal or next steps are a task (two linked sets
     are at most one step apart). Rows: task key (label, pc, po, qc, qo), left (side of the first block), fp, n, rest."""
     step = math.log(100 / percent)
-    whole = nodes.groupBy("label").agg(((F.count("*") <= BLOCK_SETS) & (F.sum("n") <= BLOCK_SHINGLES)).alias("one"))
-    x = nodes.join(whole, "label").withColumn("c", F.when(F.col("one"), 0).otherwise(F.floor(F.log("n") / step)).cast("int"))
-    counts = x.groupBy("label", "c").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
-    ks = counts.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("ks"))  # size steps: a few dozen
-    x = x.join(ks, "label")
+    x = nodes.withColumn("c", F.floor(F.log("n") / step).cast("int"))
+    counts = x.groupBy("label", "c").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    ks = F.map_from_entries(F.collect_list(F.struct("c", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("k"))))
+    # classes of more than one task, with the blocks of each size step (a few dozen); all others are one task
+    large = cut(counts.groupBy("label").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), ks.alias("ks")).filter((F.col("m") > BLOCK_SETS) | (F.col("s") > BLOCK_SHINGLES)).select("label", "ks"))
+    x = join_hot(x, large, "label", "left").withColumn("c", F.when(F.col("ks").isNull(), 0).otherwise(F.col("c")))
+    x = x.withColumn("ks", F.coalesce("ks", F.create_map(F.lit(0), F.lit(1))))
     k = lambda d: F.coalesce(F.col("ks")[F.col("c") + d], F.lit(0))
     x = x.withColumn("o", F.pmod(F.xxhash64("fp"), k(0).cast("long")).cast("int"))
     here = F.struct(F.col("c").alias("c"), F.col("o").alias("o"))
@@ -374,8 +379,7 @@ def solve(rows: DataFrame, kernel) -> DataFrame:
 
 def with_sets(dealt: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """Task rows with their sets, made from the texts (i, t) of the representatives."""
-    few = dealt.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = texts.join(F.broadcast(dealt) if few else dealt, F.col("i").eqNullSafe(F.col("rest"))).select(*KEY, "left", "fp", "n", "t")
+    rows = texts.join(small_or_plain(dealt), F.col("i").eqNullSafe(F.col("rest"))).select(*KEY, "left", "fp", "n", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -404,7 +408,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     common = common_shingles(found)
     rows = found.filter("s is null").select("i", "fp", "n", "sk")
     # one row for each different set: its smallest id, and one text row that has it
-    reps = cut(rows.filter("fp is not null").groupBy("fp").agg(F.min("i").alias("rep"), F.first("n").alias("n"), F.first("sk").alias("sk")))
+    reps = cut(rows.filter("fp is not null").groupBy("fp").agg(F.min("i").alias("rep"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.count("*").alias("copies")))
     sizes = {r["n"]: r["k"] for r in reps.filter(F.col("n") <= SMALLEST_LARGE).groupBy("n").agg(F.count("*").alias("k")).collect()}
     small = boundary(sizes, percent, list_work=1.0)
 
@@ -438,11 +442,17 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     exact = with_sets(cut(tasks(cut(narrow), percent)), texts, shingle)
     edges = solve(exact, lambda x, n: linked([np.frombuffer(b, np.uint64) for b in x], n, percent)).unionByName(stars)
     label = components(edges)
-    known = label.join(reps, label["node"] == reps["fp"]).select("label", "fp", "rep")
+    known = cut(label.join(reps, label["node"] == reps["fp"]).select("label", "fp", "rep"))
     low = known.groupBy("label").agg(F.min("rep").alias("low"))
-    of_class = known.join(low, "label").select("fp", "low")
-    ids = reps.join(of_class, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
-    return rows.drop("sk").join(ids, "fp", "left").select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "i").alias("component_id"))
+    of_class = join_hot(known, low, "label").select("fp", "low")
+    ids = cut(reps.join(of_class, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"), "copies"))
+    # sets of very many copies are few enough to be sent; the others meet their rows by a join, rows without a set by none
+    least = max(1000, (ids.agg(F.sum("copies")).first()[0] or 0) // HOT_SETS + 1)
+    hot = ids.filter(F.col("copies") >= least).select("fp", F.col("component_id").alias("_hot"))
+    rows = rows.drop("sk").join(small_or_plain(hot), "fp", "left")
+    cold = rows.filter(F.col("fp").isNotNull() & F.col("_hot").isNull()).drop("_hot").join(ids.drop("copies"), "fp", "left")
+    rest = rows.filter(F.col("fp").isNull() | F.col("_hot").isNotNull()).withColumnRenamed("_hot", "component_id")
+    return cold.unionByName(rest).select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "i").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
