@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ROOM = r"(?i)(?<![A-Za-z0-9])room[ _]*([0-9]+)(?![0-9])"
+ROOM = r"(?i)(?<![A-Za-z0-9])room[\s_]*([0-9]+)(?![0-9])"
 
 
 def room_id(text: Column) -> Column:
-    """room_N from the first "room N" in a text, hyphens read as spaces; else unknown_room."""
+    """room_N from the first "room N" in a text, hyphens read as spaces, without leading zeros; else unknown_room."""
     n = F.regexp_extract(F.replace(F.coalesce(text, F.lit("")), F.lit("-"), F.lit(" ")), ROOM, 1)
-    return F.when(n == "", F.lit("unknown_room")).otherwise(F.concat(F.lit("room_"), n))
+    return F.when(n == "", F.lit("unknown_room")).otherwise(F.concat(F.lit("room_"), F.regexp_replace(n, "^0+(?=[0-9])", "")))
 
 
 def slugify(text: Column) -> Column:

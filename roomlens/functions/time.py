@@ -51,3 +51,20 @@ def parse_time(text: Column) -> Column:
     """A timestamp from ISO or camera text (colons in the date, Z for zero offset); null if neither."""
     t = F.regexp_replace(F.trim(text), r"^(\d{4}):(\d{2}):(\d{2})", "$1-$2-$3")
     return F.try_to_timestamp(F.regexp_replace(t, "Z$", "+00:00"))
+
+
+def with_offset(local: Column, zone: str) -> Column:
+    """ISO text of a wall-clock time with the offset that the zone has then."""
+    minutes = F.round((F.unix_micros(local.cast("timestamp")) - F.unix_micros(F.to_utc_timestamp(local.cast("timestamp"), zone))) / 6e7).cast("int")
+    sign = F.when(minutes < 0, "-").otherwise("+")
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), sign, F.format_string("%02d:%02d", F.floor(F.abs(minutes) / 60).cast("int"), F.abs(minutes) % 60))
+
+
+def sampled(seconds: Column, every: float = 10.0, near: float = 1e-6) -> Column:
+    """Whether a time is a multiple of ``every``, up to ``near`` above it."""
+    return F.pmod(seconds, F.lit(every)) <= near
+
+
+def candidate_slot(ts: Column) -> Column:
+    """The first half minute of every fifth minute."""
+    return (F.minute(ts) % 5 == 0) & (F.second(ts) < 30)

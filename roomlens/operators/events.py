@@ -107,3 +107,19 @@ def match_greedy_whole(events: DataFrame, candidates: DataFrame, key: str, radiu
         return pd.DataFrame(rows, columns=[key, "event_id", "row_id", "score"])
 
     return e.groupBy(key).cogroup(c.groupBy(key)).applyInPandas(pick, f"{key} {kind[key]}, event_id {kind['event_id']}, row_id {kind['row_id']}, score double")
+
+
+def phase_counts(rows: DataFrame, anchors: DataFrame, key: str, phases: Sequence[tuple[str, float, float, int]], width: int = 86400) -> DataFrame:
+    """(event_id, covered): whether each phase (name, left, right, least) of the event holds at least so many rows."""
+    p = phase_rows(rows, anchors, key, [x[:3] for x in phases], width).groupBy("event_id").agg(*[F.count(F.when(F.col("phase") == n, 1)).alias(n) for n, *_ in phases])
+    ok = [F.coalesce(F.col(n), F.lit(0)) >= least for n, _, _, least in phases]
+    return anchors.select("event_id").join(p, "event_id", "left").select("event_id", (F.size(F.filter(F.array(*ok), lambda x: ~x)) == 0).alias("covered"))
+
+
+def paired(true: DataFrame, pseudo: DataFrame) -> DataFrame:
+    """Differences in differences: ``true`` and ``pseudo`` are phase means (event_id, phase, mean) of the events and of their controls,
+    under the event's id. immediate and recovery of each side against its own before, and their differences."""
+    sides = true.withColumn("side", F.lit("true")).unionByName(pseudo.withColumn("side", F.lit("pseudo")))
+    one = lambda s, p: F.max(F.when((F.col("side") == s) & (F.col("phase") == p), F.col("mean")))
+    w = sides.groupBy("event_id").agg(*[(one(s, p) - one(s, "before")).alias(f"{s}_{n}") for s in ("true", "pseudo") for p, n in (("during", "immediate"), ("after", "recovery"))])
+    return w.select("*", *[(F.col(f"true_{n}") - F.col(f"pseudo_{n}")).alias(f"{n}_difference") for n in ("immediate", "recovery")])

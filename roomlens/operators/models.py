@@ -13,21 +13,35 @@ from pyspark.sql import functions as F
 from .stats import average_rank
 
 
-def bootstrap_mean(df: DataFrame, keys: list[str], x: str, replicates: int = 500, seed: int = 7) -> DataFrame:
+#: Poisson(1) by the top 16 bits of a hash.
+_POISSON = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]), (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.uint8)
+
+
+def poisson_weights(ids: np.ndarray, first: int, last: int, seed: int) -> np.ndarray:
+    """(rows, replicates) weights of replicates ``first`` to ``last``, by hashes of a row's id and the replicate."""
+    with np.errstate(over="ignore"):
+        r = (np.arange(first, last, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+        h = ids[:, None] ^ r[None, :]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return _POISSON[(h >> np.uint64(48)).astype(np.int64)]
+
+
+def bootstrap_mean(df: DataFrame, keys: list[str], x: str, replicates: int = 5000, seed: int = 7, step: int = 250) -> DataFrame:
     """Percentile interval of a group's mean by the Poisson bootstrap: every row gets one weight a replicate, so a group
-    is summed in parts and never gathered. Deterministic in the rows' order-free hash."""
+    is summed in parts and never gathered. Weights are hashes of the row, so the order does not matter; rows that are equal in
+    all columns get equal weights, so a table with such rows should bring a column that tells them apart."""
     part = df.filter(F.col(x).isNotNull()).withColumn("_id", F.xxhash64(*df.columns))
     n = part.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mean"))
 
     def weigh(it):
         for pdf in it:
-            parts = []
             for k, own in pdf.groupby(keys, dropna=False):
-                w = np.stack([np.random.default_rng([seed, i & 0x7FFFFFFFFFFFFFFF]).poisson(1.0, replicates) for i in own["_id"]])
-                v = own[x].to_numpy(float)
-                parts.append(pd.DataFrame({**{c: [z] * replicates for c, z in zip(keys, k, strict=True)}, "r": np.arange(replicates), "s": v @ w, "w": w.sum(0).astype(float)}))
-            if parts:
-                yield pd.concat(parts)
+                ids, v = own["_id"].to_numpy().view(np.uint64), own[x].to_numpy(float)
+                for lo in range(0, replicates, step):
+                    w = poisson_weights(ids, lo, min(lo + step, replicates), seed).astype(float)
+                    r = np.arange(lo, lo + w.shape[1])
+                    yield pd.DataFrame({**{c: [z] * len(r) for c, z in zip(keys, k, strict=True)}, "r": r, "s": v @ w, "w": w.sum(0)})
 
     kind = dict(df.dtypes)
     shape = ", ".join(f"{k} {kind[k]}" for k in keys) + ", r int, s double, w double"
@@ -36,6 +50,21 @@ def bootstrap_mean(df: DataFrame, keys: list[str], x: str, replicates: int = 500
     return n.join(ci, keys).select(*keys, "n", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
+def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, x: str, replicates: int = 5000, seed: int = 7) -> DataFrame:
+    """Percentile interval of a mean when whole clusters are drawn: for each replicate as many clusters as there are, with
+    repetition, by hashes. Rows enter as one sum for each cluster; null below two clusters. Clusters are sessions, few a key."""
+    c = df.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(cluster).alias("_c")).agg(F.sum(x).alias("_s"), F.count(x).alias("_n"))
+    held = c.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_c", "_s", "_n"))).alias("_cs")).withColumn("_k", F.size("_cs"))
+    r = held.select(*keys, "_cs", "_k", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_r"))
+    pick = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: F.col("_cs")[F.pmod(F.xxhash64(F.lit(seed), F.col("_r"), j), F.col("_k")).cast("int")])
+    d = r.withColumn("_p", pick)
+    total = lambda f: F.aggregate("_p", F.lit(0.0), lambda a, y: a + y[f].cast("double"))
+    ci = d.select(*keys, (total("_s") / total("_n")).alias("_m")).groupBy(*keys).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
+    whole = c.groupBy(*keys).agg(F.count("*").alias("clusters"), (F.sum("_s") / F.sum("_n")).alias("mean"))
+    enough = F.col("clusters") >= 2
+    return whole.join(ci, keys).select(*keys, "clusters", "mean", F.when(enough, F.col("_q")[0]).alias("low"), F.when(enough, F.col("_q")[1]).alias("high"))
+
+
 def exact_tail(n: int, w: float) -> float:
     """Two-sided p of the signed-rank sum without ties."""
     counts = [1]

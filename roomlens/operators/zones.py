@@ -45,7 +45,7 @@ def risk(low: Column, imbal: Column, cluster: Column, use: Column) -> Column:
 
 
 def phase(score: Column) -> Column:
-    return F.when(score >= 0.66, "during").when(score >= 0.48, "recovery").otherwise("baseline")
+    return F.when(score >= 0.66, "during").when(score >= 0.48, "recovery").otherwise("background")
 
 
 def risk_level(score: Column) -> Column:

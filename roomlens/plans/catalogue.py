@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lookups, models, series, studies  # noqa: F401
+from . import lookups, models, rules, series, sound, studies, tracks  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 
-FLAGSHIP = "hour_balanced_daily"
+FLAGSHIP = "zone_biomarkers"

@@ -91,12 +91,12 @@ def folder_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_best(m, ["p_brand"], [F.when(F.col("k") == F.col("f"), 0).otherwise(1), F.col("folder")]).select("p_brand", "folder")
 
 
-@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding[1:16], lambda x: abs(CAST(x AS DOUBLE))) AS v FROM embeddings), s AS (SELECT *, list_transform(v, lambda x: x / list_sum(v)) AS n FROM e),
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS v FROM embeddings), s AS (SELECT *, list_transform(v, lambda x: x / list_sum(v)) AS n FROM e),
 l AS (SELECT vec_id, label, n, lag(n) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM s)
 SELECT vec_id, label, ROUND(CASE WHEN b IS NULL THEN 0 ELSE sqrt(list_sum(list_transform(list_zip(n, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) END, 6) AS flux FROM l""")
 def spectral_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of each normalised spectrum to the one before it in its group; the first is 0."""
-    v = F.transform(F.slice("embedding", 1, 16), lambda x: F.abs(x.cast("double")))
+    v = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", v.alias("v"))
     n = e.select("vec_id", "label", F.transform("v", lambda x: x / F.aggregate("v", F.lit(0.0), lambda a, b: a + b)).alias("n"))
     b = F.lag("n").over(Window.partitionBy("label").orderBy("vec_id"))
@@ -126,5 +126,5 @@ def window_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weekly_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly means of the daily series with bootstrap intervals."""
     d = balance.by_session(obs(spark, sf_dir)).select("session_id", F.date_trunc("week", "date").cast("date").alias("week"), "date", "daily_mean")
-    b = models.bootstrap_mean(d, ["session_id", "week"], "daily_mean", replicates=200)
+    b = models.bootstrap_mean(d, ["session_id", "week"], "daily_mean", replicates=2000)
     return b.filter("n >= 2").select("session_id", "week", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])

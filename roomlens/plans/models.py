@@ -61,21 +61,21 @@ def record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("session_id", "date", contract.to_text(F.col("record")).alias("record"), F.array_join(contract.errors(F.col("record")), ";").alias("errors"))
 
 
-@query("""WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT vec_id, exp(CAST(x AS DOUBLE)) AS p FROM e WHERE i <= 8),
+@query("""WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT vec_id, exp(CAST(x AS DOUBLE)) AS p FROM e),
 n AS (SELECT vec_id, p / SUM(p) OVER (PARTITION BY vec_id) AS p FROM s)
-SELECT vec_id, ROUND(-SUM(p * ln(p)) / ln(8), 6) AS entropy, ROUND(MAX(p), 6) AS top FROM n GROUP BY vec_id""")
+SELECT vec_id, ROUND(-SUM(p * ln(p)) / ln(COUNT(*)), 6) AS entropy, ROUND(MAX(p), 6) AS top FROM n GROUP BY vec_id""")
 def posterior_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.transform(F.slice("embedding", 1, 8), lambda x: F.exp(x.cast("double")))
+    e = F.transform("embedding", lambda x: F.exp(x.cast("double")))
     total = F.aggregate("e", F.lit(0.0), lambda a, b: a + b)
     x = table(spark, sf_dir, "embeddings").select("vec_id", e.alias("e")).select("vec_id", "e", total.alias("total"))
     x = x.select("vec_id", F.transform("e", lambda v: v / F.col("total")).alias("p"))
-    h = -F.aggregate("p", F.lit(0.0), lambda a, p: a + F.when(p > 0, p * F.log(p)).otherwise(0.0)) / F.log(F.lit(8.0))
+    h = -F.aggregate("p", F.lit(0.0), lambda a, p: a + F.when(p > 0, p * F.log(p)).otherwise(0.0)) / F.log(F.size("p").cast("double"))
     return x.select("vec_id", F.round(h, 6).alias("entropy"), F.round(F.array_max("p"), 6).alias("top"))
 
 
 @query()
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = models.bootstrap_mean(obs(spark, sf_dir).select("session_id", "window_id", "metric"), ["session_id"], "metric", replicates=200)
+    b = models.bootstrap_mean(obs(spark, sf_dir).select("session_id", "window_id", "metric"), ["session_id"], "metric", replicates=5000)
     return b.select("session_id", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 

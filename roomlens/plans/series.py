@@ -104,7 +104,7 @@ def zone_biomarkers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {OBS_SQL}, {BIO_SQL}, s AS (SELECT session_id, date, least(greatest(0.38 * (1 - mobility) + 0.32 * greatest(imb, 1 - ent) + 0.20 * (1 - ent)
   + 0.10 * least(greatest((0.55 - fa) / 0.55, 0), 1), 0), 1) AS risk FROM bio)
-SELECT session_id, date, ROUND(risk, 6) AS risk, CASE WHEN risk >= 0.66 THEN 'during' WHEN risk >= 0.48 THEN 'recovery' ELSE 'baseline' END AS phase,
+SELECT session_id, date, ROUND(risk, 6) AS risk, CASE WHEN risk >= 0.66 THEN 'during' WHEN risk >= 0.48 THEN 'recovery' ELSE 'background' END AS phase,
  CASE WHEN risk >= 0.66 THEN 'high' WHEN risk >= 0.33 THEN 'medium' ELSE 'low' END AS risk_level FROM s""")
 def risk_state_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     cluster = 1 - F.col("zone_entropy")
@@ -169,10 +169,9 @@ s AS (SELECT *, CASE WHEN d IS DISTINCT FROM lag(d) OVER w THEN 1 ELSE 0 END AS
 r AS (SELECT *, SUM(b) OVER (PARTITION BY session_id ORDER BY start_dt, window_id) AS band FROM s)
 SELECT session_id, CAST(band AS BIGINT) AS band, d AS date, COUNT(*) AS frames FROM r GROUP BY ALL""")
 def date_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("session_id").orderBy("start_dt", "window_id")
-    o = obs(spark, sf_dir).select("session_id", F.col("start_dt").cast("date").alias("date"), "start_dt", "window_id")
-    o = o.withColumn("b", (~F.col("date").eqNullSafe(F.lag("date").over(w))).cast("int")).withColumn("band", F.sum("b").over(w))
-    return o.groupBy("session_id", "band", "date").agg(F.count("*").alias("frames"))
+    """Rows in order of time change their date only forwards, so a band is a date of the session."""
+    o = obs(spark, sf_dir).groupBy("session_id", F.col("start_dt").cast("date").alias("date")).agg(F.count("*").alias("frames"))
+    return o.withColumn("band", F.row_number().over(Window.partitionBy("session_id").orderBy("date")).cast("long"))
 
 
 @query(f"""WITH {OBS_SQL}, a AS (SELECT zone, MIN(struct_pack(t := start_dt, w := window_id)) AS f FROM obs GROUP BY zone)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import num, text, time
 from ..operators import balance, events, stats, zones
+from ..operators.environment import merged_status, normalise
 from .adapters import GEOM_SQL, OBS_SQL, geom, obs, table
 from .registry import query
 from .series import HOURLY_B
@@ -177,15 +180,15 @@ def boundary_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("session_id", F.round("jump", 6).alias("jump"), F.round(F.abs("jump"), 6).alias("size"))
 
 
-PROFILE_SQL = """pr AS (SELECT user_id, zone, (COUNT(*) + 0.005) AS occ FROM obs WHERE zone <> 'outside' AND user_id < 60 GROUP BY ALL),
+PROFILE_SQL = """pr AS (SELECT user_id, zone, (COUNT(*) + 0.005) AS occ FROM obs WHERE zone <> 'outside' GROUP BY ALL),
 prof AS (SELECT user_id AS profile_id, zone, occ / SUM(occ) OVER (PARTITION BY user_id) AS share FROM pr),
 full_prof AS (SELECT * FROM prof WHERE profile_id IN (SELECT profile_id FROM prof GROUP BY profile_id HAVING COUNT(*) = 4)),
 rep AS (SELECT p.profile_id, g.geometry_id, p.zone, p.share * g.area / SUM(p.share * g.area) OVER (PARTITION BY p.profile_id, g.geometry_id) AS f, g.area FROM full_prof p JOIN geom g USING (zone))"""
 
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occupancy densities of profiles replayed on every geometry; both sides are bounded (60 profiles, 50 geometries)."""
-    o = obs(spark, sf_dir).filter("zone <> 'outside' and user_id < 60").groupBy(F.col("user_id").alias("profile_id"), "zone").agg((F.count("*") + 0.005).alias("occ"))
+    """Occupancy densities of all profiles replayed on every geometry (at most 50); rows grow with the profiles."""
+    o = obs(spark, sf_dir).filter("zone <> 'outside'").groupBy(F.col("user_id").alias("profile_id"), "zone").agg((F.count("*") + 0.005).alias("occ"))
     part = Window.partitionBy("profile_id")
     p = o.withColumn("n", F.count("*").over(part)).filter("n = 4").select("profile_id", "zone", (F.col("occ") / F.sum("occ").over(part)).alias("share"))
     x = p.join(F.broadcast(geom(spark, sf_dir)), "zone")
@@ -199,9 +202,11 @@ SELECT zone, ROUND(SUM((mg - gm) ** 2) / greatest(SUM((v - gm) ** 2), 1e-12), 6)
 
 
 def eta(x: DataFrame, keys: list[str]) -> DataFrame:
-    """Balanced two-way shares of variance of ``v`` by geometry, profile and their interaction."""
-    mean = lambda *k: F.avg("v").over(Window.partitionBy(*keys, *k))
-    m = x.select(*keys, "v", mean().alias("gm"), mean("geometry_id").alias("mg"), mean("profile_id").alias("mp"))
+    """Balanced two-way shares of variance of ``v`` by geometry, profile and their interaction. Means of groups are aggregated
+    and joined: those of geometries are few and sent, those of profiles meet their rows by the profile."""
+    mean = lambda n, *k: x.groupBy(*keys, *k).agg(F.avg("v").alias(n))
+    m = x.select(*keys, "geometry_id", "profile_id", "v").join(F.broadcast(mean("gm")), keys).join(F.broadcast(mean("mg", "geometry_id")), [*keys, "geometry_id"])
+    m = m.join(mean("mp", "profile_id"), [*keys, "profile_id"])
     ss = lambda c: F.sum(F.pow(c, F.lit(2.0)))
     total = F.greatest(ss(F.col("v") - F.col("gm")), F.lit(1e-12))
     return m.groupBy(*keys).agg(F.round(ss(F.col("mg") - F.col("gm")) / total, 6).alias("eta_geometry"), F.round(ss(F.col("mp") - F.col("gm")) / total, 6).alias("eta_profile"),
@@ -219,8 +224,8 @@ SELECT CAST(eps AS DOUBLE) AS eps, zone, ROUND(AVG(v), 6) AS mean_selectivity, R
 def pseudocount_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     eps = F.explode(F.array(*[F.lit(e) for e in (0.001, 0.0025, 0.005, 0.01, 0.02)])).alias("eps")
     x = replay(spark, sf_dir).select("*", eps).withColumn("v", F.log(F.col("f") + F.col("eps")) - F.log(F.col("area") + F.col("eps")))
-    mean = lambda *k: F.avg("v").over(Window.partitionBy("eps", "zone", *k))
-    m = x.select("eps", "zone", "v", mean().alias("gm"), mean("geometry_id").alias("mg"))
+    mean = lambda n, *k: F.broadcast(x.groupBy("eps", "zone", *k).agg(F.avg("v").alias(n)))  # noqa: E731  at most 50 geometries, 4 zones
+    m = x.join(mean("gm"), ["eps", "zone"]).join(mean("mg", "geometry_id"), ["eps", "zone", "geometry_id"])
     ss = lambda c: F.sum(F.pow(c, F.lit(2.0)))
     return m.groupBy("eps", "zone").agg(F.round(F.avg("v"), 6).alias("mean_selectivity"), F.round(ss(F.col("mg") - F.col("gm")) / F.greatest(ss(F.col("v") - F.col("gm")), F.lit(1e-12)), 5).alias("eta_geometry"))
 
@@ -321,7 +326,7 @@ def contingency_rand_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.rand_index(table(spark, sf_dir, "labels"), "quality", "toxic").withColumn("ari", F.round("ari", 6))
 
 
-@query("""SELECT page_id, CASE WHEN regexp_extract(replace(url, '-', ' '), '(?i)room[ _]*([0-9]+)', 1) = '' THEN 'unknown_room' ELSE 'room_' || regexp_extract(replace(url, '-', ' '), '(?i)room[ _]*([0-9]+)', 1) END AS room_id,
+@query("""SELECT page_id, CASE WHEN regexp_extract(replace(url, '-', ' '), '(?i)(^|[^a-z0-9])room[\\s_]*([0-9]+)', 2) = '' THEN 'unknown_room' ELSE 'room_' || CAST(regexp_extract(replace(url, '-', ' '), '(?i)(^|[^a-z0-9])room[\\s_]*([0-9]+)', 2) AS BIGINT) END AS room_id,
  CASE WHEN trim(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '_', 'g'), '_') = '' THEN 'unknown' ELSE trim(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '_', 'g'), '_') END AS slug,
  regexp_replace(lower(url), '[^a-z0-9]', '', 'g') AS compare_key FROM pages""")
 def url_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,38 +351,45 @@ def fraction_range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.round(text.fraction(F.col("f")), 6).alias("fps"), low.alias("low"), high.alias("high"))
 
 
-ENV_SQL = """env AS (SELECT o_custkey % 3 AS room_id, CAST(o_orderdate AS DATE) AS date, MIN(o_totalprice) / 19999 AS am_min, MAX(o_totalprice) / 19999 AS am_max,
- CASE WHEN COUNT(*) % 4 = 0 THEN NULL ELSE AVG(o_totalprice) / 19999 END AS pm, CASE WHEN COUNT(*) % 5 = 0 THEN NULL ELSE 50.0 END AS rh_am FROM orders GROUP BY ALL),
-n AS (SELECT *, (am_min + am_max) / 2 AS am_mean, coalesce(((am_min + am_max) / 2 + pm) / 2, (am_min + am_max) / 2, pm) AS daily,
- CASE WHEN am_min IS NULL AND pm IS NULL AND rh_am IS NULL THEN 'missing_temp_and_rh' WHEN pm IS NULL OR rh_am IS NULL THEN 'partial' ELSE 'ok' END AS flag FROM env)"""
+ENV_SQL = """env AS (SELECT o_custkey % 3 AS room_id, CAST(o_orderdate AS DATE) AS date, CASE WHEN COUNT(*) % 7 <> 0 THEN MIN(o_totalprice) / 19999 END AS am_min,
+ CASE WHEN COUNT(*) % 3 <> 0 AND COUNT(*) % 7 <> 0 THEN MAX(o_totalprice) / 19999 END AS am_max, CASE WHEN COUNT(*) % 4 <> 0 AND COUNT(*) % 7 <> 0 THEN AVG(o_totalprice) / 19999 END AS pm,
+ CASE WHEN COUNT(*) % 5 <> 0 AND COUNT(*) % 14 <> 0 THEN 50.0 END AS rh_am, CASE WHEN COUNT(*) % 6 <> 0 AND COUNT(*) % 10 <> 0 AND COUNT(*) % 14 <> 0 THEN 60.0 END AS rh_pm FROM orders GROUP BY ALL),
+m AS (SELECT *, coalesce((am_min + am_max) / 2, am_min, am_max) AS am_mean, coalesce((rh_am + rh_pm) / 2, rh_am, rh_pm) AS rh_daily FROM env),
+n AS (SELECT *, coalesce((am_mean + pm) / 2, am_mean, pm) AS daily, CASE WHEN date IS NULL THEN 'date_parse_failed' WHEN coalesce(am_mean, pm) IS NULL AND rh_daily IS NULL THEN 'missing_temp_and_rh'
+ WHEN coalesce(am_mean, pm) IS NULL OR rh_daily IS NULL THEN 'partial' ELSE 'ok' END AS flag FROM m)"""
 
 
 def environment(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
+    n, price = F.count("*"), lambda f: f("o_totalprice") / 19999
+    some = lambda *ks: reduce(lambda x, y: x & y, [n % k != 0 for k in ks])
     e = o.groupBy((F.col("o_custkey") % 3).alias("room_id"), F.col("o_orderdate").cast("date").alias("date")).agg(
-        (F.min("o_totalprice") / 19999).alias("am_min"), (F.max("o_totalprice") / 19999).alias("am_max"),
-        F.when(F.count("*") % 4 != 0, F.avg("o_totalprice") / 19999).alias("pm"), F.when(F.count("*") % 5 != 0, F.lit(50.0)).alias("rh_am"))
-    from ..operators.environment import normalise
-
+        F.when(some(7), price(F.min)).alias("am_min"), F.when(some(3, 7), price(F.max)).alias("am_max"), F.when(some(4, 7), price(F.avg)).alias("pm"),
+        F.when(some(5, 14), F.lit(50.0)).alias("rh_am"), F.when(some(6, 10, 14), F.lit(60.0)).alias("rh_pm"))
     return normalise(e)
 
 
-@query(f"WITH {ENV_SQL} SELECT room_id, date, ROUND(am_mean, 6) AS am_mean, ROUND(daily, 6) AS daily, ROUND(am_max - am_min, 6) AS temp_range, flag FROM n")
+@query(f"WITH {ENV_SQL} SELECT room_id, date, ROUND(am_mean, 6) AS am_mean, ROUND(daily, 6) AS daily, ROUND(rh_daily, 6) AS rh_daily, ROUND(am_max - am_min, 6) AS temp_range, flag FROM n")
 def environment_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = lambda c, n: F.round(c, 6).alias(n)
-    return environment(spark, sf_dir).select("room_id", "date", r("am_mean", "am_mean"), r("daily", "daily"), r(F.col("am_max") - F.col("am_min"), "temp_range"), "flag")
+    r = lambda c: F.round(c, 6).alias(c)
+    return environment(spark, sf_dir).select("room_id", "date", *map(r, ("am_mean", "daily", "rh_daily", "temp_range")), "flag")
 
 
-@query(f"""WITH {OBS_SQL}, {ENV_SQL} SELECT o.window_id, ROUND(coalesce(CASE WHEN hour(o.start_dt) < 12 THEN am_mean ELSE pm END, daily), 6) AS temp, coalesce(flag, 'no_environment') AS env_flag,
- CASE WHEN o.metric IS NULL THEN 'failed' WHEN o.quality < 0.2 THEN 'low_quality' WHEN n.room_id IS NULL OR flag <> 'ok' THEN 'warning' ELSE 'ok' END AS status
- FROM obs o LEFT JOIN n ON n.room_id = o.session_id AND n.date = CAST(o.start_dt AS DATE) + CAST(date '1995-01-01' - date '2024-01-01' AS INT)""")
+@query(f"""WITH {OBS_SQL}, {ENV_SQL}, x AS (SELECT o.*, n.*, CASE user_id % 11 WHEN 0 THEN 'Failed' WHEN 1 THEN ' warning' WHEN 2 THEN NULL ELSE 'ok' END AS video,
+ CASE user_id % 13 WHEN 0 THEN 'decode_failed' WHEN 1 THEN 'manifest_has_audio_false' WHEN 2 THEN '' ELSE 'OK' END AS sound, CASE user_id % 17 WHEN 0 THEN 'warning' WHEN 1 THEN 'failed' END AS upstream
+ FROM obs o LEFT JOIN n ON n.room_id = o.session_id AND n.date = CAST(o.start_dt AS DATE) + CAST(date '1995-01-01' - date '2024-01-01' AS INT))
+SELECT window_id, ROUND(coalesce(CASE WHEN hour(start_dt) < 12 THEN am_mean ELSE pm END, daily), 6) AS temp, coalesce(flag, '') AS env_flag,
+ CASE WHEN metric IS NULL OR lower(trim(video)) = 'failed' THEN 'failed' WHEN lower(coalesce(sound, '')) NOT IN ('', 'ok', 'manifest_has_audio_false') OR coalesce(flag, '') NOT IN ('', 'ok') THEN 'warning'
+  WHEN upstream IN ('warning', 'failed') THEN upstream WHEN lower(trim(video)) = 'warning' THEN 'warning' ELSE 'ok' END AS status FROM x""")
 def environment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = obs(spark, sf_dir).withColumn("date", F.date_add(F.col("start_dt").cast("date"), F.datediff(F.lit("1995-01-01"), F.lit("2024-01-01"))))
-    e = environment(spark, sf_dir).withColumnRenamed("room_id", "session_id").withColumn("found", F.lit(True))
-    x = o.join(e, ["session_id", "date"], "left")
+    x = o.join(environment(spark, sf_dir).withColumnRenamed("room_id", "session_id"), ["session_id", "date"], "left")
+    k = F.col("user_id")
+    video = F.when(k % 11 == 0, "Failed").when(k % 11 == 1, " warning").when(k % 11 != 2, "ok")
+    sound = F.when(k % 13 == 0, "decode_failed").when(k % 13 == 1, "manifest_has_audio_false").when(k % 13 == 2, "").otherwise("OK")
+    upstream = F.when(k % 17 == 0, "warning").when(k % 17 == 1, "failed")
     temp = F.coalesce(F.when(F.hour("start_dt") < 12, F.col("am_mean")).otherwise(F.col("pm")), F.col("daily"))
-    status = F.when(F.col("metric").isNull(), "failed").when(F.col("quality") < 0.2, "low_quality").when(F.col("found").isNull() | (F.col("flag") != "ok"), "warning").otherwise("ok")
-    return x.select("window_id", F.round(temp, 6).alias("temp"), F.coalesce("flag", F.lit("no_environment")).alias("env_flag"), status.alias("status"))
+    return x.select("window_id", F.round(temp, 6).alias("temp"), F.coalesce("flag", F.lit("")).alias("env_flag"), merged_status(F.col("metric"), video, sound, F.col("flag"), upstream).alias("status"))
 
 
 @query("""SELECT 'video' AS stage, o_orderkey AS window_id, 'no_items' AS issue FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)

@@ -1,13 +1,19 @@
-"""Every registered telemetry query against its SQL, over the smallest tables."""
+"""Every registered telemetry query against its SQL, and those without SQL against plain computations."""
 
 import glob
+import itertools
+import json
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
-from roomlens.plans import catalogue
+from conftest import DATA
+from roomlens.operators import models
+from roomlens.plans import catalogue, rules, studies
+from roomlens.plans.adapters import obs
 
 
 def rows(df):
@@ -28,21 +34,122 @@ def rows(df):
     return sorted((tuple(plain(x) for x in r) for r in df.itertuples(index=False)), key=repr)
 
 
-@pytest.fixture(scope="module")
-def duck(data):
+def views(folder):
     con = duckdb.connect()
-    for f in glob.glob(f"{data}/*.parquet"):
+    for f in glob.glob(f"{folder}/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
     return con
 
 
+@pytest.fixture(scope="module")
+def scales(data):
+    """The smallest tables, and larger ones for queries that have no rows there."""
+    larger = data.replace("sf0.001", "sf0.01")
+    return [(data, views(data)), (larger, views(larger))]
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
-def test_query_gives_the_rows_of_its_sql(spark, duck, data, name):
-    ours, sql = catalogue.QUERIES[name](spark, data).toPandas(), duck.sql(catalogue.ORACLE_SQL[name]).df()
-    assert sorted(ours.columns) == sorted(sql.columns)
-    assert rows(ours) == rows(sql)
+def test_query_gives_the_rows_of_its_sql(spark, scales, name):
+    for folder, duck in scales:
+        ours, sql = catalogue.QUERIES[name](spark, folder).toPandas(), duck.sql(catalogue.ORACLE_SQL[name]).df()
+        assert sorted(ours.columns) == sorted(sql.columns)
+        assert rows(ours) == rows(sql)
+        if len(ours):
+            return
+    raise AssertionError("no rows at either scale")
+
+
+def frame(spark, data, name):
+    return catalogue.QUERIES[name](spark, data).toPandas()
+
+
+def test_every_query_is_tested():
+    tested = {"bootstrap_interval", "weekly_bootstrap", "match_greedy", "record_json", "signed_rank_test", "hidden_state_grid", "spectral_features", "short_frame_features", "room_timeline", "response_intervals"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == tested
+
+
+def test_bootstrap_intervals_hold_the_mean_and_have_the_right_width(spark, data):
+    plain = obs(spark, data).filter("metric is not null").select("session_id", "metric").toPandas().groupby("session_id")["metric"]
+    got = frame(spark, data, "bootstrap_interval").set_index("session_id")
+    for k, v in plain:
+        r = got.loc[k]
+        assert r["n"] == len(v) and abs(r["mean"] - v.mean()) < 1e-5
+        half = 1.96 * v.std(ddof=0) / len(v) ** 0.5
+        assert abs(r["low"] - (v.mean() - half)) < 0.15 * half and abs(r["high"] - (v.mean() + half)) < 0.15 * half
+    w = frame(spark, data.replace("sf0.001", "sf0.01"), "weekly_bootstrap")
+    assert len(w) and (w["n"] >= 2).all() and ((w["low"] <= w["mean"]) & (w["mean"] <= w["high"])).all()
+
+
+def test_response_intervals(spark, data):
+    d = rules.daily_differences(spark, data).toPandas()
+    got = frame(spark, data, "response_intervals").set_index("phase")
+    for k, own in d.groupby("phase"):
+        means = own.groupby("session_id")["d"].agg(["sum", "count"])
+        each = [sum(means["sum"][i] for i in c) / sum(means["count"][i] for i in c) for c in itertools.product(means.index, repeat=len(means))]
+        r = got.loc[k]
+        assert r["clusters"] == len(means) and abs(r["mean"] - own["d"].mean()) < 1e-5
+        low, high = np.quantile(each, 0.025), np.quantile(each, 0.975)
+        assert abs(r["low"] - low) < 0.2 * (high - low) + 1e-5 and abs(r["high"] - high) < 0.2 * (high - low) + 1e-5
+        assert 0 <= r["p"] <= 1 and r["q"] >= r["p"] - 1e-6
+
+
+def test_signed_ranks_by_enumeration(spark):
+    d = [0.5, -1.0, 2.0, 3.0, -4.0, 6.0, 0.0, 7.5]
+    r = models.signed_rank(spark.createDataFrame([("a", x) for x in d], "k string, d double"), ["k"], "d").first()
+    v = sorted((x for x in d if x), key=abs)
+    plus = sum(i + 1 for i, x in enumerate(v) if x > 0)
+    sums = [sum((i + 1) * s for i, s in enumerate(signs)) for signs in itertools.product((0, 1), repeat=len(v))]
+    low = min(plus, sum(range(1, len(v) + 1)) - plus)
+    assert r["n"] == len(v) and r["w_plus"] == plus and abs(r["p"] - min(1, 2 * sum(s <= low for s in sums) / len(sums))) < 1e-9
+    assert len(frame(spark, DATA, "signed_rank_test")) == 2
+
+
+def test_greedy_matches_by_force(spark, data):
+    o = obs(spark, data)
+    ev = sorted((r["user_id"], r["event_id"], r["start_dt"]) for r in studies.anchors(o).collect())
+    cand = [(r["user_id"], r["row_id"], r["start_dt"]) for r in studies.candidates(o).orderBy("row_id").collect()]
+    want, used = {}, {}
+    for u, e, t in ev:
+        best = None
+        for v, c, s in cand:
+            if v != u or c == e or any(abs((s - x).total_seconds()) < 1200 for x in used.get(u, [])):
+                continue
+            clock = abs(s.hour * 60 + s.minute - t.hour * 60 - t.minute)
+            days = abs((s.date() - t.date()).days)
+            score = min(clock, 1440 - clock) + (60 if days == 0 else 0) + 0.1 * days
+            if best is None or score < best[0] - 1e-12:
+                best = (score, c, s)
+        if best:
+            used.setdefault(u, []).append(best[2])
+            want[e] = best[1]
+    got = frame(spark, data, "match_greedy")
+    assert dict(zip(got["event_id"], got["row_id"])) == want and want
+
+
+def test_frames_by_numpy(spark, data):
+    e = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
+    long, short = frame(spark, data, "spectral_features").set_index("frame"), frame(spark, data, "short_frame_features").set_index("frame")
+    assert set(long.index) == set(e) == set(short.index)
+    last = {}
+    for k in sorted(e):
+        x = e[k]
+        m = np.abs(np.fft.rfft(x * np.hanning(len(x))))
+        f = np.fft.rfftfreq(len(x), 1 / 22050)
+        p = m * m
+        assert abs(long.loc[k, "rms"] - np.sqrt((x * x).mean())) < 1e-4 and abs(long.loc[k, "centroid"] - (f * m).sum() / m.sum()) < 1e-2
+        s = short.loc[k]
+        assert s["dominant"] == round(f[m.argmax()], 6) and abs(s["band_2_5khz"] - p[(f >= 2000) & (f <= 5000)].sum() / p.sum()) < 1e-5
+        bands = np.array([b.sum() for b in np.array_split(p, 10)]) / p.sum()
+        assert abs(s["energy_entropy"] + (bands * np.log(bands + 1e-12)).sum() / np.log(10)) < 1e-5
+        n, media = m / m.sum(), s["media_id"]
+        assert abs(s["flux"] - (np.sqrt(((n - last[media]) ** 2).sum()) if media in last else 0.0)) < 1e-5
+        last[media] = n
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
-def test_query_without_sql_gives_rows(spark, data, name):
-    assert catalogue.QUERIES[name](spark, data).limit(1).count() <= 1
+def test_records_timelines_and_states(spark, data):
+    r = frame(spark, data, "record_json")
+    assert len(r) == 90 and (r["errors"] == "").all() and all(isinstance(json.loads(x), dict) for x in r["record"])
+    t = frame(spark, data, "room_timeline")
+    assert len(t) == 3 and all(len(json.loads(x)) == n > 0 for x, n in zip(t["timeline"], t["frames"]))
+    g = frame(spark, data, "hidden_state_grid")
+    assert sorted(zip(g["states"], g["seed"])) == [(2, 1), (2, 2), (3, 1), (3, 2)] and np.isfinite(g["log_likelihood"]).all()

@@ -89,9 +89,10 @@ def test_sliding_windows(spark):
 
 
 def test_environment(spark):
-    df = spark.createDataFrame([(20.0, 24.0, 25.0, 50.0), (None, None, None, None), (20.0, None, None, 1.0)], "am_min double, am_max double, pm double, rh_am double")
+    df = spark.createDataFrame([("d", 20.0, 24.0, 25.0, 50.0, None), ("d", None, None, None, None, None), ("d", 20.0, None, None, 1.0, None), ("d", 20.0, None, None, None, None)],
+                               "date string, am_min double, am_max double, pm double, rh_am double, rh_pm double")
     got = [(r["am_mean"], r["daily"], r["flag"]) for r in environment.normalise(df).collect()]
-    assert got == [(22.0, 23.5, "ok"), (None, None, "missing_temp_and_rh"), (20.0, 20.0, "partial")]
+    assert got == [(22.0, 23.5, "ok"), (None, None, "missing_temp_and_rh"), (20.0, 20.0, "ok"), (20.0, 20.0, "partial")]
     assert one(spark, a=environment.reading(F.lit("n/a")), b=environment.reading(F.lit("x")), c=environment.reading(F.lit(" 2.5 "))) == {"a": None, "b": None, "c": 2.5}
 
 
