@@ -41,3 +41,29 @@ def audit(df: DataFrame, key: list[str]) -> DataFrame:
     return back.agg(F.count("*").alias("records"), F.count_distinct(*key).alias("distinct_keys"), F.sum(F.col("bad").cast("int")).alias("faulty"),
                     F.max(F.abs(F.col("again.mean") - F.col("record.mean"))).alias("max_error"),
                     F.sum(F.size(F.filter("again.zones", lambda z: z["share"].isNull()))).alias("absent_zones"))
+
+
+#: Fields of a record with their kinds, whether they must be there, and their ranges (fixed names of the contract).
+FIELDS = (("version", "string", True, None), ("session_id", "long", True, (0, None)), ("date", "string", True, None), ("zones", "array", True, None), ("mean", "double", False, None))
+
+
+def schema_errors(text: Column) -> Column:
+    """Broken rules of a record's JSON text: no object, fields that are missing, unknown, of another kind or out of range."""
+    v = F.try_parse_json(text)
+    kind = {"string": "STRING", "long": "BIGINT", "double": "DOUBLE", "array": "ARRAY"}
+    object_ = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    rules = [F.when(~object_, F.lit("not_an_object"))]
+    keys = F.map_keys(F.from_json(text, "map<string,string>"))
+    for name, k, needed, span in FIELDS:
+        own = F.try_variant_get(v, f"$.{name}", "variant")
+        is_kind = F.coalesce(F.schema_of_variant(own), F.lit("VOID"))
+        absent = ~F.array_contains(keys, name)
+        if needed:
+            rules.append(F.when(object_ & (absent | (is_kind == "VOID")), F.lit(f"missing:{name}")))
+        fits = is_kind.startswith(kind[k]) | (is_kind == "VOID") | (F.lit(k == "double") & is_kind.rlike("^(BIGINT|DECIMAL)"))
+        rules.append(F.when(object_ & ~absent & ~fits, F.lit(f"kind:{name}")))
+        if span:
+            rules.append(F.when(object_ & (F.try_variant_get(v, f"$.{name}", "double") < span[0]), F.lit(f"range:{name}")))
+    known = F.array(*[F.lit(n) for n, *_ in FIELDS])
+    rules.append(F.when(object_ & (F.size(F.array_except(keys, known)) > 0), F.lit("unknown_field")))
+    return F.filter(F.array(*rules), lambda x: x.isNotNull())

@@ -67,3 +67,8 @@ def pooled(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
     s = v.groupBy(group).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns])
     x = v.join(s, group)
     return x.select(group, *[F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")).alias(c) for c in columns])
+
+
+def sample_cap(df: DataFrame, keys: list[str], most: int, seed: int = 20260816) -> DataFrame:
+    """At most ``most`` rows, those of least hash of the keys and the seed: the same rows in any order and partitioning."""
+    return df.withColumn("_h", F.xxhash64(F.lit(seed), *keys)).orderBy("_h", *keys).limit(most).drop("_h")

@@ -195,3 +195,57 @@ def phase_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether every phase of an event has rows enough."""
     o = obs(spark, sf_dir)
     return events.phase_counts(o.select("user_id", "secs"), anchors(o), "user_id", COVER)
+
+
+@query("""WITH c AS (SELECT quality AS t, toxic AS p FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), k AS (SELECT DISTINCT t AS label FROM c),
+m AS (SELECT label, COUNT(*) FILTER (t = label) AS s, COUNT(*) FILTER (p = label) AS q, COUNT(*) FILTER (t = label AND p = label) AS h FROM k, c GROUP BY label)
+SELECT ROUND(AVG(h / s), 6) AS balanced_accuracy, ROUND(AVG(CASE WHEN s + q > 0 THEN 2 * h / (s + q) ELSE 0 END), 6) AS macro_f1, COUNT(*) AS labels FROM m""")
+def balanced_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean recall and mean F1 over the labels that occur."""
+    c = table(spark, sf_dir, "labels").select(F.col("quality").alias("t"), F.col("toxic").alias("p")).filter("t is not null and p is not null")
+    cells = c.groupBy("t", "p").agg(F.count("*").alias("n"))
+    true = cells.groupBy(F.col("t").alias("label")).agg(F.sum("n").alias("s"), F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("h"))
+    said = cells.groupBy(F.col("p").alias("label")).agg(F.sum("n").alias("q"))
+    x = true.join(said, "label", "left").select("s", "h", F.coalesce("q", F.lit(0)).alias("q"))
+    return x.agg(F.round(F.avg(F.col("h") / F.col("s")), 6).alias("balanced_accuracy"), F.round(F.avg(2 * F.col("h") / (F.col("s") + F.col("q"))), 6).alias("macro_f1"), F.count("*").alias("labels"))
+
+
+SCALE_SQL = """a AS (SELECT user_id % 50 AS k, AVG(metric) AS raw FROM obs GROUP BY 1), g AS (SELECT k, raw, raw / (1 + k % 7) AS norm, (1 + k % 7) * 1.0 AS geo FROM a),
+d AS (SELECT raw - lag(raw) OVER (ORDER BY k) AS raw, norm - lag(norm) OVER (ORDER BY k) AS norm, geo - lag(geo) OVER (ORDER BY k) AS geo FROM g),
+r AS (SELECT *, rank() OVER (ORDER BY raw) + (COUNT(*) OVER (PARTITION BY raw) - 1) / 2.0 AS rr, rank() OVER (ORDER BY norm) + (COUNT(*) OVER (PARTITION BY norm) - 1) / 2.0 AS rn, rank() OVER (ORDER BY geo) + (COUNT(*) OVER (PARTITION BY geo) - 1) / 2.0 AS rg FROM d WHERE raw IS NOT NULL)"""
+
+
+@query(f"""WITH {OBS_SQL}, {SCALE_SQL} SELECT COUNT(*) AS boundaries, ROUND(corr(geo, raw), 6) AS raw_pearson, ROUND(corr(geo, norm), 6) AS normalized_pearson, ROUND(corr(rg, rr), 6) AS raw_spearman, ROUND(corr(rg, rn), 6) AS normalized_spearman FROM r""")
+def camera_scale_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of a reading, raw and by scale, against steps of the scale, between at most 50 geometries in order."""
+    from ..operators.stats import average_rank
+
+    k = F.col("user_id") % 50
+    g = obs(spark, sf_dir).groupBy(k.alias("k")).agg(F.avg("metric").alias("raw")).withColumn("geo", 1.0 + F.col("k") % 7).withColumn("norm", F.col("raw") / F.col("geo"))
+    w = Window.orderBy("k")  # at most 50 rows
+    d = g.select(*[(F.col(c) - F.lag(c).over(w)).alias(c) for c in ("raw", "norm", "geo")]).filter("raw is not null")
+    r = d.select("*", *[average_rank(c, []).alias(f"r_{c}") for c in ("raw", "norm", "geo")])
+    c = lambda a, b: F.round(num.safe_corr(F.col(a), F.col(b)), 6)
+    return r.agg(F.count("*").alias("boundaries"), c("geo", "raw").alias("raw_pearson"), c("geo", "norm").alias("normalized_pearson"), c("r_geo", "r_raw").alias("raw_spearman"), c("r_geo", "r_norm").alias("normalized_spearman"))
+
+
+@query(f"""WITH {OBS_SQL}, d AS (SELECT session_id, CAST(start_dt AS DATE) AS date, SUM(metric * quality) / nullif(SUM(CASE WHEN metric IS NOT NULL THEN quality END), 0) AS raw, AVG(metric / (1 + user_id % 7)) AS norm FROM obs WHERE quality > 0 GROUP BY ALL),
+l AS (SELECT session_id, 'raw' AS series, date, raw AS v FROM d UNION ALL SELECT session_id, 'normalized', date, norm FROM d), k AS (SELECT * FROM l WHERE v IS NOT NULL),
+r AS (SELECT session_id, series, rank() OVER (PARTITION BY session_id, series ORDER BY date) AS a, rank() OVER (PARTITION BY session_id, series ORDER BY v) + (COUNT(*) OVER (PARTITION BY session_id, series, v) - 1) / 2.0 AS b FROM k)
+SELECT session_id, series, COUNT(*) AS days, ROUND(corr(a, b), 6) AS rho FROM r GROUP BY ALL""")
+def downstream_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend over the days of a session, of a raw and of a normalised daily series."""
+    from ..operators.stats import spearman
+
+    o = obs(spark, sf_dir).filter("quality > 0")
+    d = o.groupBy("session_id", F.col("start_dt").cast("date").alias("date")).agg(num.weighted_mean(F.col("metric"), F.col("quality")).alias("raw"), F.avg(F.col("metric") / (1 + F.col("user_id") % 7)).alias("normalized"))
+    x = d.unpivot(["session_id", "date"], ["raw", "normalized"], "series", "v")
+    return spearman(x, ["session_id", "series"], "date", "v").select("session_id", "series", F.col("n").alias("days"), F.round("rho", 6).alias("rho"))
+
+
+@query(f"""WITH {OBS_SQL}, s AS (SELECT session_id, window_id, zone, metric, quality FROM obs WHERE metric BETWEEN 20 AND 60 AND quality >= 0.3 AND zone <> 'outside') SELECT session_id, window_id, zone FROM s QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY abs(metric - 40), quality DESC, window_id) = 1""")
+def example_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best example row of each session within ranges of value, quality and zone."""
+    s = obs(spark, sf_dir).filter("metric between 20 and 60 and quality >= 0.3 and zone <> 'outside'").select("session_id", "window_id", "zone", "metric", "quality")
+    best = F.min_by(F.struct("window_id", "zone"), F.struct(F.abs(F.col("metric") - 40).alias("d"), (-F.col("quality")).alias("q"), F.col("window_id")))
+    return s.groupBy("session_id").agg(best.alias("b")).select("session_id", "b.window_id", "b.zone")

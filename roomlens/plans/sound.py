@@ -11,7 +11,7 @@ from .registry import query
 
 #: Order lines as frames of a tenth of a second: a supplier is a medium, its lines in order are its frames.
 FRAMES_SQL = """frames AS (SELECT l_suppkey AS media_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS frame, l_quantity AS rms, l_discount AS flux,
- (l_partkey % 13) / 4000.0 AS flatness, (l_partkey % 50) / 1000.0 AS band_2_5khz, (l_partkey % 7) / 2000.0 AS band_3_6khz, (l_orderkey % 25) / 100.0 AS band_300_1500hz, l_tax AS energy_entropy, l_quantity * 100 AS dominant FROM lineitem)"""
+ (l_partkey % 13) / 4001.0 AS flatness, (l_partkey % 50) / 1000.0 AS band_2_5khz, (l_partkey % 7) / 2000.0 AS band_3_6khz, (l_orderkey % 25) / 100.0 AS band_300_1500hz, l_tax AS energy_entropy, l_quantity * 100 AS dominant FROM lineitem)"""
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_partkey")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("media_id"), (F.row_number().over(w) - 1).cast("long").alias("frame"), F.col("l_quantity").alias("rms"), F.col("l_discount").alias("flux"),
-        (k % 13 / 4000.0).alias("flatness"), (k % 50 / 1000.0).alias("band_2_5khz"), (k % 7 / 2000.0).alias("band_3_6khz"), (F.col("l_orderkey") % 25 / 100.0).alias("band_300_1500hz"),
+        (k % 13 / 4001.0).alias("flatness"), (k % 50 / 1000.0).alias("band_2_5khz"), (k % 7 / 2000.0).alias("band_3_6khz"), (F.col("l_orderkey") % 25 / 100.0).alias("band_300_1500hz"),
         F.col("l_tax").alias("energy_entropy"), (F.col("l_quantity") * 100).alias("dominant"))
 
 
@@ -48,11 +48,11 @@ def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FRAMES_SQL}, {MEDIA_SQL}, {WINDOW_SQL} SELECT media_id, win, COUNT(*) AS frames, ROUND(AVG(rms), 6) AS rms, ROUND(AVG(energy_entropy), 6) AS energy_entropy, ROUND(AVG(band_2_5khz), 6) AS band_2_5khz,
- ROUND(AVG(band_3_6khz), 6) AS band_3_6khz, ROUND(AVG(band_300_1500hz), 6) AS band_300_1500hz, ROUND(AVG(flux), 6) AS flux, ROUND(AVG(flatness), 9) AS flatness, median(dominant) AS dominant FROM f GROUP BY ALL""")
+ ROUND(AVG(band_3_6khz), 6) AS band_3_6khz, ROUND(AVG(band_300_1500hz), 6) AS band_300_1500hz, ROUND(AVG(flux), 6) AS flux, ROUND(AVG(flatness), 6) AS flatness, median(dominant) AS dominant FROM f GROUP BY ALL""")
 def sound_window_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the frames of a window, and the median of the dominant frequency."""
     names = ("rms", "energy_entropy", "band_2_5khz", "band_3_6khz", "band_300_1500hz", "flux", "flatness")
-    return windowed(spark, sf_dir).groupBy(*KEYS).agg(F.count("*").alias("frames"), *[F.round(F.avg(c), 9 if c == "flatness" else 6).alias(c) for c in names], F.percentile("dominant", 0.5).alias("dominant"))
+    return windowed(spark, sf_dir).groupBy(*KEYS).agg(F.count("*").alias("frames"), *[F.round(F.avg(c), 6).alias(c) for c in names], F.percentile("dominant", 0.5).alias("dominant"))
 
 
 EVENT_SQL = """w AS (SELECT media_id, win, quantile_cont(flux, 0.6) AS f60, quantile_cont(flux, 0.9) AS f90, quantile_cont(rms, 0.6) AS r60, quantile_cont(band_2_5khz, 0.7) AS b70, quantile_cont(band_300_1500hz, 0.7) AS l70 FROM f GROUP BY ALL),

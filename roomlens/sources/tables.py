@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.errors import AnalysisException
 
-from ..functions.text import room_id, safe_folder
+from ..functions.text import room_id, safe_folder, video_key
 
 
 def list_files(spark: SparkSession, root: str, pattern: str, include: list[str] | None = None, exclude: list[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -29,6 +29,88 @@ def list_files(spark: SparkSession, root: str, pattern: str, include: list[str]
     return f.select(F.format_string("media_%06d", n).alias("media_id"), "path", "length", "modified", "room_id")
 
 
+def hashed_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(path, length, sha256) of files; contents are hashed where they are read and do not travel."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    return f.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def track_files(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
+    """(video_key, path) of track files: session and video are the two folders above the file; of one video the first path stays."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path")
+    p = F.split("path", "/")
+    key = video_key(F.element_at(p, -3), F.concat(F.element_at(p, -2), F.lit(".MP4")))
+    return f.filter(F.size(p) >= 3).groupBy(key.alias("video_key")).agg(F.min("path").alias("path"))
+
+
+def read_room_days(spark: SparkSession, path: str, room: str, first: str, last: str, room_col: str = "room_id", time_col: str = "start_time") -> DataFrame:
+    """Rows of a CSV table (all texts) of one room whose time text begins with a date from ``first`` to ``last``."""
+    t = spark.read.option("header", True).csv(path)
+    return t.filter((F.col(room_col) == room) & F.substring(time_col, 1, 10).between(first, last))
+
+
+def read_fallbacks(spark: SparkSession, text: str) -> DataFrame:
+    """(room_id, zone_id, polygon) of a YAML text with manual zones by room; needs a YAML reader."""
+    import yaml
+
+    rows = [(room, z["zone_id"], [[float(x) for x in p] for p in z.get("polygon", [])]) for room, zones in ((yaml.safe_load(text) or {}).get("rooms") or {}).items() for z in zones or []]
+    return spark.createDataFrame(rows, "room_id string, zone_id string, polygon array<array<double>>")
+
+
+def cached(df: DataFrame, path: str, fingerprint: str, force: bool = False) -> DataFrame:
+    """``df`` from a Parquet copy at ``path`` if that was made with the same fingerprint (of inputs and settings), else made anew. The
+    fingerprint is written after the rows, so an unfinished copy is not taken."""
+    spark = df.sparkSession
+    try:
+        known = spark.read.text(f"{path}.fingerprint").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = None
+    if force or known is None or known[0] != fingerprint:
+        df.write.mode("overwrite").parquet(path)
+        spark.createDataFrame([(fingerprint,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.fingerprint")
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def copy_named(spark: SparkSession, names: dict[str, str], to: str) -> DataFrame:
+    """(name, rows) of Parquet tables written again under ``to`` by their names; a table that does not exist has null rows."""
+    done = []
+    for name, path in names.items():
+        try:
+            spark.read.parquet(path).write.mode("overwrite").parquet(f"{to}/{name}")
+            done.append((name, spark.read.parquet(f"{to}/{name}").count()))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            done.append((name, None))
+    return spark.createDataFrame(done, "name string, rows long")
+
+
+def report(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
+    """A Markdown text of bounded tables: aggregates are made in Spark, at most ``most`` rows of each are shown, and a line says how
+    many are not."""
+    out = [f"# {title}"]
+    for name, df in tables.items():
+        rows = df.limit(most + 1).collect()
+        out += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+        out += ["| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in r) + " |" for r in rows[:most]]
+        if len(rows) > most:
+            out += ["", f"{df.count() - most} more rows are not shown."]
+        if not rows:
+            out += ["", "No rows."]
+    return "\n".join(out) + "\n"
+
+
+def save_model(path: str, posteriors: DataFrame, parameters: dict[str, DataFrame], about: dict) -> None:
+    """A model's posteriors, parameter tables and description under one folder, each as it is written by Spark."""
+    posteriors.write.mode("overwrite").parquet(f"{path}/posteriors")
+    for name, df in parameters.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    spark = posteriors.sparkSession
+    spark.createDataFrame([(json.dumps(about, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
 def read_if_exists(spark: SparkSession, path: str, schema: StructType, kind: str = "csv") -> DataFrame:
     """A table with a fixed schema; empty if there is none."""
     try:

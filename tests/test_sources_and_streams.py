@@ -136,3 +136,65 @@ def test_streams(spark, tmp_path):
     assert [r["transition"] for r in run(live.distribution_steps(shares), "d").orderBy("ts").collect()] == [0.0, 1.0]
     live.append_batches(s, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_track_files_and_hashes(spark, tmp_path):
+    for p in ("S1/V1/tracks.csv", "S1/v1/other.csv", "S2/V2/t.csv"):
+        f = tmp_path / p
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(p)
+    got = {r["video_key"]: r["path"].rsplit("/", 2)[-2:] for r in tables.track_files(spark, str(tmp_path)).collect()}
+    assert got == {"s1|v1.mp4": ["V1", "tracks.csv"], "s2|v2.mp4": ["V2", "t.csv"]}
+    import hashlib
+
+    sums = {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in tables.hashed_files(spark, str(tmp_path), "t.csv").collect()}
+    assert sums == {"t.csv": hashlib.sha256(b"S2/V2/t.csv").hexdigest()}
+
+
+def test_filtered_csv_and_fallbacks(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("room_id,start_time\nroom_1,2025-07-03T10:00\nroom_1,2025-08-03T10:00\nroom_2,2025-07-03T10:00\n")
+    assert [r["start_time"] for r in tables.read_room_days(spark, str(tmp_path / "w.csv"), "room_1", "2025-07-01", "2025-07-31").collect()] == ["2025-07-03T10:00"]
+    f = tables.read_fallbacks(spark, "rooms:\n  room_1:\n    - zone_id: feeding_zone\n      polygon: [[0, 0], [4, 0], [4, 4]]\n").first()
+    assert (f["room_id"], f["zone_id"], f["polygon"]) == ("room_1", "feeding_zone", [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0]])
+    assert tables.read_fallbacks(spark, "").count() == 0
+
+
+def test_cache_copy_report_and_model(spark, tmp_path):
+    a, b = spark.range(3), spark.range(5)
+    path = str(tmp_path / "c")
+    assert [tables.cached(a, path, "1").count(), tables.cached(b, path, "1").count(), tables.cached(b, path, "2").count(), tables.cached(a, path, "2", force=True).count()] == [3, 3, 5, 3]
+    got = {r["name"]: r["rows"] for r in tables.copy_named(spark, {"x": path, "y": str(tmp_path / "none")}, str(tmp_path / "out")).collect()}
+    assert got == {"x": 3, "y": None}
+    text = tables.report("Run", {"ids": b, "none": b.limit(0)}, most=2)
+    assert "| id |" in text and "3 more rows are not shown." in text and "No rows." in text
+    tables.save_model(str(tmp_path / "m"), a, {"profiles": b}, {"states": 2})
+    assert spark.read.parquet(str(tmp_path / "m" / "profiles")).count() == 5 and json.loads(spark.read.text(str(tmp_path / "m" / "about")).first()[0]) == {"states": 2}
+
+
+def test_polygons_and_priority(spark):
+    z = "semantic_type string, zone_id string, polygons array<array<array<double>>>, polygon array<array<double>>"
+    sq = lambda a, b: [[a, a], [b, a], [b, b], [a, b]]
+    df = spark.createDataFrame([("", "drinking_zone", None, sq(0.0, 2.4)), ("feeding", "x", [sq(1.0, 4.0), []], None), ("resting", "r", [], sq(0.0, 1.0)[:2]), ("other", "o", None, sq(0.0, 9.0))], z)
+    t = raster.by_type(df)
+    assert sorted((r["kind"], r["polygon"][2]) for r in t.collect()) == [("drinking", [2.0, 2.0]), ("feeding", [4.0, 4.0])]
+    px = raster.grid(spark, 5, 5)
+    code = lambda grow: {(r["x"], r["y"]): r["code"] for r in raster.assigned(px, t, grow=grow).collect()}
+    c = code(0)
+    assert len(c) == 25 and c[0, 0] == 1 and c[1, 1] == 1 and c[2, 2] == 2 and c[3, 3] == 2 and c[4, 4] == 0
+    up, down = code(1), code(-1)
+    assert up[2, 0] == 1 and up[4, 3] == 2 and up[4, 4] == 0 and down[0, 0] == 1 and down[1, 1] == 0 and down[2, 2] == 2 and down[3, 3] == 0
+
+
+def test_schema_errors(spark):
+    good = '{"version":"v","session_id":1,"date":"d","zones":[],"mean":null}'
+    cases = {good: "", "[]": "not_an_object", "x": "not_an_object", good.replace('"d"', "3"): "kind:date", good.replace(":1,", ":-1,"): "range:session_id", good.replace('"date":"d",', ""): "missing:date", good.replace('"mean"', '"other"'): "unknown_field", good.replace("null", "2"): ""}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["e"] for r in df.select("t", F.array_join(contract.schema_errors(F.col("t")), ";").alias("e")).collect()} == cases
+
+
+def test_sample_cap(spark):
+    from roomlens.operators import quality
+
+    df = spark.range(100)
+    one, two = (sorted(r["id"] for r in quality.sample_cap(d, ["id"], 10).collect()) for d in (df, df.repartition(7).orderBy(F.col("id").desc())))
+    assert one == two and len(one) == 10 and quality.sample_cap(df, ["id"], 1000).count() == 100
