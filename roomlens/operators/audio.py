@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import logistic
-from .stats import robust_center_scale
 from .windows import close_gaps
 
 
@@ -167,16 +166,20 @@ def above_group_quantile(df: DataFrame, keys: list[str], levels: dict[str, float
 
 
 def regime_scores(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Dense, sparse and background scores from two axes: robust z, logistic between the 95th and 99th percentile."""
-    for c in (x, y):
-        s = robust_center_scale(df, [], c).select(F.col("center").alias("_c"), F.col("scale").alias("_s"))
-        df = df.crossJoin(F.broadcast(s)).withColumn(f"{c}_z", (F.col(c) - F.col("_c")) / F.col("_s")).drop("_c", "_s")  # one row
-    q = df.agg(*[F.percentile(f"{c}_z", F.array(F.lit(0.95), F.lit(0.99))).alias(f"_{c}") for c in (x, y)])
-    df = df.crossJoin(F.broadcast(q))
-    score = lambda c: logistic((F.col(f"{c}_z") - F.col(f"_{c}")[0]) / F.greatest(F.col(f"_{c}")[1] - F.col(f"_{c}")[0], F.lit(0.1)))
-    df = df.withColumn("dense", score(x)).withColumn("sparse", score(y))
-    df = df.withColumn("background", (1 - F.col("dense")) * (1 - F.col("sparse")))
-    return df.drop(f"_{x}", f"_{y}")
+    """Dense, sparse and background scores from two axes: robust z, logistic between the 95th and 99th percentile. Both axes are
+    measured together: one pass for quantiles and deviations, one for the deviations from the medians."""
+    axes = (x, y)
+    q = df.agg(*[F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95, 0.99)))).alias(f"_q_{c}") for c in axes], *[F.stddev_pop(c).alias(f"_sd_{c}") for c in axes])
+    away = df.select(*axes).crossJoin(F.broadcast(q))  # one row
+    m = away.agg(*[F.percentile(F.abs(F.col(c) - F.col(f"_q_{c}")[1]), 0.5).alias(f"_mad_{c}") for c in axes], *[F.first(k).alias(k) for c in axes for k in (f"_q_{c}", f"_sd_{c}")])
+    out = df.crossJoin(F.broadcast(m))  # one row
+    for c, name in zip(axes, ("dense", "sparse"), strict=True):
+        at = lambda k, c=c: F.col(f"_q_{c}")[k]
+        scale = F.greatest(1.4826 * F.col(f"_mad_{c}"), (at(2) - at(0)) / 1.349, F.col(f"_sd_{c}"), F.lit(1e-6))
+        z = lambda v, scale=scale, at=at: (v - at(1)) / scale
+        out = out.withColumn(f"{c}_z", z(F.col(c))).withColumn(name, logistic((z(F.col(c)) - z(at(3))) / F.greatest(z(at(4)) - z(at(3)), F.lit(0.1))))
+    out = out.withColumn("background", (1 - F.col("dense")) * (1 - F.col("sparse")))
+    return out.drop(*[f"{k}_{c}" for c in axes for k in ("_q", "_sd", "_mad")])
 
 
 def top_label(scores: dict[str, Column]) -> tuple[Column, Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import num
-from ..operators import audio, contract, models
+from ..operators import audio, contract, models, states
 from .adapters import OBS_SQL, obs, table
 from .registry import query
 from .studies import means
@@ -95,6 +95,16 @@ def hidden_state_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("states", "seed", F.round("log_likelihood", 3).alias("log_likelihood"), "rounds", F.round("largest_share", 4).alias("largest_share"))
 
 
+@query()
+def hidden_state_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out likelihoods of 2 to 12 states, three folds of sessions and three seeds; a session's day of hourly means is a sequence."""
+    h = obs(spark, sf_dir).groupBy((F.col("session_id") % 3).cast("int").alias("fold"), "session_id", F.date_trunc("hour", "start_dt").alias("hour")).agg(F.avg("metric").alias("m"), F.avg("quality").alias("q"))
+    r = F.struct("hour", F.array("m", "q").alias("x"), F.array(F.coalesce("q", F.lit(0.0)), F.coalesce("q", F.lit(0.0))).alias("w"))
+    seq = h.groupBy("fold", "session_id", F.col("hour").cast("date").alias("date")).agg(F.sort_array(F.collect_list(r)).alias("r"))
+    g = states.cross_validated(seq.select("fold", F.col("r.x").alias("x"), F.col("r.w").alias("w")), list(range(2, 13)), 3, [11, 23, 37])
+    return g.select("states", "fold", "seed", "rounds", "train_rows", "test_rows", *[F.round(c, 3).alias(c) for c in ("train_ll", "test_ll")], F.round("test_ll_per_row", 5).alias("test_ll_per_row"))
+
+
 @query()
 def spectral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding vectors read as frames of samples."""

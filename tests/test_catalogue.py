@@ -64,7 +64,7 @@ def frame(spark, data, name):
 
 
 def test_every_query_is_tested():
-    tested = {"bootstrap_interval", "weekly_bootstrap", "match_greedy", "record_json", "signed_rank_test", "hidden_state_grid", "spectral_features", "short_frame_features", "room_timeline", "response_intervals"}
+    tested = {"bootstrap_interval", "weekly_bootstrap", "match_greedy", "record_json", "signed_rank_test", "hidden_state_grid", "hidden_state_cv", "spectral_features", "short_frame_features", "room_timeline", "response_intervals"}
     assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == tested
 
 
@@ -153,3 +153,10 @@ def test_records_timelines_and_states(spark, data):
     assert len(t) == 3 and all(len(json.loads(x)) == n > 0 for x, n in zip(t["timeline"], t["frames"]))
     g = frame(spark, data, "hidden_state_grid")
     assert sorted(zip(g["states"], g["seed"])) == [(2, 1), (2, 2), (3, 1), (3, 2)] and np.isfinite(g["log_likelihood"]).all()
+
+
+def test_hidden_state_folds(spark, data, tmp_path):
+    g = frame(spark, data, "hidden_state_cv")
+    assert len(g) == 99 and set(g["states"]) == set(range(2, 13)) and (g["train_rows"] + g["test_rows"]).nunique() == 1 and np.isfinite(g["test_ll_per_row"]).all()
+    best = g.groupby("states")["train_ll"].max()
+    assert best[12] > best[2]
