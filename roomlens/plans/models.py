@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import num
-from ..operators import audio, contract, models, states
+from ..operators import audio, contract, models, predict, states
 from .adapters import OBS_SQL, obs, table
 from .registry import query
 from .studies import means
@@ -105,6 +105,14 @@ def hidden_state_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("states", "fold", "seed", "rounds", "train_rows", "test_rows", *[F.round(c, 3).alias(c) for c in ("train_ll", "test_ll")], F.round("test_ll_per_row", 5).alias("test_ll_per_row"))
 
 
+@query()
+def nuisance_predictability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well session, hour, value and quality tell the zone of users that are not trained on."""
+    o = obs(spark, sf_dir).select("user_id", "zone", "session_id", F.hour("start_dt").alias("hour"), "metric", "quality")
+    p = predict.predictability(o, "zone", "user_id", ["session_id", "hour"], ["metric", "quality"])
+    return p.select("fold", "n", *[F.round(c, 3).alias(c) for c in ("balanced_accuracy", "macro_f1", "chance")])
+
+
 @query()
 def spectral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding vectors read as frames of samples."""

@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 
 from conftest import DATA
-from roomlens.operators import models
+from roomlens.operators import models, predict
 from roomlens.plans import catalogue, rules, studies
 from roomlens.plans.adapters import obs
 
@@ -64,7 +64,7 @@ def frame(spark, data, name):
 
 
 def test_every_query_is_tested():
-    tested = {"bootstrap_interval", "weekly_bootstrap", "match_greedy", "record_json", "signed_rank_test", "hidden_state_grid", "hidden_state_cv", "spectral_features", "short_frame_features", "room_timeline", "response_intervals"}
+    tested = {"bootstrap_interval", "weekly_bootstrap", "match_greedy", "record_json", "signed_rank_test", "hidden_state_grid", "hidden_state_cv", "nuisance_predictability", "spectral_features", "short_frame_features", "room_timeline", "response_intervals"}
     assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == tested
 
 
@@ -161,3 +161,15 @@ def test_hidden_state_folds(spark, data, tmp_path):
     assert len(g) == 99 and set(g["states"]) == set(range(2, 13)) and (g["train_rows"] + g["test_rows"]).nunique() == 1 and np.isfinite(g["test_ll_per_row"]).all()
     best = g.groupby("states")["train_ll"].max()
     assert best[12] > best[2]
+
+
+def test_predictability(spark, data):
+    r = np.random.default_rng(0)
+    rows = [(g, "ab"[g % 2], "xy"[g % 2], float(r.normal())) for g in range(60) for _ in range(3)]
+    df = spark.createDataFrame(rows, "g int, label string, c string, v double")
+    told = predict.predictability(df, "label", "g", ["c"], ["v"], folds=3).toPandas()
+    blind = predict.predictability(df, "label", "g", [], ["v"], folds=3).toPandas()
+    assert (told["balanced_accuracy"] == 1).all() and (told["chance"] == 0.5).all() and told["n"].sum() == 180 and (blind["balanced_accuracy"] < 0.75).all()
+    assert predict.predictability(df.filter("label = 'a'"), "label", "g", ["c"], ["v"], folds=3).count() == 0
+    n = frame(spark, data, "nuisance_predictability")
+    assert n["n"].sum() == 1000 and ((n["balanced_accuracy"] > 0.02) & (n["balanced_accuracy"] < 0.6)).all()
