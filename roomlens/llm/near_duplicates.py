@@ -456,11 +456,15 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` with the one of smallest id of each class; columns stay as they are. Rows that repeat an id stay only once
-    where their class has other members; a null id stays."""
-    c = classes(docs, id_col=id_col, text_col=text_col, **kw)
-    gone = cut(c.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_roomlens_gone")).distinct())
-    kept = docs.join(small_or_plain(gone), F.col(id_col) == F.col("_roomlens_gone"), "left_anti")
-    if c.groupBy(id_col).count().filter(F.col("count") > 1).filter(F.col(id_col).isNotNull()).limit(1).count():
-        kept = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
-    return kept
+    """``docs`` with the one of smallest id of each class; columns stay as they are. Where ids repeat, rows are told apart by id and
+    text, so rows of one id with unlike texts all stay, and of rows equal in both one does; null ids come last. Where they do not,
+    a null id stays."""
+    many = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter(F.col("count") > 1).limit(1).count()
+    key, keyed = id_col, docs
+    if many:
+        key = "_roomlens_key"
+        keyed = docs.withColumn(key, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(utf8(text_col)).alias("h")))
+    c = classes(keyed.select(key, text_col), id_col=key, text_col=text_col, **kw)
+    gone = cut(c.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_roomlens_gone")).distinct())
+    kept = keyed.join(small_or_plain(gone), F.col(key) == F.col("_roomlens_gone"), "left_anti")
+    return kept.dropDuplicates([key]).drop(key) if many else kept
