@@ -111,7 +111,6 @@ def write(docs: DataFrame, path: str, folder: str, *, id_col: str = "doc_id", te
     ranged = base.repartitionByRange(parts, "i", F.xxhash64("t")).sortWithinPartitions("i", F.xxhash64("t"), "t")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim(tokenizers=False)
         ctx = TaskContext.get()
         tok, k = tokenizer(path), ctx.partitionId()
         fs, root = _fs(folder)
@@ -144,6 +143,7 @@ def write(docs: DataFrame, path: str, folder: str, *, id_col: str = "doc_id", te
             for what in ("sequences", "index"):
                 fs.move(f"{root}/.{mine}.{what}", f"{root}/{name}.{what}.arrow")
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([name]), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], ["shard", "name", "n_docs", "n_tokens"])
+        trim()
 
     made = cut(ranged.mapInArrow(shard, "shard long, name string, n_docs long, n_tokens long"))
     return made.withColumn("start", F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens"))

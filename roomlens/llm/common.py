@@ -49,12 +49,11 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def trim(tokenizers: bool = True) -> None:
-    """Give memory back to the system: Python workers are reused by later stages and would keep the most that any stage
-    needed. Called where a partition ends, and with ``tokenizers`` false where one that encodes begins, which keeps the
-    tokenizers and their tables."""
+def trim() -> None:
+    """Give memory back to the system where a partition ends: Python workers are reused in turn by later stages and would keep the
+    most that any stage needed; so idle workers hold no tokenizer, whose table is made anew for each partition."""
     tokens = sys.modules.get("roomlens.llm.tokens")
-    if tokenizers and tokens is not None:
+    if tokens is not None:
         tokens._OPEN.clear()
     pa.default_memory_pool().release_unused()
     release = getattr(ctypes.CDLL(None), "malloc_trim", None)

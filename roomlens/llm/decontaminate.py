@@ -105,7 +105,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int)
         yield block
 
 
-def _scan_udf(sets):
+def _scan_udf(sets, cutout: bool):
+    """``cutout``: also the text without the hit spans, null where no word is hit; in the same worker, which holds the set once."""
     def run(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         s = sets.value
         for texts, masks, items in it:
@@ -117,19 +118,21 @@ def _scan_udf(sets):
                 if mask is not None:
                     hit |= np.unpackbits(np.frombuffer(bytes(mask), np.uint8), count=len(words)).astype(bool)
                     names = {*names, *known}
-                rows.append((len(words), int(hit.sum()), sorted(names), np.packbits(hit).tobytes()))
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "mask"])
+                clean = remove_spans(bytes(text), hit).decode("utf-8", "replace") if cutout and hit.any() else None
+                rows.append((len(words), int(hit.sum()), sorted(names), np.packbits(hit).tobytes(), clean))
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "mask", "clean"])
         trim()
 
-    return F.pandas_udf(run, "n_words long, n_hit long, items array<string>, mask binary")
+    return F.pandas_udf(run, "n_words long, n_hit long, items array<string>, mask binary, clean string")
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-         window: int = 10, block_chars: int = 16_000_000, out: str = "benchmark_hits") -> DataFrame:
-    """``docs`` with a struct column ``out``: n_words, n_hit, items (texts of item ids, sorted) and mask (bits of hit words)."""
+         window: int = 10, block_chars: int = 16_000_000, out: str = "benchmark_hits", cutout: bool = False) -> DataFrame:
+    """``docs`` with a struct column ``out``: n_words, n_hit, items (texts of item ids, sorted), mask (bits of hit words) and clean, which
+    with ``cutout`` is the text without the hit spans where there are any, else null."""
     spark = docs.sparkSession
     bound_batches(spark)
-    kind = "struct<n_words:bigint,n_hit:bigint,items:array<string>,mask:binary>"
+    kind = "struct<n_words:bigint,n_hit:bigint,items:array<string>,mask:binary,clean:string>"
     found, sets = docs.withColumn(out, F.lit(None).cast(kind)), None
     for block in _blocks(benchmark, item_id, item_text, block_chars):
         if sets is not None:
@@ -137,10 +140,10 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
             found = cut(found)
             sets.destroy()
         sets = spark.sparkContext.broadcast(WindowSet(block, window))
-        found = found.withColumn(out, _scan_udf(sets)(utf8(text_col), F.col(out)["mask"], F.col(out)["items"]))
+        found = found.withColumn(out, _scan_udf(sets, cutout)(utf8(text_col), F.col(out)["mask"], F.col(out)["items"]))
     if sets is None:
         sets = spark.sparkContext.broadcast(WindowSet([], window))
-        found = found.withColumn(out, _scan_udf(sets)(utf8(text_col), F.col(out)["mask"], F.col(out)["items"]))
+        found = found.withColumn(out, _scan_udf(sets, cutout)(utf8(text_col), F.col(out)["mask"], F.col(out)["items"]))
     return found
 
 
@@ -176,15 +179,7 @@ def remove_spans(text: bytes, mask: np.ndarray) -> bytes:
 def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", drop_share: float = 0.5, **kw) -> DataFrame:
     """``docs`` without benchmark passages: hit spans leave the text; a document with at least ``drop_share`` of its
     words hit goes. Columns and clean texts stay as they are."""
-    m = mark(docs, benchmark, text_col=text_col, out="_roomlens_hits", **kw)
-
-    @F.pandas_udf("string")
-    def cutout(texts: pd.Series, masks: pd.Series, counts: pd.Series) -> pd.Series:
-        return pd.Series([
-            remove_spans(bytes(t), np.unpackbits(np.frombuffer(bytes(b), np.uint8), count=n).astype(bool)).decode("utf-8", "replace")
-            if n else "" for t, b, n in zip(texts, masks, counts, strict=True)], dtype=object)
-
+    m = mark(docs, benchmark, text_col=text_col, out="_roomlens_hits", cutout=True, **kw)
     h = "_roomlens_hits"
     kept = m.filter((F.col(f"{h}.n_hit") == 0) | (F.col(f"{h}.n_hit") < drop_share * F.col(f"{h}.n_words")))
-    new = F.when(F.col(f"{h}.n_hit") > 0, cutout(utf8(text_col), F.col(f"{h}.mask"), F.col(f"{h}.n_words"))).otherwise(F.col(text_col))
-    return kept.withColumn(text_col, new).drop(h)
+    return kept.withColumn(text_col, F.coalesce(F.col(f"{h}.clean"), F.col(text_col))).drop(h)

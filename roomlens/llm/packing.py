@@ -94,7 +94,6 @@ def pieces(docs: DataFrame, path: str, *, id_col: str, text_col: str, capacity:
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim(tokenizers=False)
         tok, part = tokenizer(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
@@ -119,6 +118,7 @@ def pieces(docs: DataFrame, path: str, *, id_col: str, text_col: str, capacity:
                 [b.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()),
                  pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part), pa.int64()), pa.array(rank, pa.int64())],
                 [id_col, "piece", "start", "length", "ids_crc32", "part", "at"])
+        trim()
 
     base = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     kind = f"`{id_col}` {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long, part long, at long"

@@ -395,8 +395,19 @@ def fit(docs: DataFrame, *, text_col: str = "text", train_docs: int = TRAIN_DOCS
     return train(rows)
 
 
-def find(docs: DataFrame, net: Net | None, *, text_col: str = "text", out: str = "pii") -> DataFrame:
-    """``docs`` with a struct column ``out``: base and spans, arrays of (kind, start, end) by kind, then start."""
+def put_kinds(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """``text`` with every span replaced by its kind in brackets; overlapping spans go as one under the first's kind."""
+    parts, end = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= end:
+            parts += [text[end:a], f"[{KINDS[kind].upper()}]"]
+        end = max(end, b)
+    return "".join([*parts, text[end:]])
+
+
+def find(docs: DataFrame, net: Net | None, *, text_col: str = "text", out: str = "pii", replace: bool = False) -> DataFrame:
+    """``docs`` with a struct column ``out``: base and spans, arrays of (kind, start, end) by kind, then start, and redacted, which with
+    ``replace`` is the text with its spans replaced where there are any, else null."""
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(net)
@@ -406,11 +417,13 @@ def find(docs: DataFrame, net: Net | None, *, text_col: str = "text", out: str =
             base = [base_spans(t) for t in texts]
             more = added_spans(shared.value, list(texts), base)
             pack = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in spans]
-            yield pd.DataFrame({"base": [pack(b) for b in base], "spans": [pack(sorted(b + m)) for b, m in zip(base, more, strict=True)]})
+            every = [sorted(b + m) for b, m in zip(base, more, strict=True)]
+            new = [put_kinds(t, s) if replace and s else None for t, s in zip(texts, every, strict=True)]
+            yield pd.DataFrame({"base": [pack(b) for b in base], "spans": [pack(s) for s in every], "redacted": pd.Series(new, dtype=object)})
         trim()
 
     one = "array<struct<kind:string,start:long,end:long>>"
-    return docs.withColumn(out, F.pandas_udf(run, f"base {one}, spans {one}")(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return docs.withColumn(out, F.pandas_udf(run, f"base {one}, spans {one}, redacted string")(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -424,19 +437,5 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans go as one under the first's kind."""
-    m = find(docs, fit(docs, text_col=text_col), text_col=text_col, out="_roomlens_pii")
-
-    @F.pandas_udf("string")
-    def put(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, own in zip(texts, spans, strict=True):
-            parts, end = [], 0
-            for s in sorted(own, key=lambda s: (s["start"], -s["end"])):
-                if s["start"] >= end:
-                    parts += [t[end : s["start"]], f"[{s['kind'].upper()}]"]
-                end = max(end, s["end"])
-            out.append("".join([*parts, t[end:]]))
-        return pd.Series(out)
-
-    new = F.when(F.size("_roomlens_pii.spans") > 0, put(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col("_roomlens_pii.spans")))
-    return m.withColumn(text_col, new.otherwise(F.col(text_col))).drop("_roomlens_pii")
+    m = find(docs, fit(docs, text_col=text_col), text_col=text_col, out="_roomlens_pii", replace=True)
+    return m.withColumn(text_col, F.coalesce(F.col("_roomlens_pii.redacted"), F.col(text_col))).drop("_roomlens_pii")

@@ -20,7 +20,6 @@ Bytes that are no UTF-8 become U+FFFD.
 from __future__ import annotations
 
 import itertools
-import json
 import os
 import re
 
@@ -32,9 +31,9 @@ from tokenizers import Tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
 
 #: Slots of the table, bytes of a piece and ids that a slot holds (about 42 bytes a slot); bytes of text cut at a time.
-SLOT_BITS, BYTES, IDS = 20, 24, 8
+SLOT_BITS, BYTES, IDS = 19, 24, 8
 SLOTS = 1 << SLOT_BITS
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _SPACE, _LETTER, _SIGN = (np.zeros(256, bool) for _ in range(3))
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -84,11 +83,9 @@ class PieceTokenizer:
         self.tok = Tokenizer.from_file(path)
         added = [re.escape(x.content) for x in self.tok.get_added_tokens_decoder().values()]
         self.odd = f"(?i){'|'.join([*added, _ASCII + _OTHER, _OTHER + _ASCII])}"
-        with open(path, encoding="utf-8") as f:
-            made = json.load(f)
-        self.lower = '"type":"Lowercase"' in json.dumps(made["normalizer"], separators=(",", ":"))
+        self.lower = self.tok.normalizer is not None and self.tok.normalizer.normalize_str("A") == "a"
         # ids that end a word where the vocabulary marks word ends, else ids that begin with the space before a word
-        self.suffix = made["model"].get("end_of_word_suffix")
+        self.suffix = self.tok.model.end_of_word_suffix
         self.edge = np.zeros(1 << 16, bool)
         for word, k in self.tok.get_vocab().items():
             self.edge[k] = word.endswith(self.suffix) if self.suffix else word.startswith("\u0120")
