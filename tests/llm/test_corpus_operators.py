@@ -97,6 +97,13 @@ def test_classes_of_odd_rows(odd, empty):
     assert kept.columns == odd.columns and kept.count() == 5
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    a, b, c = "one text of some words", "another text of other words", "a third text without an id"
+    df = spark.createDataFrame([(7, a, 1), (7, b, 2), (3, b, 3), (9, a, 4), (9, a, 4), (None, c, 5), (None, c, 5), (None, "a fourth text of no id", 6)], "doc_id long, text string, n long")
+    got = sorted((r["n"] for r in near_duplicates.keep_one(df).collect()))
+    assert got == [1, 3, 5, 6]
+
+
 def test_subset_and_prefix_bounds():
     for n in range(1, 60):
         for m in range(n, near_duplicates.largest(n) + 1):
