@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, byte_pairs, decontaminate, html, licences, near_duplicates, packing, pii, quality, toxicity, urls
+from . import binary, byte_pairs, decontaminate, html, licences, near_duplicates, packing, periodic, pii, quality, toxicity, urls
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,30 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.report(_t(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth document by h = crc32 of its id goes on, from word a on, in a period of p words: a = g mod n, p = 1 + (n - a) div (3 + g mod 8), g = h div 10,
+    n words. A null id counts as the empty text."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g, n = F.floor(h / 10), F.size("w")
+    d = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    d = d.withColumn("a", F.when(n > 0, (g % n).cast("int"))).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    rest, period = n - F.col("a"), F.slice("w", F.col("a") + 1, F.col("p"))
+    again = F.slice(F.flatten(F.array_repeat(period, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    return d.select("doc_id", F.when(n > 0, F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = periodic.find(with_planted_runs(_t(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("start"), (-x["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(x["start"].cast("string"), F.lit(","), x["length"].cast("string"), F.lit(","), x["period"].cast("string"), F.lit("\n"))), "")
+    sha = lambda c: F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256)
+    return r.withColumn("m", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("m.start")).alias("start"), F.col("m.length").alias("length"), (-F.col("m.period")).alias("period"),
+        F.floor(1000 * F.col("m.length") / -F.col("m.period")).cast("long").alias("exponent_milli"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_jaccard_join, op4_pii, op5_quality, op6_token_files, op7_html_text, op8_licence_scan, op9_packing, op10_decontaminate,
-                                     op12_byte_bpe)}
+                                     op12_byte_bpe, op13_periodic_runs)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: Links over shared shingles, then reachability by a recursive union.
