@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, byte_pairs, decontaminate, html, licences, near_duplicates, packing, periodic, pii, quality, toxicity, urls
+from . import binary, byte_pairs, decontaminate, html, licences, near_duplicates, packing, periodic, pii, quality, ranked, toxicity, urls
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.report(_t(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -82,7 +86,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_jaccard_join, op4_pii, op5_quality, op6_token_files, op7_html_text, op8_licence_scan, op9_packing, op10_decontaminate,
-                                     op12_byte_bpe, op13_periodic_runs)}
+                                     op11_ranked_search, op12_byte_bpe, op13_periodic_runs)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: Links over shared shingles, then reachability by a recursive union.
@@ -106,4 +110,13 @@ m AS (SELECT doc_id, COUNT(*) AS n_items, sha256(string_agg(CAST(item_id AS VARC
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
  FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": JACCARD_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
+#: Postings of the items' terms, integer scores, ranks.
+RANKED_SQL = rf"""WITH d AS MATERIALIZED (SELECT doc_id, {_ALNUM} AS w FROM documents), b AS (SELECT DISTINCT item_id, unnest({_ALNUM}) AS t FROM benchmark),
+g AS (SELECT CAST(COUNT(*) AS BIGINT) AS n_docs, CAST(SUM(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+p AS MATERIALIZED (SELECT doc_id, n, t, COUNT(*) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM b) GROUP BY ALL),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * COUNT(*) + 1))) AS BIGINT) AS weight FROM p, g GROUP BY t, n_docs),
+s AS (SELECT item_id, doc_id, CAST(SUM(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM p JOIN f USING (t) JOIN b USING (t), g GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50"""
+
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": JACCARD_SQL, "op10_decontaminate": DECONTAMINATE_SQL, "op11_ranked_search": RANKED_SQL}
