@@ -10,7 +10,7 @@ before tokens that begin with a space and puts the bytes of each different piece
 
 Cases: a null text is empty and has no ids; bytes that are no UTF-8 become U+FFFD, and so decode; repeated rows and ids stay; a null
 array of ids decodes to no bytes; an id that the vocabulary lacks is an error; other columns are not read. A worker keeps the
-words of one partition, at most ``MEMO_WORDS`` at a time. Letters and numbers are those of Java's Unicode tables.
+words and pieces of one partition, about ``MEMO_WORDS`` of each at a time. Letters and numbers are those of Java's Unicode tables.
 """
 
 from __future__ import annotations
@@ -21,14 +21,13 @@ from collections.abc import Iterator
 
 import duckdb
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import bound_batches, trim
+from .common import BATCH_BYTES, bound_batches, trim
 
 #: Bytes up to which a word contracts one pair a round; words that one query gets; bytes of long words that one query gets; words that a
 #: partition's memo holds before it starts anew; ids of a piece that is decoded.
@@ -64,8 +63,9 @@ SELECT w, list(id ORDER BY s) AS ids FROM t JOIN (SELECT w, max(k) AS k FROM t G
 EVERY = "(n - coalesce(max(CASE WHEN rank IS DISTINCT FROM low THEN n END) OVER (PARTITION BY w ORDER BY n), 0)) % 2 = 1"
 FIRST = "n = min(CASE WHEN rank = low THEN n END) OVER (PARTITION BY w)"
 
-DECODE = """SELECT piece, unhex(string_agg(hex, '' ORDER BY place)) AS bytes FROM (SELECT piece, unnest(ids) AS id, generate_subscripts(ids, 1) AS place FROM pieces)
- JOIN vocabulary USING (id) GROUP BY piece ORDER BY piece"""
+#: Each piece's bytes, aggregated by place and put in that order; rows hold (piece, place, id).
+DECODE = f"""SELECT piece, unhex(concat({", ".join(f"max(CASE WHEN place = {k} THEN hex END)" for k in range(PIECE_IDS))})) AS bytes
+ FROM pieces JOIN vocabulary USING (id) GROUP BY piece ORDER BY piece"""
 
 
 def split_words(text: Column, pattern: str) -> Column:
@@ -85,6 +85,7 @@ class Codec:
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self._table("merges", pa.table({"pair": pa.array([p for p, _ in both], pa.int64()), "rank": pa.array([r for _, r in both], pa.int32())}))
         self._table("vocabulary", pa.table({"id": pa.array(rank.values(), pa.int32()), "hex": [t.hex() for t in rank]}))
+        self.tokens, self.token_ids = pa.array(list(rank), pa.binary()), pa.array(rank.values(), pa.int32())
         self.byte = np.array([rank[bytes([b])] for b in range(256)], np.int32)
         self.known = np.zeros(max(rank.values()) + 1, bool)
         self.known[list(rank.values())] = True
@@ -100,20 +101,21 @@ class Codec:
         self.con.unregister("_rows")
 
     def forget(self) -> None:
-        """Start the memo of words anew."""
-        self.place: dict[str, int] = {}
-        self.ids = pa.array([], pa.list_(pa.int32()))
+        """Start the memos of words and of decoded pieces anew."""
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+        self.pieces, self.bytes = pa.array([], pa.binary()), pa.array([], pa.large_binary())
 
     def is_closed(self) -> bool:
         """Whether each token is what its bytes contract to, one pair a round."""
-        tokens = list(self.rank)
-        return all(found.equals(pa.array([[self.rank[t]] for t in part], found.type)) for part in
-                   (tokens[k : k + QUERY_WORDS] for k in range(0, len(tokens), QUERY_WORDS)) for found in [self.contract(part, one=True)])
+        return all(self.contract(self.tokens.slice(k, QUERY_WORDS), one=True).equals(pa.ListArray.from_arrays(pa.array(range(len(own) + 1), pa.int32()), own))
+                   for k in range(0, len(self.tokens), QUERY_WORDS) for own in [self.token_ids.slice(k, QUERY_WORDS)])
 
-    def _run(self, query: str, words: list[bytes]) -> pa.ListArray:
-        size = np.fromiter(map(len, words), np.int64, len(words))
+    def _run(self, query: str, words: pa.BinaryArray) -> pa.ListArray:
+        words = pa.concat_arrays([words])
+        size = pc.binary_length(words).to_numpy()
         ends = np.cumsum(size)
-        data = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        first = int(np.frombuffer(words.buffers()[1], np.int32)[words.offset])
+        data = self.byte[np.frombuffer(words.buffers()[2], np.uint8)[first : first + ends[-1]]]
         following = np.append(data[1:], np.int32(0))
         following[ends - 1] = (1 << 17) - 1  # no id
         self.con.register("bytes_of_words", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "s": (np.arange(len(data)) - np.repeat(ends - size, size)).astype(np.int32),
@@ -122,39 +124,34 @@ class Codec:
         self.con.unregister("bytes_of_words")
         return found.cast(pa.list_(pa.int32()))
 
-    def contract(self, words: list[bytes], one: bool = False) -> pa.ListArray:
+    def contract(self, words: pa.BinaryArray, one: bool = False) -> pa.ListArray:
         """The ids of words of at least one byte, by the recursive queries alone; ``one``: one pair a round."""
-        short = np.array([len(w) <= (255 if one else SHORT_BYTES) for w in words], bool)
+        size = pc.binary_length(words).to_numpy()
+        short = size <= (255 if one else SHORT_BYTES)
         order = np.concatenate([np.flatnonzero(short), np.flatnonzero(~short)])
-        few, many = [words[k] for k in np.flatnonzero(short)], [words[k] for k in np.flatnonzero(~short)]
-        parts = [self._run(ONE_PAIR, few[k : k + QUERY_WORDS]) for k in range(0, len(few), QUERY_WORDS)]
-        pick, lo = EVERY if self.every else FIRST, 0
+        few, many = words.filter(pa.array(short)), words.filter(pa.array(~short))
+        parts = [self._run(ONE_PAIR, few.slice(k, QUERY_WORDS)) for k in range(0, len(few), QUERY_WORDS)]
+        query, upto, lo = ALL_PAIRS.replace("@PICK", EVERY if self.every else FIRST), np.cumsum(size[~short]), 0
         while lo < len(many):
-            hi, size = lo + 1, len(many[lo])
-            while hi < len(many) and size + len(many[hi]) <= QUERY_BYTES:
-                size += len(many[hi])
-                hi += 1
-            parts.append(self._run(ALL_PAIRS.replace("@PICK", pick), many[lo:hi]))
+            hi = max(lo + 1, int(np.searchsorted(upto, QUERY_BYTES + (upto[lo - 1] if lo else 0), "right")))
+            parts.append(self._run(query, many.slice(lo, hi - lo)))
             lo = hi
-        if not parts:
-            return pa.array([], pa.list_(pa.int32()))
-        return pa.concat_arrays(parts).take(pa.array(np.argsort(order, kind="stable")))
+        return pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *parts]).take(pa.array(np.argsort(order, kind="stable")))
 
     def encode(self, words: pa.ListArray) -> pa.ListArray:
         """The ids of rows of words."""
         coded = words.flatten().dictionary_encode()
-        own = coded.dictionary.to_pylist()
-        if len(self.place) > MEMO_WORDS:
+        own = coded.dictionary
+        if len(self.words) > MEMO_WORDS:
             self.forget()
-        fresh = [w for w in own if w not in self.place]
-        raw = [w.encode() for w in fresh]
-        whole = [self.rank.get(b) for b in raw]
-        order = [k for k, r in enumerate(whole) if r is not None] + [k for k, r in enumerate(whole) if r is None]
-        self.ids = pa.concat_arrays([self.ids, pa.array([[r] for r in whole if r is not None], pa.list_(pa.int32())), self.contract([b for b, r in zip(raw, whole, strict=True) if r is None])])
-        for k in order:
-            self.place[fresh[k]] = len(self.place)
-        at = np.fromiter((self.place[w] for w in own), np.int64, len(own))
-        found = self.ids.take(pa.array(at[coded.indices.to_numpy()]))
+        fresh = own.filter(pc.invert(pc.is_in(own, value_set=self.words)))
+        at = pc.index_in(fresh.cast(pa.binary()), value_set=self.tokens)
+        whole = at.is_valid()
+        rest = fresh.filter(pc.invert(whole))
+        single = self.token_ids.take(at.drop_null())
+        self.words = pa.concat_arrays([self.words, fresh.filter(whole), rest])
+        self.ids = pa.concat_arrays([self.ids, pa.ListArray.from_arrays(pa.array(range(len(single) + 1), pa.int32()), single), self.contract(rest.cast(pa.binary()))])
+        found = self.ids.take(pc.index_in(own, value_set=self.words).take(coded.indices))
         bounds = np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy())])
         rows = np.concatenate([[0], np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
         return pa.ListArray.from_arrays(pa.array(bounds[rows].astype(np.int32)), found.flatten())
@@ -170,28 +167,31 @@ class Codec:
         begins = self.spaced[flat]
         begins[rows[rows < len(flat)]] = True
         start = np.flatnonzero(begins)
-        inside = np.arange(len(flat)) - np.repeat(start, np.diff(np.append(start, len(flat))))
-        begins |= inside % PIECE_IDS == 0
+        begins |= (np.arange(len(flat)) - np.repeat(start, np.diff(np.append(start, len(flat))))) % PIECE_IDS == 0
         start = np.flatnonzero(begins)
         size = np.diff(np.append(start, len(flat)))
-        # pieces are told apart by their ids, three in a word of 64 bits; 0 stands for none
-        padded = np.append(flat.astype(np.int64) + 1, np.zeros(PIECE_IDS, np.int64))
-        code = np.zeros(len(start), np.int64)
-        for k in range(0, PIECE_IDS, 3):
-            word = np.zeros(len(start), np.int64)
-            for j in range(k, min(k + 3, PIECE_IDS)):
-                word = word << 21 | np.where(size > j, padded[start + j], 0)
-            code = pd.factorize(code << 32 | pd.factorize(word)[0])[0]
-        _, first = np.unique(code, return_index=True)
-        pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[first])]).astype(np.int32)), pa.array(flat[np.repeat(start[first] - np.cumsum(size[first]) + size[first], size[first]) + np.arange(size[first].sum())]))
-        self.con.register("pieces", pa.table({"piece": np.arange(len(first), dtype=np.int32), "ids": pieces}))
-        data = self.con.sql(DECODE).to_arrow_table()["bytes"].combine_chunks().cast(pa.large_binary())
-        self.con.unregister("pieces")
-        found = data.take(pa.array(code))
-        bounds = np.concatenate([[0], np.cumsum(pc.binary_length(found).to_numpy())]).astype(np.int64)
-        upto = np.searchsorted(start, rows)
+        # pieces as texts of equal size, -1 where a piece has no id
+        table = np.append(flat, np.full(PIECE_IDS, -1, np.int32)).astype(np.int32)[start[:, None] + np.arange(PIECE_IDS)]
+        table[np.arange(PIECE_IDS) >= size[:, None]] = -1
+        bounds = np.arange(len(start) + 1, dtype=np.int32) * (4 * PIECE_IDS)
+        coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(table)]).dictionary_encode()
+        own = coded.dictionary
+        if len(self.pieces) > MEMO_WORDS:
+            self.forget()
+        new = pc.invert(pc.is_in(own, value_set=self.pieces))
+        fresh = own.filter(new)
+        if len(fresh):
+            _, first = np.unique(coded.indices.to_numpy(), return_index=True)
+            rows_of = table[first[new.to_numpy(zero_copy_only=False)]]
+            piece, place = np.nonzero(rows_of >= 0)
+            self.con.register("pieces", pa.table({"piece": piece.astype(np.int32), "place": place.astype(np.int8), "id": rows_of[piece, place]}))
+            data = self.con.sql(DECODE).to_arrow_table()["bytes"].combine_chunks().cast(pa.large_binary())
+            self.con.unregister("pieces")
+            self.pieces, self.bytes = pa.concat_arrays([self.pieces, fresh]), pa.concat_arrays([self.bytes, data])
+        found = self.bytes.take(pc.index_in(own, value_set=self.pieces).take(coded.indices))
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(found).to_numpy())]).astype(np.int64)
         joined = np.frombuffer(found.buffers()[2], np.uint8)[np.frombuffer(found.buffers()[1], np.int64)[found.offset] :]
-        return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(bounds[upto]), pa.py_buffer(joined)])
+        return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends[np.searchsorted(start, rows)]), pa.py_buffer(joined)])
 
 
 _OPEN: dict[str, Codec] = {}
@@ -204,13 +204,26 @@ def codec(path: str) -> Codec:
     return _OPEN[path]
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``BATCH_BYTES``, so that a query has enough to do."""
+    own, size = [], 0
+    for b in batches:
+        own.append(b)
+        size += b.nbytes
+        if size >= BATCH_BYTES:
+            yield pa.concat_batches(own)
+            own, size = [], 0
+    if own:
+        yield pa.concat_batches(own)
+
+
 def _mapped(docs: DataFrame, id_col: str, column: Column, fields: list[StructField], path: str, row_columns) -> DataFrame:
     """Rows of the id and what ``row_columns(codec, values)`` gives for each batch of ``column``."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for b in batches:
+        for b in gathered(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), *row_columns(own, b.column(1))], names=["id", *(f.name for f in fields)])
         own.forget()
         trim()
