@@ -2,18 +2,19 @@
 
 Markup is read into lines (the blocks of a page, white space folded, character references decoded), each with the zone in
 which it stands: the article, page furniture (menus, headers and footers outside an article, sidebars, forms, adverts,
-notices, reader comments), or neither. Pages are sorted by host, path, id and url; a page is paired with the ``PAIRED``
-pages next to it on its host, nearest path first. Lines of the pair are aligned by longest common subsequence and lines shared
-outside the article are deleted, as is furniture. Lines of the article stay here: copies of one article on a host are no
-boilerplate. A neighbour that shares nearly all unzoned lines (``COPY_SHARE``) is a copy of the page and is passed over.
-Lines that nearly all different pages of a host share (``HOST_SHARE``, at least ``HOST_PAGES``) go wherever they stand, in
-an article too; pages whose lines outside the furniture are equal count as one, and a page of nothing else keeps its lines.
-If the article holds at least half of the characters that remain, unzoned lines go too; else they are text like it.
+notices, reader comments), or neither. The text is all lines of the article and all unzoned lines that are no boilerplate, in page order.
+
+Boilerplate is found by differencing. Pages are sorted by host, path, id and url. A page that shares nearly all unzoned lines (``COPY_SHARE``)
+with the page before it on its host is a copy, as is one with the same lines; copies in succession are one run, however long. A page is paired with the pages
+next to its run, the last of the run before and the first of the run behind; lines are aligned by longest common subsequence, and unzoned
+lines that a pair shares are deleted. So every page is compared past its copies, and copies of one text keep it.
+Unzoned lines that nearly all different pages of a host have (``HOST_SHARE``, at least ``HOST_PAGES``) go too, and do not count where copies are told; pages
+whose lines outside the furniture are equal count as one, and a page of nothing else keeps its lines. Lines inside an article always stay.
 
 Cases: null html or url is the empty text; a page without a neighbour on its host keeps its unzoned lines; unclosed and
 cut markup is read as far as it goes; repeated rows each give a row; ties in the order do not change which lines are shared.
-Sorting and pairing go by the rank over all pages in chunks of ``CHUNK`` with one page of overlap on each side, so a host
-with a third of all pages is many groups.
+Sorting goes by the rank over all pages; pages meet the one before in chunks of ``CHUNK`` ranks, runs are numbered by range partitions, and a run's two
+neighbours are looked up once and joined to its pages, so a host or a run with a third of all pages is many groups.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import bound_batches, cut, small_or_plain
 from .urls import host_path
 
-#: Pages of one group, the share of equal lines that makes a neighbour a copy, neighbours tried on each side, pages compared.
-CHUNK, COPY_SHARE, REACH, PAIRED = 64, 0.8, 3, 2
-#: A line of this share of a host's different pages, and of so many at least, belongs to the host.
+#: Pages of one group, the share of equal lines that makes a neighbour a copy.
+CHUNK, COPY_SHARE = 64, 0.8
+#: An unzoned line of this share of a host's different pages, and of so many at least, belongs to the host.
 HOST_SHARE, HOST_PAGES = 0.9, 3
 
 ARTICLE, FURNITURE, OTHER = 2, 1, 0
@@ -104,7 +105,7 @@ def lines(page: str) -> list[tuple[str, int]]:
         marked = bool(m[3]) and zone != FURNITURE and any(MARKS.search(x) for a in _ATTR.findall(m[3]) for x in a if x)
         if marked or (name in _ASIDE and not (name == "header" and zone == ARTICLE)):
             inside = FURNITURE
-        elif name in ("article", "main") and zone != FURNITURE:
+        elif name == "article" and zone != FURNITURE:
             inside = ARTICLE
         if inside != zone or any(n == name for n, _ in stack):
             stack.append((name, zone))
@@ -143,19 +144,26 @@ def common(a: list, b: list) -> list[int]:
     return out[::-1]
 
 
-def shared_lines(own: list, zones: bytes, others: list[tuple[list, bytes]]) -> list[int]:
-    """Places of unzoned lines of a page that the pages near it share, nearest first; lines may be given by their hashes."""
-    free = {k for k, z in enumerate(zones) if z == OTHER}
-    gone: set[int] = set()
-    used = 0
-    for other, their in others:
-        if not free or used == PAIRED:
-            break
-        shared = set(common(own, other)) & free
-        if len(free) > 1 and len(shared) >= COPY_SHARE * max(len(free), their.count(OTHER)):
-            continue
-        gone |= shared
-        used += 1
+def free_lines(own: list, zones: bytes, of_host: set) -> set[int]:
+    """Places of unzoned lines that do not belong to the whole host."""
+    return {k for k, z in enumerate(zones) if z == OTHER and own[k] not in of_host}
+
+
+def is_copy(own: list, zones: bytes, other: list, their: bytes, of_host: set) -> bool:
+    """Whether two pages share nearly all of their free lines, of which a single one makes no copy, or have the same lines outside the furniture."""
+    if [x for x in zip(own, zones) if x[1] != FURNITURE] == [x for x in zip(other, their) if x[1] != FURNITURE]:
+        return True
+    free = free_lines(own, zones, of_host)
+    most = max(len(free), len(free_lines(other, their, of_host)))
+    return most > 1 and len(free) >= COPY_SHARE * most and len(free.intersection(common(own, other))) >= COPY_SHARE * most
+
+
+def shared_lines(own: list, zones: bytes, others: list[tuple[list, bytes]], of_host: set) -> list[int]:
+    """Places of free lines of a page that it shares with the pages beside its run, if those are no copies of it."""
+    free, gone = free_lines(own, zones, of_host), set()
+    for other, their in others if free else ():
+        if not is_copy(own, zones, other, their, of_host):
+            gone |= free.intersection(common(own, other))
     return sorted(gone)
 
 
@@ -166,26 +174,13 @@ def line_hash(text: str) -> int:
 
 
 def main_text(own: list[tuple[str, int]], gone: set[int], of_host: set[int] = frozenset()) -> str:
-    """What remains of the lines of the article and the unzoned ones; the article alone if it is at least half of that."""
+    """The lines of the article and the unzoned ones that remain, in page order."""
     kept = [(t, z) for k, (t, z) in enumerate(own) if z != FURNITURE and not (z == OTHER and k in gone)]
-    if of_host:
-        less = [(t, z) for t, z in kept if line_hash(t) not in of_host]
-        kept = less or kept
-    article = sum(len(t) for t, z in kept if z == ARTICLE)
-    alone = article and 2 * article >= sum(len(t) for t, _ in kept)
-    return "\n\n".join(t for t, z in kept if z == ARTICLE or not alone)
-
-
-def _alike(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
+    less = [(t, z) for t, z in kept if z != OTHER or line_hash(t) not in of_host] if of_host else kept
+    return "\n\n".join(t for t, _ in less or kept)
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk_pages: int = CHUNK) -> DataFrame:
     """One row for each page: id, url, text, n_chars."""
     spark = pages.sparkSession
     bound_batches(spark)
@@ -209,12 +204,12 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         for b in batches:
             prints, sets = [], []
             for t, z in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                h = np.frombuffer(t, np.int64)[np.frombuffer(z, np.uint8) != FURNITURE]
-                prints.append(xxhash.xxh3_64_intdigest(h.tobytes()) >> 1)
-                sets.append(np.unique(h))
+                h, z = np.frombuffer(t, np.int64), np.frombuffer(z, np.uint8)
+                prints.append(xxhash.xxh3_64_intdigest(h[z != FURNITURE].tobytes()) >> 1 if (z != FURNITURE).any() else None)
+                sets.append(np.unique(h[z == OTHER]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["h", "f", "ls"])
 
-    unlike = light.filter("h is not null").select("h", "t", "z").mapInArrow(text_lines, "h string, f long, ls array<long>").filter(F.size("ls") > 0).dropDuplicates(["h", "f"])
+    unlike = light.filter("h is not null").select("h", "t", "z").mapInArrow(text_lines, "h string, f long, ls array<long>").filter("f is not null").dropDuplicates(["h", "f"])
     unlike = cut(unlike)
     n_pages = unlike.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= HOST_PAGES)
     often = cut(unlike.select("h", F.explode("ls").alias("l")).groupBy("h", "l").agg(F.count("*").alias("m")).filter(F.col("m") >= HOST_PAGES))
@@ -234,27 +229,49 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     # rows of the partitions before: one row for each partition
     before = ranked.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("off"))
     ranked = ranked.join(F.broadcast(before), "part").withColumn("r", F.col("off") + F.col("at")).drop("part", "at", "off")
-    chunk = F.floor(F.col("r") / CHUNK).cast("long")
-    edge = F.col("r") % CHUNK
-    near = F.array_distinct(F.array(chunk, F.when(edge < REACH, chunk - 1).otherwise(chunk), F.when(edge >= CHUNK - REACH, chunk + 1).otherwise(chunk)))
-    dealt = ranked.withColumn("c", F.explode(near))
-
-    def pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("r", kind="stable").reset_index(drop=True)
-        own = [(np.frombuffer(t, np.uint64).tolist(), bytes(z)) for t, z in zip(pdf["t"], pdf["z"], strict=True)]
-        hosts, paths, rank = pdf["h"].tolist(), pdf["p"].tolist(), pdf["r"].tolist()
-        rows = []
-        for k, r in enumerate(rank):
-            if r // CHUNK != key[0]:
-                continue
-            near = [j for d in range(1, REACH + 1) for j in (k - d, k + d) if 0 <= j < len(own) and hosts[j] == hosts[k] and abs(rank[j] - r) == d]
-            near.sort(key=lambda j: -_alike(paths[j], paths[k]))
-            gone = shared_lines(*own[k], [own[j] for j in near])
-            if gone:
-                rows.append((pdf["k"][k], gone))
-        return pd.DataFrame(rows, columns=["k", "gone"])
-
-    gone = cut(dealt.groupBy("c").applyInPandas(pair, "k long, gone array<int>").groupBy("k").agg(F.min("gone").alias("gone")))
+    ranked = ranked.join(small_or_plain(of_host), "h", "left")
+    chunk = F.floor(F.col("r") / chunk_pages).cast("long")
+    dealt = ranked.withColumn("c", F.explode(F.array_distinct(F.array(chunk, F.when(F.col("r") % chunk_pages == chunk_pages - 1, chunk + 1).otherwise(chunk)))))
+
+    def begin(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """(r, s): s is r where a run begins, else -1."""
+        pdf = pdf.sort_values("r", kind="stable")
+        rows, before = [], None
+        for r, h, t, z, ls in zip(pdf["r"].tolist(), pdf["h"].tolist(), pdf["t"], pdf["z"], pdf["ls"], strict=True):
+            own, zones = np.frombuffer(t, np.int64).tolist(), bytes(z)
+            if r // chunk_pages == key[0]:
+                goes_on = before is not None and before[0] == h and h is not None and is_copy(own, zones, *before[1:], set() if ls is None else set(ls))
+                rows.append((r, -1 if goes_on else r))
+            before = (h, own, zones)
+        return pd.DataFrame(rows, columns=["r", "s"])
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last = TaskContext.get().partitionId(), -1
+        for b in batches:
+            s = np.maximum(np.maximum.accumulate(b.column(1).to_numpy()), last)
+            last = int(s[-1]) if len(s) else last
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array([part] * len(s), pa.int64())], ["r", "s", "part"])
+
+    begun = dealt.groupBy("c").applyInPandas(begin, "r long, s long").repartitionByRange(parts, "r").sortWithinPartitions("r")
+    begun = cut(begun.mapInArrow(carry, "r long, s long, part long"))
+    last = begun.groupBy("part").agg(F.max("s").alias("m")).select("part", F.max("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("m"))
+    begun = begun.join(F.broadcast(last), "part").select("r", F.greatest("s", "m").alias("s"))  # one row for each partition
+    sides = begun.groupBy("s").agg(F.max("r").alias("e")).select("s", F.explode(F.array(F.col("s") - 1, F.col("e") + 1)).alias("r"))
+    beside = sides.join(ranked.select("r", "h", "t", "z"), "r").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("r", "h", "t", "z"))).alias("beside"))
+    met = ranked.join(begun, "r").join(beside, "s").select("k", "h", "t", "z", "ls", "beside")
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines_of = lambda x: np.frombuffer(x, np.int64).tolist()
+        for b in batches:
+            keys, found = [], []
+            for k, h, t, z, ls, others in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                gone = shared_lines(lines_of(t), z, [(lines_of(o["t"]), o["z"]) for o in others if o["h"] == h], set(ls or ())) if h is not None else []
+                if gone:
+                    keys.append(k)
+                    found.append(gone)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["k", "gone"])
+
+    gone = cut(met.mapInArrow(differ, "k long, gone array<int>").groupBy("k").agg(F.min("gone").alias("gone")))
 
     @F.pandas_udf("string")
     def text(xs: pd.Series, gones: pd.Series, hosts: pd.Series) -> pd.Series:
