@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import logistic
+from .quantiles import percentiles
+from .shared import join_keys
 from .windows import close_gaps
 
 
@@ -89,15 +91,16 @@ def short_frames(frames: DataFrame, rate: float, bands: int = 10) -> DataFrame:
 
 def media_masks(frames: DataFrame, key: str) -> DataFrame:
     """``frames`` with call, chirp and cluck: masks from quantiles of the medium's own frames and ranges of the dominant frequency."""
-    q = frames.groupBy(key).agg(F.percentile("rms", F.array(F.lit(0.5), F.lit(0.65))).alias("_r"), F.percentile("band_2_5khz", 0.75).alias("_h"), F.percentile("band_3_6khz", 0.75).alias("_c"),
-                                F.percentile("band_300_1500hz", 0.8).alias("_l"), F.percentile("flux", 0.7).alias("_f"))
+    levels = {"rms": (0.5, 0.65), "band_2_5khz": (0.75,), "band_3_6khz": (0.75,), "band_300_1500hz": (0.8,), "flux": (0.7,)}
+    q = percentiles(frames, [key], levels)
+    q = q.select(key, F.col("rms").alias("_r"), *[F.col(n)[0].alias(a) for n, a in (("band_2_5khz", "_h"), ("band_3_6khz", "_c"), ("band_300_1500hz", "_l"), ("flux", "_f"))])
     c = F.col
     high, within = c("band_2_5khz") >= c("_h"), lambda a, b: c("dominant").between(a, b)
     call = high & within(1000.0, 5000.0) & ((c("flux") >= c("_f")) | (c("rms") >= c("_r")[0]))
     chirp = high & (c("band_3_6khz") >= c("_c")) & within(1800.0, 7000.0) & (c("rms") >= c("_r")[0])
     cluck = (c("band_300_1500hz") >= c("_l")) & (c("band_300_1500hz") > c("band_3_6khz")) & within(250.0, 2000.0) & (c("rms") >= c("_r")[1])
     no = F.lit(False)
-    return frames.join(q, key).select(*frames.columns, F.coalesce(call, no).alias("call"), F.coalesce(chirp, no).alias("chirp"), F.coalesce(cluck, no).alias("cluck"))
+    return join_keys(frames, q, [key]).select(*frames.columns, F.coalesce(call, no).alias("call"), F.coalesce(chirp, no).alias("chirp"), F.coalesce(cluck, no).alias("cluck"))
 
 
 def window_event_masks(frames: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -160,8 +163,8 @@ def with_unavailable(windows: DataFrame, features: DataFrame, keys: list[str]) -
 
 def above_group_quantile(df: DataFrame, keys: list[str], levels: dict[str, float]) -> DataFrame:
     """For each column a boolean ``<column>_high``: at or above its group's quantile."""
-    q = df.groupBy(*keys).agg(*[F.percentile(c, p).alias(f"_q_{c}") for c, p in levels.items()])
-    x = df.join(q, keys)
+    q = percentiles(df, keys, {c: (p,) for c, p in levels.items()})
+    x = join_keys(df, q.select(*keys, *[F.col(c)[0].alias(f"_q_{c}") for c in levels]), keys)
     return x.select(*df.columns, *[(F.col(c) >= F.col(f"_q_{c}")).alias(f"{c}_high") for c in levels])
 
 
@@ -169,9 +172,10 @@ def regime_scores(df: DataFrame, x: str, y: str) -> DataFrame:
     """Dense, sparse and background scores from two axes: robust z, logistic between the 95th and 99th percentile. Both axes are
     measured together: one pass for quantiles and deviations, one for the deviations from the medians."""
     axes = (x, y)
-    q = df.agg(*[F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95, 0.99)))).alias(f"_q_{c}") for c in axes], *[F.stddev_pop(c).alias(f"_sd_{c}") for c in axes])
-    away = df.select(*axes).crossJoin(F.broadcast(q))  # one row
-    m = away.agg(*[F.percentile(F.abs(F.col(c) - F.col(f"_q_{c}")[1]), 0.5).alias(f"_mad_{c}") for c in axes], *[F.first(k).alias(k) for c in axes for k in (f"_q_{c}", f"_sd_{c}")])
+    q = percentiles(df, [], {c: (0.25, 0.5, 0.75, 0.95, 0.99) for c in axes}).crossJoin(F.broadcast(df.agg(*[F.stddev_pop(c).alias(f"_sd_{c}") for c in axes])))
+    q = q.select(*[F.col(c).alias(f"_q_{c}") for c in axes], *[f"_sd_{c}" for c in axes])
+    away = df.select(*axes).crossJoin(F.broadcast(q)).select(*[F.abs(F.col(c) - F.col(f"_q_{c}")[1]).alias(c) for c in axes])  # one row
+    m = percentiles(away, [], {c: (0.5,) for c in axes}).select(*[F.col(c)[0].alias(f"_mad_{c}") for c in axes]).crossJoin(F.broadcast(q))
     out = df.crossJoin(F.broadcast(m))  # one row
     for c, name in zip(axes, ("dense", "sparse"), strict=True):
         at = lambda k, c=c: F.col(f"_q_{c}")[k]

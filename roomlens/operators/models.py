@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stats import average_rank
+from .order import ROWS, value_ranks
 
 
 #: Poisson(1) by the top 16 bits of a hash.
@@ -77,12 +77,12 @@ def exact_tail(n: int, w: float) -> float:
     return min(1.0, 2 * sum(counts[: int(low) + 1]) / 2**n)
 
 
-def signed_rank(df: DataFrame, keys: list[str], d: str, exact_up_to: int = 50) -> DataFrame:
+def signed_rank(df: DataFrame, keys: list[str], d: str, exact_up_to: int = 50, rows: int = ROWS) -> DataFrame:
     """Signed-rank test of differences, zeros dropped: ranks in Spark, the p of each group's sums from them."""
     x = df.filter(F.col(d).isNotNull() & (F.col(d) != 0)).withColumn("_a", F.abs(d))
-    r = x.withColumn("_r", average_rank("_a", keys))
-    ties = r.groupBy(*keys, "_a").agg(F.count("*").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    g = r.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col(d) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus")).join(ties, keys)
+    v = value_ranks(x, keys, "_a", {"pos": F.when(F.col(d) > 0, 1).otherwise(0)}, rows)
+    c = F.col("n")
+    g = v.groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum(F.col("rank") * F.col("pos")).alias("w_plus"), F.sum(c * c * c - c).alias("ties")).withColumnRenamed("_n", "n")
 
     @F.pandas_udf("double")
     def p(n: pd.Series, w: pd.Series, t: pd.Series) -> pd.Series:

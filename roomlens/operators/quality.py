@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import present
+from .quantiles import percentiles
 
 
 def complete(qualities: list[str], at: str | None = None, since: str | None = None) -> Column:
@@ -36,7 +37,7 @@ def train_scaled(value: Column, weight: Column, center: Column, scale: Column) -
 
 def stable_band(df: DataFrame, key: str, x: str, low: float = 0.98, high: float = 1.02) -> DataFrame:
     """Keys whose value lies in a band around the median of all keys. ``df`` has one row a key."""
-    m = df.agg(F.percentile(x, 0.5).alias("_m"))
+    m = percentiles(df, [], {x: (0.5,)}).select(F.col(x)[0].alias("_m"))
     return df.crossJoin(F.broadcast(m)).filter((F.col(x) / F.col("_m")).between(low, high)).select(key, x)  # one row
 
 

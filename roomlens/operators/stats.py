@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import safe_corr
+from .order import ROWS, largest_group, numbered, running_min
+from .quantiles import percentiles
+from .shared import join_keys
 
 
 def robust_center_scale(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Median, and the largest of the scaled MAD, the scaled IQR, the population deviation and 1e-6."""
     v = df.filter(F.col(x).isNotNull())
-    c = v.groupBy(*keys).agg(F.percentile(x, 0.5).alias("center"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.stddev_pop(x).alias("sd"))
-    with_center = v.join(F.broadcast(c), keys) if keys else v.crossJoin(F.broadcast(c))  # without keys: one row
-    mad = with_center.groupBy(*keys).agg(F.percentile(F.abs(F.col(x) - F.col("center")), 0.5).alias("mad"))
-    scale = F.greatest(1.4826 * F.col("mad"), (F.col("q")[1] - F.col("q")[0]) / 1.349, F.col("sd"), F.lit(1e-6))
-    both = c.join(F.broadcast(mad), keys) if keys else c.crossJoin(F.broadcast(mad))
-    return both.select(*keys, "center", scale.alias("scale"))
+    q = percentiles(v, keys, {x: (0.25, 0.5, 0.75)}).withColumnRenamed(x, "_q")
+    c = join_keys(q, v.groupBy(*keys).agg(F.stddev_pop(x).alias("_sd")), keys)
+    away = join_keys(v.select(*keys, x), c, keys).withColumn("_away", F.abs(F.col(x) - F.col("_q")[1]))
+    both = join_keys(c, percentiles(away, keys, {"_away": (0.5,)}), keys)
+    scale = F.greatest(1.4826 * F.col("_away")[0], (F.col("_q")[2] - F.col("_q")[0]) / 1.349, F.col("_sd"), F.lit(1e-6))
+    return both.select(*keys, F.col("_q")[1].alias("center"), scale.alias("scale"))
 
 
 def average_rank(x: str, keys: list[str]) -> Column:
@@ -30,13 +33,18 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return r.groupBy(*keys).agg(safe_corr(F.col("_rx"), F.col("_ry")).alias("rho"), F.count("*").alias("n"))
 
 
-def step_up(df: DataFrame, keys: list[str], p: str, order: list[str]) -> DataFrame:
-    """Benjamini-Hochberg: running minimum from the largest p of p * m / rank, at most 1; null p stay null."""
-    part = Window.partitionBy(*keys, F.col(p).isNull())
-    rank = F.row_number().over(part.orderBy(p, *order))
-    df = df.withColumn("_rn", rank).withColumn("_m", F.count("*").over(part))
-    low = F.min(F.col(p) * F.col("_m") / F.col("_rn")).over(part.orderBy(F.col("_rn").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("q", F.when(F.col(p).isNotNull(), F.least(low, F.lit(1.0)))).drop("_rn", "_m")
+def step_up(df: DataFrame, keys: list[str], p: str, order: list[str], rows: int = ROWS) -> DataFrame:
+    """Benjamini-Hochberg: running minimum from the largest p of p * m / rank, at most 1; null p stay null. Beyond ``rows`` rows of a group, ranks and minima go
+    over range partitions."""
+    if largest_group(df, keys) <= rows:
+        part = Window.partitionBy(*keys, F.col(p).isNull())
+        df = df.withColumn("_rn", F.row_number().over(part.orderBy(p, *order))).withColumn("_m", F.count("*").over(part))
+        low = F.min(F.col(p) * F.col("_m") / F.col("_rn")).over(part.orderBy(F.col("_rn").desc()).rowsBetween(Window.unboundedPreceding, 0))
+        return df.withColumn("q", F.when(F.col(p).isNotNull(), F.least(low, F.lit(1.0)))).drop("_rn", "_m")
+    x = numbered(df.filter(F.col(p).isNotNull()), keys, [F.col(p), *map(F.col, order)], "_rn", "_m", rows)
+    x = running_min(x.withColumn("_t", F.col(p) * F.col("_m") / F.col("_rn")), keys, [F.col("_rn")], "_t", "_low", rows)
+    x = x.withColumn("q", F.least("_low", F.lit(1.0))).drop("_rn", "_m", "_t", "_low")
+    return x.unionByName(df.filter(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
 
 
 def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:

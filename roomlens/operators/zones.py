@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import clamp, distribution, entropy, imbalance, min_max
+from .quantiles import percentiles
+from .shared import join_keys
 
 ZONES = ("drinking", "feeding", "resting", "open_movement")
 
@@ -55,7 +57,8 @@ def risk_level(score: Column) -> Column:
 def calibration(df: DataFrame, zone: str, value: str) -> DataFrame:
     """Reference activity of each zone: the largest of its 95th percentile, 0.35 of its maximum, and 1e-4."""
     pos = df.filter(F.col(value) > 0)
-    return pos.groupBy(zone).agg(F.greatest(F.percentile(value, 0.95), 0.35 * F.max(value), F.lit(1e-4)).alias("reference"))
+    top = join_keys(percentiles(pos, [zone], {value: (0.95,)}).withColumnRenamed(value, "_q"), pos.groupBy(zone).agg(F.max(value).alias("_top")), [zone])
+    return top.select(zone, F.greatest(F.col("_q")[0], 0.35 * F.col("_top"), F.lit(1e-4)).alias("reference"))
 
 
 def calibrated(raw: Column, reference: Column) -> Column:

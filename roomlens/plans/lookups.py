@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import compare_key
 from ..operators import audio, models, stats
+from ..operators.quantiles import percentiles
+from ..operators.shared import join_keys
 from ..operators.windows import first_rows, keep_best
 from .adapters import OBS_SQL, obs, table
 from .registry import query
@@ -19,8 +21,10 @@ from ..operators import balance
 def summary_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = obs(spark, sf_dir).filter("metric is not null")
     r = lambda c, n: F.round(c, 6).alias(n)
-    return o.groupBy("session_id").agg(F.count("metric").alias("n"), r(F.avg("metric"), "mean"), r(F.min("metric"), "low"), r(F.max("metric"), "high"), r(F.percentile("metric", 0.5), "middle"),
-                                       F.countDistinct("user_id").alias("tracks"), F.max_by("window_id", F.struct("metric", -F.col("window_id"))).alias("best_window"))
+    middle = percentiles(o, ["session_id"], {"metric": (0.5,)}).select("session_id", r(F.col("metric")[0], "middle"))
+    s = o.groupBy("session_id").agg(F.count("metric").alias("n"), r(F.avg("metric"), "mean"), r(F.min("metric"), "low"), r(F.max("metric"), "high"),
+                                    F.countDistinct("user_id").alias("tracks"), F.max_by("window_id", F.struct("metric", -F.col("window_id"))).alias("best_window"))
+    return join_keys(s, middle, ["session_id"])
 
 
 @query(f"""WITH {OBS_SQL} SELECT strftime(start_dt, '%Y-%m') AS month, zone, ROUND(AVG(CAST(coalesce(quality, 0) > 0.5 AS INT)), 6) AS available, COUNT(*) - COUNT(metric) AS missing, COUNT(*) AS n FROM obs GROUP BY ALL""")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import num
 from ..operators import balance, windows, zones
+from ..operators.order import blocks
+from ..operators.shared import join_keys
 from .adapters import OBS_SQL, obs, table
 from .registry import query
 
@@ -185,7 +187,7 @@ def state_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, n, CAST(ntile(3) OVER (ORDER BY first_start, user_id) - 1 AS BIGINT) AS fold FROM s""")
 def fold_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = obs(spark, sf_dir).groupBy("user_id").agg(F.min("start_dt").alias("first_start"), F.count("*").alias("n"))
-    return s.select("user_id", "n", (F.ntile(3).over(Window.orderBy("first_start", "user_id")) - 1).cast("long").alias("fold"))
+    return blocks(s, ["first_start", "user_id"], 3, "fold").select("user_id", "n", "fold")
 
 
 @query(f"""WITH {OBS_SQL}, t AS (SELECT session_id, CAST(start_dt AS DATE) AS date, hour(start_dt) AS h, zone, COUNT(DISTINCT user_id) AS n FROM obs GROUP BY ALL)
@@ -235,7 +237,7 @@ SELECT o.zone, COUNT(*) AS n, ROUND(ANY_VALUE(reference), 6) AS reference, ROUND
  FROM obs o JOIN c ON o.zone = c.zone WHERE metric IS NOT NULL GROUP BY o.zone""")
 def zone_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = obs(spark, sf_dir).filter("metric is not null")
-    x = o.join(F.broadcast(zones.calibration(o, "zone", "metric")), "zone").withColumn("v", zones.calibrated(F.col("metric"), F.col("reference")))
+    x = join_keys(o, zones.calibration(o, "zone", "metric"), ["zone"], "inner").withColumn("v", zones.calibrated(F.col("metric"), F.col("reference")))
     limit = F.when(F.col("zone") == "resting", 0.85).otherwise(0.95)
     return x.groupBy("zone").agg(F.count("*").alias("n"), F.round(F.first("reference"), 6).alias("reference"), F.round(F.avg("v"), 6).alias("calibrated_mean"),
                                  F.count(F.when(F.col("v") >= limit, 1)).alias("abnormal"))
