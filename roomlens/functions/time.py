@@ -25,10 +25,14 @@ def week_ending_monday(d: Column) -> Column:
     return F.date_add(F.date_trunc("week", F.date_sub(d.cast("date"), 1)).cast("date"), 1)
 
 
+def minute_of_day(t: Column) -> Column:
+    """Minutes since midnight, with the whole seconds as their fraction."""
+    return F.hour(t) * 60 + F.minute(t) + F.second(t) / 60
+
+
 def clock_distance(a: Column, b: Column) -> Column:
     """Minutes between two times of day, over midnight if that is nearer."""
-    minute = lambda t: F.hour(t) * 60 + F.minute(t)
-    d = F.abs(minute(a) - minute(b))
+    d = F.abs(minute_of_day(a) - minute_of_day(b))
     return F.least(d, 1440 - d)
 
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import weighted_mean
-from ..functions.time import clock_distance
+from ..functions.time import clock_distance, minute_of_day
+from .shared import cut, small_or_plain
 
 
 def buckets(lo: Column, hi: Column, width: int) -> Column:
@@ -28,20 +28,27 @@ def overlap_join(rows: DataFrame, events: DataFrame, key: str, how: str, width:
     return rows.join(ids, rows["row_id"] == ids["_hit"], how)
 
 
-def phase_rows(rows: DataFrame, anchors: DataFrame, key: str, phases: Sequence[tuple[str, float, float]], width: int) -> DataFrame:
-    """Rows (key, secs, value, weight) inside [anchor + left, anchor + right) of each phase."""
-    spans = F.explode(F.array(*[F.struct(F.lit(n).alias("phase"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for n, a, b in phases])).alias("p")
-    x = anchors.select("event_id", F.col(key).alias("_k"), "anchor", spans).select("event_id", "_k", "p.phase", (F.col("anchor") + F.col("p.a")).alias("lo"), (F.col("anchor") + F.col("p.b")).alias("hi"))
+def phase_rows(rows: DataFrame, anchors: DataFrame, key: str, phases: Sequence[tuple], width: int) -> DataFrame:
+    """Rows (key, secs, value, weight) inside [anchor + left, anchor + right) of each phase (name, left, right); a phase (name, left, right, column)
+    counts from that column of ``anchors`` instead."""
+    at = lambda p: F.col(p[3] if len(p) > 3 else "anchor")
+    spans = F.explode(F.array(*[F.struct(F.lit(p[0]).alias("phase"), (at(p) + float(p[1])).alias("lo"), (at(p) + float(p[2])).alias("hi")) for p in phases])).alias("p")
+    x = anchors.select("event_id", F.col(key).alias("_k"), spans).select("event_id", "_k", "p.phase", "p.lo", "p.hi")
     x = x.withColumn("_b", F.explode(buckets(F.col("lo"), F.col("hi"), width)))
     r = rows.withColumn("_b", F.floor(F.col("secs") / width).cast("long"))
     return r.join(x, (r[key] == x["_k"]) & (r["_b"] == x["_b"]) & (F.col("secs") >= F.col("lo")) & (F.col("secs") < F.col("hi"))).drop("_b", "_k")
 
 
-def phase_means(rows: DataFrame, anchors: DataFrame, key: str, phases: Sequence[tuple[str, float, float]], least_rows: int = 1, least_weight: float = 1.0, width: int = 86400) -> DataFrame:
-    """Weighted mean of each event and phase; null below ``least_rows`` rows or ``least_weight`` weight."""
+def phase_means(rows: DataFrame, anchors: DataFrame, key: str, phases: Sequence[tuple], every: float, share: float = 0.25, least_weight: float = 1.0, width: int = 86400,
+                by: Sequence[str] = ()) -> DataFrame:
+    """Weighted mean of each event and phase (and of each ``by``), and n, the rows with a value and a positive weight. Null below ``share`` of the rows that a
+    phase of its length has when one stands every ``every`` seconds, below one row, and below ``least_weight``."""
     p = phase_rows(rows, anchors, key, phases, width)
-    return p.groupBy("event_id", "phase").agg(
-        F.when(F.count("value") >= least_rows, weighted_mean(F.col("value"), F.col("weight"), least_weight)).alias("mean"), F.count("value").alias("n"))
+    v, w = F.col("value"), F.col("weight")
+    valid = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")) & (w > 0)
+    need = F.coalesce(*[F.when(F.col("phase") == x[0], max(math.ceil(share * max(round((x[2] - x[1]) / every), 1)), 1)) for x in phases])
+    m = p.groupBy("event_id", "phase", *by).agg(weighted_mean(F.when(valid, v), w, least_weight).alias("mean"), F.count(F.when(valid, 1)).alias("n"))
+    return m.withColumn("mean", F.when(F.col("n") >= need, F.col("mean")))
 
 
 def differences(means: DataFrame) -> DataFrame:
@@ -51,75 +58,74 @@ def differences(means: DataFrame) -> DataFrame:
     return w.select("*", (F.col("during") - F.col("before")).alias("immediate"), (F.col("after") - F.col("before")).alias("recovery"))
 
 
-def match_scores(events: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
-    """Candidates of the same key for each event with score clock minutes + 60 on the same date + 0.1 per day apart."""
-    e = events.select(F.col(key).alias("_k"), "event_id", F.col("start_dt").alias("e_dt"))
-    c = candidates.select(key, F.col("row_id"), F.col("start_dt").alias("c_dt"))
-    x = c.join(e, (c[key] == e["_k"]) & (F.col("row_id") != F.col("event_id"))).drop("_k")
-    days = F.abs(F.datediff("c_dt", "e_dt"))
-    return x.withColumn("score", clock_distance(F.col("c_dt"), F.col("e_dt")) + F.when(days == 0, 60.0).otherwise(0.0) + 0.1 * days)
-
-
-def match_ranked(scored: DataFrame, n: int) -> DataFrame:
-    w = Window.partitionBy("event_id").orderBy("score", "row_id")
-    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
-
-
-def match_greedy(ranked: DataFrame, key: str, radius: float) -> DataFrame:
-    """One candidate for each event in event order, none within ``radius`` seconds of one already taken in the key.
-    Sequential by nature in a key: ``ranked`` should hold a bounded number of candidates for each event."""
-    kind = dict(ranked.dtypes)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: list[float] = []
-        rows = []
-        for event, own in pdf.sort_values(["event_id", "place"]).groupby("event_id", sort=True):
-            for r in own.itertuples():
-                if all(abs(r.secs - u) >= radius for u in used):
-                    used.append(r.secs)
-                    rows.append((getattr(r, key), event, r.row_id, float(r.score)))
-                    break
-        return pd.DataFrame(rows, columns=[key, "event_id", "row_id", "score"])
-
-    x = ranked.withColumn("secs", F.unix_micros(F.col("c_dt").cast("timestamp")) / 1e6).select(key, "event_id", "row_id", "score", "place", "secs")
-    return x.groupBy(key).applyInPandas(pick, f"{key} {kind[key]}, event_id {kind['event_id']}, row_id {kind['row_id']}, score double")
-
-
-def match_greedy_whole(events: DataFrame, candidates: DataFrame, key: str, radius: float) -> DataFrame:
-    """``match_greedy`` over all candidates of the key, scored like ``match_scores``: those within ``radius`` are excluded first and the
-    best of the rest is taken. Events and candidates of a key meet in one task without pairs, so its memory is linear in them."""
-    kind = dict(events.dtypes) | dict(candidates.dtypes)
-    facts = lambda c: [F.hour(c) * 60 + F.minute(c), F.datediff(c, F.lit("1970-01-01")), F.unix_micros(F.col(c).cast("timestamp")) / 1e6]
-    e, c = (df.select(key, i, *[x.alias(n) for x, n in zip(facts("start_dt"), ("m", "d", "secs"))]) for df, i in ((events, "event_id"), (candidates, "row_id")))
-
-    def pick(own: pd.DataFrame, their: pd.DataFrame) -> pd.DataFrame:
-        their = their.sort_values("row_id", kind="stable")
-        m, d, secs, ids = (their[n].to_numpy() for n in ("m", "d", "secs", "row_id"))
-        free, rows = np.ones(len(their), bool), []
-        for x in own.sort_values("event_id").itertuples() if len(their) else ():
-            clock, days = np.abs(m - x.m), np.abs(d - x.d)
-            score = np.minimum(clock, 1440 - clock) + np.where(days == 0, 60.0, 0.0) + 0.1 * days
-            score[~free | (ids == x.event_id)] = np.inf
-            best = int(score.argmin())
-            if np.isfinite(score[best]):
-                free &= np.abs(secs - secs[best]) >= radius
-                rows.append((getattr(x, key), x.event_id, ids[best], float(score[best])))
-        return pd.DataFrame(rows, columns=[key, "event_id", "row_id", "score"])
-
-    return e.groupBy(key).cogroup(c.groupBy(key)).applyInPandas(pick, f"{key} {kind[key]}, event_id {kind['event_id']}, row_id {kind['row_id']}, score double")
-
-
-def phase_counts(rows: DataFrame, anchors: DataFrame, key: str, phases: Sequence[tuple[str, float, float, int]], width: int = 86400) -> DataFrame:
-    """(event_id, covered): whether each phase (name, left, right, least) of the event holds at least so many rows."""
-    p = phase_rows(rows, anchors, key, [x[:3] for x in phases], width).groupBy("event_id").agg(*[F.count(F.when(F.col("phase") == n, 1)).alias(n) for n, *_ in phases])
-    ok = [F.coalesce(F.col(n), F.lit(0)) >= least for n, _, _, least in phases]
+#: Of a day, slots in which events and their candidates meet; clock minutes of each.
+SLOT_MINUTES, SLOTS = 5, 288
+#: Rows that a control must have (name, seconds from, seconds to, column, least): eight minutes before, two behind its end, eight further.
+COVERAGE = (("before", -600.0, -120.0, "anchor", 4), ("during", 0.0, 120.0, "end", 1), ("after", 120.0, 600.0, "end", 4))
+
+
+def control_pairs(events: DataFrame, candidates: DataFrame, operations: DataFrame, rows: DataFrame, key: str, *, clock_limit: float = 120.0, least_distance: float = 1800.0,
+                  margin: tuple[float, float] = (600.0, 900.0), coverage: Sequence[tuple] = COVERAGE, width: int = 3600) -> DataFrame:
+    """Events (key, event_id, start_dt, secs, length) with each candidate (key, row_id, start_dt, secs; one row for a start) that may be their control: at most
+    ``clock_limit`` minutes off by the clock, ``least_distance`` seconds away, free of operations (key, lo, hi) from ``margin`` before its start to behind its
+    end, and with rows (key, secs) enough. The score is the clock minutes, 60 on the same date, and 0.1 for each day between.
+
+    Events and candidates meet by key and five-minute slot of the day, so a busy key is many groups and the rest of the day is never paired."""
+    m = minute_of_day(F.col("e_dt"))
+    e = events.select(F.col(key).alias("_k"), "event_id", F.col("start_dt").alias("e_dt"), F.col("secs").alias("e_secs"), "length")
+    slots = F.sequence(F.floor((m - clock_limit) / SLOT_MINUTES).cast("int"), F.floor((m + clock_limit) / SLOT_MINUTES).cast("int"))
+    e = e.withColumn("_s", F.explode(F.array_distinct(F.transform(slots, lambda s: F.pmod(s, F.lit(SLOTS))))))
+    c = candidates.select(key, "row_id", F.col("start_dt").alias("c_dt"), "secs", F.floor(minute_of_day(F.col("start_dt")) / SLOT_MINUTES).cast("int").alias("_t"))
+    clock, days = clock_distance(F.col("e_dt"), F.col("c_dt")), F.abs(F.datediff("c_dt", "e_dt"))
+    x = c.join(e, (c[key] == e["_k"]) & (F.col("_t") == F.col("_s")) & (clock <= clock_limit) & (F.abs(F.col("secs") - F.col("e_secs")) >= least_distance))
+    x = x.select(key, "event_id", "e_secs", "length", "row_id", "secs", clock.alias("clock"), days.alias("days"))
+    x = x.withColumn("score", F.col("clock") + F.when(F.col("days") == 0, 60.0).otherwise(0.0) + 0.1 * F.col("days"))
+    own = [key, "secs", "length"]
+    spans = x.select(*own).distinct()
+    o = operations.select(F.col(key).alias("_k"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(buckets(F.col("lo"), F.col("hi"), width)).alias("_b"))
+    lo, hi = F.col("secs") - margin[0], F.col("secs") + F.col("length") + margin[1]
+    r = spans.withColumn("_c", F.explode(buckets(lo, hi, width)))
+    busy = r.join(o, (r[key] == o["_k"]) & (F.col("_c") == F.col("_b")) & (F.col("_lo") < hi) & (F.col("_hi") > lo), "left_semi").select(*own).distinct()
+    free = spans.join(busy, own, "left_anti").select(F.struct(*own).alias("event_id"), key, F.col("secs").alias("anchor"), (F.col("secs") + F.col("length")).alias("end"))
+    good = phase_counts(rows, free, key, coverage, width).filter("covered").select("event_id.*")
+    return x.join(good, own, "left_semi")
+
+
+def match_ranked(pairs: DataFrame, n: int) -> DataFrame:
+    w = Window.partitionBy("event_id").orderBy("score", "secs", "row_id")
+    return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+
+
+def match_greedy(pairs: DataFrame, key: str, radius: float) -> DataFrame:
+    """One control for each event: in the order of their starts, events take the best of their pairs that is ``radius`` seconds or more from all taken before in the key.
+
+    In rounds: every event proposes its best pair that no earlier event's proposal of the round before blocks. The first n events are right after n rounds, and
+    proposals that repeat are the sequential choice; rounds are as many as events depend on each other in a row, mostly few. Each is one join by key
+    and stretch of time, so no task holds a key, and lineage is cut."""
+    pairs = cut(pairs.withColumn("_b", F.floor(F.col("secs") / radius).cast("long")))
+    rank = F.struct("e_secs", "event_id")
+    best = F.min_by(F.struct("e_secs", "length", "row_id", "secs", "clock", "days", "score", "_b"), F.struct("score", "secs", "row_id")).alias("x")
+    free, before = pairs, None
+    while True:
+        picks = cut(free.groupBy(key, "event_id").agg(best).select(key, "event_id", "x.*"))
+        if before is not None and picks.count() == before.count() and picks.join(before, [key, "event_id", "row_id"], "left_anti").isEmpty():
+            return picks.drop("_b")
+        near = F.explode(F.array(*[F.col("_b") + d for d in (-1, 0, 1)])).alias("_near")
+        taken = small_or_plain(picks.select(F.col(key).alias("_k"), rank.alias("_rank"), F.col("secs").alias("_at"), near))
+        free = pairs.join(taken, (pairs[key] == taken["_k"]) & (pairs["_b"] == taken["_near"]) & (F.abs(pairs["secs"] - taken["_at"]) < radius) & (taken["_rank"] < F.struct(pairs["e_secs"], pairs["event_id"])), "left_anti")
+        before = picks
+
+
+def phase_counts(rows: DataFrame, anchors: DataFrame, key: str, phases: Sequence[tuple], width: int = 86400) -> DataFrame:
+    """(event_id, covered): whether each phase, as ``phase_rows`` has them with the least number of rows behind, holds so many."""
+    p = phase_rows(rows, anchors, key, [x[:-1] for x in phases], width).groupBy("event_id").agg(*[F.count(F.when(F.col("phase") == n, 1)).alias(n) for n, *_ in phases])
+    ok = [F.coalesce(F.col(n), F.lit(0)) >= least for n, *_, least in phases]
     return anchors.select("event_id").join(p, "event_id", "left").select("event_id", (F.size(F.filter(F.array(*ok), lambda x: ~x)) == 0).alias("covered"))
 
 
-def paired(true: DataFrame, pseudo: DataFrame) -> DataFrame:
-    """Differences in differences: ``true`` and ``pseudo`` are phase means (event_id, phase, mean) of the events and of their controls,
-    under the event's id. immediate and recovery of each side against its own before, and their differences."""
-    sides = true.withColumn("side", F.lit("true")).unionByName(pseudo.withColumn("side", F.lit("pseudo")))
+def paired(means: DataFrame, by: Sequence[str] = (), names: tuple[str, str, str] = ("baseline", "immediate", "recovery")) -> DataFrame:
+    """Differences in differences of phase means (event_id, side, phase, mean, and ``by``), where side is true for the event and pseudo for its control: the changes of
+    each side from its baseline, and what the event's change exceeds its control's by."""
     one = lambda s, p: F.max(F.when((F.col("side") == s) & (F.col("phase") == p), F.col("mean")))
-    w = sides.groupBy("event_id").agg(*[(one(s, p) - one(s, "before")).alias(f"{s}_{n}") for s in ("true", "pseudo") for p, n in (("during", "immediate"), ("after", "recovery"))])
-    return w.select("*", *[(F.col(f"true_{n}") - F.col(f"pseudo_{n}")).alias(f"{n}_difference") for n in ("immediate", "recovery")])
+    w = means.groupBy("event_id", *by).agg(*[(one(s, p) - one(s, names[0])).alias(f"{s}_{p}") for s in ("true", "pseudo") for p in names[1:]])
+    return w.select("*", *[(F.col(f"true_{p}") - F.col(f"pseudo_{p}")).alias(f"{p}_difference") for p in names[1:]])

@@ -1,4 +1,4 @@
-"""Rules and predicates: paths, statuses, complete rows, slots, bands, picks, definitions, paired responses."""
+"""Rules and predicates: paths, statuses, complete rows, slots, bands, picks, definitions."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import num, paths, time
-from ..operators import events, models, quality
+from ..operators import events, quality
 from ..operators.environment import worst_status
 from .adapters import GEOM_SQL, OBS_SQL, geom, obs, table
 from .registry import query
-from .studies import EVENT_SQL, MATCH_SQL, PHASES, anchors, scored
+from .studies import EVENT_SQL, anchors
 
 PATH_SQL = """n AS (SELECT l_orderkey, l_linenumber, l_suppkey AS s, l_partkey AS k, CASE l_linenumber WHEN 1 THEN 'data/Video/Room 0' || l_suppkey % 4 || '/Day ' || l_partkey % 9 || '/clip_' || l_orderkey || '.MP4' WHEN 2 THEN 'data/video/room_' || l_suppkey % 4 || '/a/b b/clip.mp4'
  WHEN 3 THEN 'video/ROOM-' || l_suppkey % 12 || '/x.mp4' WHEN 4 THEN 'plain/Day ' || l_partkey % 9 || '/room' || l_suppkey % 3 || '.mp4' ELSE 'misc/groom' || l_suppkey % 5 || '/file' || l_linenumber || '.mp4' END AS path FROM lineitem)"""
@@ -132,59 +132,6 @@ def pooled_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.pooled(v, "zone", ["m", "q"]).agg(F.count("*").alias("n"), F.round(num.safe_corr(F.col("m"), F.col("q")), 5).alias("pooled_r"))
 
 
-PAIR_SQL = """pick AS (SELECT event_id, row_id FROM sc QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY score, row_id) = 1),
-anc AS (SELECT 'true' AS side, p.event_id, e.user_id, e.start_dt, e.secs FROM pick p JOIN ev e USING (event_id) UNION ALL SELECT 'pseudo', p.event_id, o.user_id, o.start_dt, o.secs FROM pick p JOIN obs o ON o.window_id = p.row_id),
-ph(phase, a, b) AS (VALUES ('before', -86400, 0), ('during', 0, 43200), ('after', 43200, 129600)),
-pm AS (SELECT side, event_id, phase, CASE WHEN SUM(CASE WHEN metric IS NOT NULL AND quality > 0 THEN quality END) >= 1.0 THEN SUM(CASE WHEN metric IS NOT NULL AND quality > 0 THEN metric * quality END) / SUM(CASE WHEN metric IS NOT NULL AND quality > 0 THEN quality END) END AS mean
- FROM anc, ph, obs o WHERE o.user_id = anc.user_id AND o.secs >= anc.secs + a AND o.secs < anc.secs + b GROUP BY ALL),
-w AS (SELECT event_id, MAX(mean) FILTER (side = 'true' AND phase = 'during') - MAX(mean) FILTER (side = 'true' AND phase = 'before') AS ti, MAX(mean) FILTER (side = 'pseudo' AND phase = 'during') - MAX(mean) FILTER (side = 'pseudo' AND phase = 'before') AS pi,
- MAX(mean) FILTER (side = 'true' AND phase = 'after') - MAX(mean) FILTER (side = 'true' AND phase = 'before') AS tr, MAX(mean) FILTER (side = 'pseudo' AND phase = 'after') - MAX(mean) FILTER (side = 'pseudo' AND phase = 'before') AS pr FROM pm GROUP BY event_id)"""
-
-
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event against its best control: differences in differences."""
-    o = obs(spark, sf_dir)
-    rows = o.select("user_id", "secs", F.col("metric").alias("value"), F.col("quality").alias("weight"))
-    best = scored(spark, sf_dir).groupBy("event_id").agg(F.min_by("row_id", F.struct("score", "row_id")).alias("row_id"))
-    true = anchors(o).join(best.select("event_id"), "event_id")
-    pseudo = best.join(o.select(F.col("window_id").alias("row_id"), "user_id", "start_dt", F.col("secs").alias("anchor")), "row_id")
-    m = lambda a: events.phase_means(rows, a, "user_id", PHASES)
-    return events.paired(m(true), m(pseudo))
-
-
-@query(f"""WITH {OBS_SQL}, {EVENT_SQL}, {MATCH_SQL}, {PAIR_SQL} SELECT event_id, ROUND(ti, 6) AS true_immediate, ROUND(pi, 6) AS pseudo_immediate, ROUND(ti - pi, 6) AS immediate_difference, ROUND(tr, 6) AS true_recovery, ROUND(pr, 6) AS pseudo_recovery, ROUND(tr - pr, 6) AS recovery_difference FROM w""")
-def paired_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = responses(spark, sf_dir)
-    return x.select("event_id", *[F.round(c, 6).alias(c) for c in ("true_immediate", "pseudo_immediate", "immediate_difference", "true_recovery", "pseudo_recovery", "recovery_difference")])
-
-
-def daily_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(phase, session_id, date, d): means of the days of a session."""
-    a = anchors(obs(spark, sf_dir)).select("event_id", (F.col("user_id") % 3).alias("session_id"), F.col("start_dt").cast("date").alias("date"))
-    x = responses(spark, sf_dir).select("event_id", F.col("immediate_difference").alias("immediate"), F.col("recovery_difference").alias("recovery")).join(a, "event_id")
-    long = x.unpivot(["event_id", "session_id", "date"], ["immediate", "recovery"], "phase", "d").filter("d is not null")
-    return long.groupBy("phase", "session_id", "date").agg(F.avg("d").alias("d"), F.count("*").alias("events"))
-
-
-@query(f"""WITH {OBS_SQL}, {EVENT_SQL}, {MATCH_SQL}, {PAIR_SQL}, l AS (SELECT event_id, 'immediate' AS phase, ti - pi AS d FROM w UNION ALL SELECT event_id, 'recovery', tr - pr FROM w),
-y AS (SELECT phase, e.user_id % 3 AS session_id, CAST(e.start_dt AS DATE) AS date, AVG(d) AS d, COUNT(*) AS events FROM l JOIN ev e USING (event_id) WHERE d IS NOT NULL GROUP BY ALL)
-SELECT phase, CAST(SUM(events) AS BIGINT) AS matched_events, COUNT(DISTINCT session_id) AS sessions, COUNT(*) AS event_days, ROUND(AVG(d), 6) AS mean_difference, ROUND(median(d), 6) AS median_difference FROM y GROUP BY phase""")
-def response_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = daily_differences(spark, sf_dir)
-    return d.groupBy("phase").agg(F.sum("events").alias("matched_events"), F.countDistinct("session_id").alias("sessions"), F.count("*").alias("event_days"), F.round(F.avg("d"), 6).alias("mean_difference"), F.round(F.percentile("d", 0.5), 6).alias("median_difference"))
-
-
-@query()
-def response_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session-cluster bootstrap and signed-rank p of the daily differences, p adjusted by step-up."""
-    from ..operators import stats
-
-    d = daily_differences(spark, sf_dir)
-    ci = models.cluster_bootstrap(d, ["phase"], "session_id", "d")
-    p = stats.step_up(models.signed_rank(d, ["phase"], "d"), [], "p", ["phase"])
-    return ci.join(p.select("phase", "w_plus", "p", "q"), "phase", "left").select("phase", "clusters", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high", "w_plus", "p", "q")])
-
-
 COVER = (("before", -86400.0, 0.0, 2), ("during", 0.0, 43200.0, 1), ("after", 43200.0, 129600.0, 2))
 
 

@@ -44,16 +44,17 @@ def overlap_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PHASES = (("before", -86400, 0), ("during", 0, 43200), ("after", 43200, 129600))
-PHASE_SQL = """ph(phase, a, b) AS (VALUES ('before', -86400, 0), ('during', 0, 43200), ('after', 43200, 129600)),
-pm AS (SELECT event_id, phase, CASE WHEN COUNT(metric) >= 1 AND SUM(CASE WHEN metric IS NOT NULL AND quality > 0 THEN quality END) >= 1.0
-  THEN SUM(CASE WHEN metric IS NOT NULL AND quality > 0 THEN metric * quality END) / SUM(CASE WHEN metric IS NOT NULL AND quality > 0 THEN quality END) END AS mean, COUNT(metric) AS n
- FROM ev e, ph, obs o WHERE o.user_id = e.user_id AND o.secs >= e.secs + a AND o.secs < e.secs + b GROUP BY ALL)"""
+#: A row every two hours would fill a phase; a quarter of that must be there: 3, 2 and 3 rows.
+EVERY = 7200.0
+PHASE_SQL = """ph(phase, a, b, need) AS (VALUES ('before', -86400, 0, 3), ('during', 0, 43200, 2), ('after', 43200, 129600, 3)),
+pr AS (SELECT event_id, phase, need, CASE WHEN metric IS NOT NULL AND quality > 0 THEN quality END AS w, metric FROM ev e, ph, obs o WHERE o.user_id = e.user_id AND o.secs >= e.secs + a AND o.secs < e.secs + b),
+pm AS (SELECT event_id, phase, CASE WHEN COUNT(w) >= need AND SUM(w) >= 1.0 THEN SUM(metric * w) / SUM(w) END AS mean, COUNT(w) AS n FROM pr GROUP BY event_id, phase, need)"""
 
 
 def means(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = obs(spark, sf_dir)
     rows = o.select("user_id", "secs", F.col("metric").alias("value"), F.col("quality").alias("weight"))
-    return events.phase_means(rows, anchors(o), "user_id", PHASES)
+    return events.phase_means(rows, anchors(o), "user_id", PHASES, EVERY)
 
 
 @query(f"WITH {OBS_SQL}, {EVENT_SQL}, {PHASE_SQL} SELECT event_id, phase, ROUND(mean, 6) AS mean, n FROM pm")
@@ -76,34 +77,6 @@ def event_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(F.col("phase").cast("long").alias("bin")).agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-MATCH_SQL = """sc AS (SELECT o.user_id, e.event_id, o.window_id AS row_id, least(abs(m1 - m2), 1440 - abs(m1 - m2)) + CASE WHEN dd = 0 THEN 60.0 ELSE 0.0 END + 0.1 * dd AS score
- FROM (SELECT *, hour(start_dt) * 60 + minute(start_dt) AS m1 FROM obs WHERE NOT caretaker AND quality > 0.5) o
- JOIN (SELECT *, hour(start_dt) * 60 + minute(start_dt) AS m2 FROM ev) e ON o.user_id = e.user_id,
- LATERAL (SELECT abs(date_diff('day', CAST(e.start_dt AS DATE), CAST(o.start_dt AS DATE))) AS dd) x)"""
-
-
-def candidates(o: DataFrame) -> DataFrame:
-    return o.filter(~F.col("caretaker") & (F.col("quality") > 0.5)).select("user_id", F.col("window_id").alias("row_id"), "start_dt")
-
-
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = obs(spark, sf_dir)
-    return events.match_scores(anchors(o), candidates(o), "user_id")
-
-
-@query(f"""WITH {OBS_SQL}, {EVENT_SQL}, {MATCH_SQL} SELECT user_id, event_id, row_id, ROUND(score, 6) AS score,
- row_number() OVER (PARTITION BY event_id ORDER BY score, row_id) AS place FROM sc QUALIFY place <= 3""")
-def match_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = events.match_ranked(scored(spark, sf_dir), 3)
-    return x.select("user_id", "event_id", "row_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
-
-
-@query()
-def match_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = obs(spark, sf_dir)
-    return events.match_greedy_whole(anchors(o), candidates(o), "user_id", 1200.0)
-
-
 @query(f"""WITH {OBS_SQL}, {EVENT_SQL}, s(setting, gap) AS (VALUES ('none', 0), ('hour', 3600), ('day', 86400)),
 k AS (SELECT setting, e.user_id, e.event_id FROM ev e, s WHERE NOT EXISTS (SELECT 1 FROM ev f WHERE f.user_id = e.user_id AND f.event_id <> e.event_id
   AND f.secs > e.secs - gap AND f.secs < e.secs + gap)), {PHASE_SQL},
@@ -196,28 +169,6 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("profile_id", "geometry_id", "zone", (F.col("share") * F.col("area") / total).alias("f"), "area")
 
 
-ETA_SQL = """m AS (SELECT zone, v, AVG(v) OVER (PARTITION BY zone) AS gm, AVG(v) OVER (PARTITION BY zone, geometry_id) AS mg, AVG(v) OVER (PARTITION BY zone, profile_id) AS mp FROM val)
-SELECT zone, ROUND(SUM((mg - gm) ** 2) / greatest(SUM((v - gm) ** 2), 1e-12), 6) AS eta_geometry, ROUND(SUM((mp - gm) ** 2) / greatest(SUM((v - gm) ** 2), 1e-12), 6) AS eta_profile,
- ROUND(SUM((v - mg - mp + gm) ** 2) / greatest(SUM((v - gm) ** 2), 1e-12), 6) AS eta_interaction FROM m GROUP BY zone"""
-
-
-def eta(x: DataFrame, keys: list[str]) -> DataFrame:
-    """Balanced two-way shares of variance of ``v`` by geometry, profile and their interaction. Means of groups are aggregated
-    and joined: those of geometries are few and sent, those of profiles meet their rows by the profile."""
-    mean = lambda n, *k: x.groupBy(*keys, *k).agg(F.avg("v").alias(n))
-    m = x.select(*keys, "geometry_id", "profile_id", "v").join(F.broadcast(mean("gm")), keys).join(F.broadcast(mean("mg", "geometry_id")), [*keys, "geometry_id"])
-    m = m.join(mean("mp", "profile_id"), [*keys, "profile_id"])
-    ss = lambda c: F.sum(F.pow(c, F.lit(2.0)))
-    total = F.greatest(ss(F.col("v") - F.col("gm")), F.lit(1e-12))
-    return m.groupBy(*keys).agg(F.round(ss(F.col("mg") - F.col("gm")) / total, 6).alias("eta_geometry"), F.round(ss(F.col("mp") - F.col("gm")) / total, 6).alias("eta_profile"),
-                                F.round(ss(F.col("v") - F.col("mg") - F.col("mp") + F.col("gm")) / total, 6).alias("eta_interaction"))
-
-
-@query(f"WITH {OBS_SQL}, {GEOM_SQL}, {PROFILE_SQL}, val AS (SELECT zone, profile_id, geometry_id, f AS v FROM rep), {ETA_SQL}")
-def counterfactual_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eta(replay(spark, sf_dir).withColumn("v", F.col("f")), ["zone"])
-
-
 @query(f"""WITH {OBS_SQL}, {GEOM_SQL}, {PROFILE_SQL}, val AS (SELECT eps, zone, profile_id, geometry_id, ln(f + eps) - ln(area + eps) AS v FROM rep, (VALUES (0.001), (0.0025), (0.005), (0.01), (0.02)) e(eps)),
 m AS (SELECT eps, zone, v, AVG(v) OVER (PARTITION BY eps, zone) AS gm, AVG(v) OVER (PARTITION BY eps, zone, geometry_id) AS mg FROM val)
 SELECT CAST(eps AS DOUBLE) AS eps, zone, ROUND(AVG(v), 6) AS mean_selectivity, ROUND(SUM((mg - gm) ** 2) / greatest(SUM((v - gm) ** 2), 1e-12), 5) AS eta_geometry FROM m GROUP BY eps, zone""")
@@ -239,17 +190,6 @@ def scale_equivariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("zone").agg(F.round(F.avg("density"), 6).alias("density_mean"), F.round(F.stddev_samp("density"), 6).alias("density_sd"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {OBS_SQL}, {GEOM_SQL}, d AS (SELECT user_id % 50 AS g, AVG(metric) AS m FROM obs GROUP BY 1), a AS (SELECT geometry_id AS g, MAX(area) AS area FROM geom GROUP BY 1),
-j AS (SELECT m - lag(m) OVER (ORDER BY d.g) AS dm, ln(area) - lag(ln(area)) OVER (ORDER BY d.g) AS da FROM d JOIN a USING (g))
-SELECT COUNT(*) AS n, ROUND(covar_pop(dm, da) / nullif(stddev_pop(dm) * stddev_pop(da), 0), 6) AS r FROM j WHERE dm IS NOT NULL AND da IS NOT NULL""")
-def boundary_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = obs(spark, sf_dir).groupBy((F.col("user_id") % 50).alias("geometry_id")).agg(F.avg("metric").alias("m"))
-    a = geom(spark, sf_dir).groupBy("geometry_id").agg(F.log(F.max("area")).alias("a"))
-    w = Window.orderBy("geometry_id")  # at most 50 geometries
-    j = d.join(a, "geometry_id").select((F.col("m") - F.lag("m").over(w)).alias("dm"), (F.col("a") - F.lag("a").over(w)).alias("da")).filter("dm is not null and da is not null")
-    return j.agg(F.count("*").alias("n"), F.round(num.safe_corr(F.col("dm"), F.col("da")), 6).alias("r"))
-
-
 BOXES = (("drinking", (0.0, 0.0, 15.0, 0.05)), ("feeding", (15.0, 0.0, 35.0, 0.06)), ("resting", (0.0, 0.05, 25.0, 0.2)), ("open_movement", (25.0, 0.05, 60.0, 0.2)))
 BOX_SQL = "CASE WHEN %s >= 0 AND %s < 15 AND %s >= 0 AND %s < 0.05 THEN 'drinking' WHEN %s >= 15 AND %s < 35 AND %s >= 0 AND %s < 0.06 THEN 'feeding' WHEN %s >= 0 AND %s < 25 AND %s >= 0.05 AND %s < 0.2 THEN 'resting' WHEN %s >= 25 AND %s < 60 AND %s >= 0.05 AND %s < 0.2 THEN 'open_movement' ELSE 'outside' END"
 

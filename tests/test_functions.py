@@ -1,6 +1,7 @@
 """Hand-computed cases of the function library and operators."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -108,22 +109,50 @@ def test_weighted_mean_floor(spark):
     assert r["a"] == 2.0 and r["b"] is None
 
 
+PAIR = "k int, event_id int, row_id int, score double, secs double, e_secs double, length double, clock double, days int"
+
+
 def test_greedy_matching_keeps_its_distance(spark):
-    rows = [(1, e, 10 + e, float(p), p, f"2024-01-01 00:{m:02d}:00") for e, p, m in ((1, 1, 0), (1, 2, 40), (2, 1, 5), (2, 2, 45), (3, 1, 10))]
-    df = spark.createDataFrame(rows, "k int, event_id int, row_id int, score double, place int, c string").withColumn("c_dt", F.col("c").cast("timestamp"))
-    got = {(r["event_id"], r["score"]) for r in events.match_greedy(df, "k", 1200.0).collect()}
+    rows = [(1, e, 10 + e, float(p), 60.0 * m, float(e), 0.0, 0.0, 0) for e, p, m in ((1, 1, 0), (1, 2, 40), (2, 1, 5), (2, 2, 45), (3, 1, 10))]
+    got = {(r["event_id"], r["score"]) for r in events.match_greedy(spark.createDataFrame(rows, PAIR), "k", 1200.0).collect()}
     assert got == {(1, 1.0), (2, 2.0)}
 
 
 def test_greedy_matching_goes_on_past_fifty_excluded_candidates(spark):
     """60 candidates lie within the radius of the first pick; the second event gets the one far away."""
-    ev = spark.sql("SELECT 1L AS k, id AS event_id, timestamp'2024-01-02 10:00:00' AS start_dt FROM range(1, 3)")
-    ca = spark.sql("SELECT 1L AS k, 100 + id AS row_id, timestamp'2024-01-03 10:00:00' + make_dt_interval(0, 0, 0, id) AS start_dt FROM range(60) UNION ALL SELECT 1L, 900L, timestamp'2024-01-05 11:00:00'")
-    got = [tuple(r) for r in events.match_greedy_whole(ev, ca, "k", 1200.0).orderBy("event_id").collect()]
+    secs = lambda df: df.withColumn("secs", F.unix_micros("start_dt") / 1e6)
+    ev = secs(spark.sql("SELECT 1L AS k, id AS event_id, timestamp'2024-01-02 10:00:00' AS start_dt, 60D AS length FROM range(1, 3)"))
+    ca = secs(spark.sql("SELECT 1L AS k, 100 + id AS row_id, timestamp'2024-01-03 10:00:00' + make_dt_interval(0, 0, 0, id) AS start_dt FROM range(60) UNION ALL SELECT 1L, 900L, timestamp'2024-01-05 11:00:00'"))
+    ops = ev.select("k", F.col("secs").alias("lo"), (F.col("secs") + 60).alias("hi"))
+    pairs = events.control_pairs(ev, ca, ops, ca.select("k", "secs"), "k", coverage=[("own", 0.0, 1.0, "anchor", 1)])
+    got = [tuple(r) for r in events.match_greedy(pairs, "k", 1200.0).orderBy("event_id").select("k", "event_id", "row_id", "score").collect()]
     assert got == [(1, 1, 100, 0.1), (1, 2, 900, 60 + 0.1 * 3)]
-    few = ca.filter("row_id % 3 = 0")
-    want = events.match_greedy(events.match_ranked(events.match_scores(ev, few, "k"), 1000), "k", 1200.0).orderBy("event_id").collect()
-    assert events.match_greedy_whole(ev, few, "k", 1200.0).orderBy("event_id").collect() == want
+
+
+def test_greedy_matching_in_rounds_is_the_sequential_choice(spark):
+    """Random tables with chains of dependent events, ties of scores and starts, and three keys."""
+    rng = random.Random(5)
+    for n_events, n_rows, span in ((1, 1, 100), (12, 9, 6000), (40, 60, 30_000), (60, 20, 3000)):
+        rows = []
+        for k in range(3):
+            starts, at = [float(rng.randrange(20)) for _ in range(n_events)], [float(rng.randrange(span)) for _ in range(n_rows)]
+            rows += [(k, 1000 * k + e, 5000 * k + r, float(rng.randrange(6)), at[r], starts[e], 60.0, 0.0, 1) for e in range(n_events) for r in range(n_rows) if rng.random() < 0.6]
+        want, used = set(), {}
+        for k, e, start in sorted({(k, e, start) for k, e, _, _, _, start, *_ in rows}, key=lambda x: (x[0], x[2], x[1])):
+            free = [(score, at, r) for k2, e2, r, score, at, *_ in rows if e2 == e and all(abs(at - u) >= 1200.0 for u in used.get(k, []))]
+            if free:
+                want.add((e, min(free)[2]))
+                used.setdefault(k, []).append(min(free)[1])
+        got = {(r["event_id"], r["row_id"]) for r in events.match_greedy(spark.createDataFrame(rows, PAIR), "k", 1200.0).collect()}
+        assert got == want
+
+
+def test_phase_means_need_a_quarter_of_the_rows(spark):
+    rows = spark.createDataFrame([(1, 10.0 * j, v, w) for j, (v, w) in enumerate([(1.0, 1.0), (None, 1.0), (float("nan"), 1.0), (3.0, 1.0), (9.0, 0.0), (5.0, None)])], "k int, secs double, value double, weight double")
+    a = spark.createDataFrame([(7, 1, 0.0, 30.0)], "event_id int, k int, anchor double, end double")
+    one = lambda every: events.phase_means(rows, a, "k", [("all", 0.0, 80.0), ("tail", 0.0, 30.0, "end")], every).orderBy("phase").collect()
+    assert [tuple(r) for r in one(10.0)] == [(7, "all", 2.0, 2), (7, "tail", 3.0, 1)]
+    assert [r["mean"] for r in one(5.0)] == [None, None]  # 2 of 16 rows and 1 of 6 are less than a quarter
 
 
 def test_safe_corr_of_a_constant(spark):
