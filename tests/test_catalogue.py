@@ -12,7 +12,7 @@ import pytest
 
 from conftest import DATA
 from roomlens.operators import models, predict
-from roomlens.plans import catalogue, rules, studies
+from roomlens.plans import catalogue, study
 from roomlens.plans.adapters import obs
 
 
@@ -64,7 +64,7 @@ def frame(spark, data, name):
 
 
 def test_every_query_is_tested():
-    tested = {"bootstrap_interval", "weekly_bootstrap", "match_greedy", "record_json", "signed_rank_test", "hidden_state_grid", "hidden_state_cv", "nuisance_predictability", "spectral_features", "short_frame_features", "room_timeline", "response_intervals"}
+    tested = {"bootstrap_interval", "weekly_bootstrap", "record_json", "signed_rank_test", "hidden_state_grid", "hidden_state_cv", "nuisance_predictability", "spectral_features", "short_frame_features", "room_timeline", "response_intervals", "counterfactual_interval", "boundary_coupling_tests", "boundary_coupling_interval"}
     assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == tested
 
 
@@ -82,16 +82,23 @@ def test_bootstrap_intervals_hold_the_mean_and_have_the_right_width(spark, data)
 
 def test_response_intervals(spark, data):
     larger = data.replace("sf0.001", "sf0.01")
-    d = rules.daily_differences(spark, larger).toPandas()
-    got = frame(spark, larger, "response_intervals").set_index("phase")
-    for k, own in d.groupby("phase"):
+    d = study.daily_differences(spark, larger).toPandas()
+    got = frame(spark, larger, "response_intervals").set_index(["feature", "phase"])
+    assert len(got) == 6
+    for k, own in d.groupby(["feature", "phase"]):
         means = own.groupby("session_id")["d"].agg(["sum", "count"])
         each = [sum(means["sum"][i] for i in c) / sum(means["count"][i] for i in c) for c in itertools.product(means.index, repeat=len(means))]
         r = got.loc[k]
-        assert r["clusters"] == len(means) and abs(r["mean"] - own["d"].mean()) < 1e-5
+        assert r["clusters"] == len(means) and r["event_days"] == len(own) and abs(r["mean"] - own["d"].mean()) < 1e-5
         low, high = np.quantile(np.repeat(each, 200), [0.025, 0.975])  # every draw of clusters is as likely
         assert abs(r["low"] - low) < 0.2 * (high - low) + 1e-5 and abs(r["high"] - high) < 0.2 * (high - low) + 1e-5
-        assert 0 <= r["p"] <= 1 and r["q"] >= r["p"] - 1e-6
+        half = 1.96 * own["d"].std(ddof=0) / len(own) ** 0.5
+        assert abs(r["day_low"] - (r["mean"] - half)) < 0.4 * half and abs(r["day_high"] - (r["mean"] + half)) < 0.4 * half
+        assert np.isnan(r["p"]) == (len(own) < 5)
+    for _, own in got.groupby("phase"):  # adjusted over the features of a phase
+        p = own["p"].dropna().sort_values()
+        q = np.minimum.accumulate((p * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1].clip(upper=1)
+        assert np.allclose(own.loc[p.index, "q"], q, atol=2e-6)
 
 
 def test_signed_ranks_by_enumeration(spark):
@@ -105,28 +112,6 @@ def test_signed_ranks_by_enumeration(spark):
     assert len(frame(spark, DATA, "signed_rank_test")) == 2
 
 
-def test_greedy_matches_by_force(spark, data):
-    o = obs(spark, data)
-    ev = sorted((r["user_id"], r["event_id"], r["start_dt"]) for r in studies.anchors(o).collect())
-    cand = [(r["user_id"], r["row_id"], r["start_dt"]) for r in studies.candidates(o).orderBy("row_id").collect()]
-    want, used = {}, {}
-    for u, e, t in ev:
-        best = None
-        for v, c, s in cand:
-            if v != u or c == e or any(abs((s - x).total_seconds()) < 1200 for x in used.get(u, [])):
-                continue
-            clock = abs(s.hour * 60 + s.minute - t.hour * 60 - t.minute)
-            days = abs((s.date() - t.date()).days)
-            score = min(clock, 1440 - clock) + (60 if days == 0 else 0) + 0.1 * days
-            if best is None or score < best[0] - 1e-12:
-                best = (score, c, s)
-        if best:
-            used.setdefault(u, []).append(best[2])
-            want[e] = best[1]
-    got = frame(spark, data, "match_greedy")
-    assert dict(zip(got["event_id"], got["row_id"])) == want and want
-
-
 def test_frames_by_numpy(spark, data):
     e = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
     long, short = frame(spark, data, "spectral_features").set_index("frame"), frame(spark, data, "short_frame_features").set_index("frame")
