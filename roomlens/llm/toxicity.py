@@ -1,19 +1,20 @@
 """Toxicity: a linear-chain conditional random field over words, two states (clean, toxic).
 
-Training tokens are labelled from document labels: of the words and word beginnings (``PREFIXES``) of one language, those that
+Training tokens are labelled from document labels: of the words and word beginnings (``PREFIXES``), those that
 stand in toxic training documents significantly more often than in clean ones, and far above their share of these, are
-offending, and their places in toxic documents of that language get the label toxic. The field scores a word, its
+offending, and their places in toxic documents get the label toxic. This is tested over all training texts, and, since one language may be rare, once more
+within each of ``GROUPS`` groups of texts that are alike in their letters (k-means of trigram profiles of the texts alone; neither a language column nor any
+other but text and label is read). The field scores a word, its
 beginnings, its neighbours and the change of state, so inflected forms share weight, whatever the language;
-forward-backward marginals of every word of the whole text give the document's two features (highest marginal, log of the
-summed marginals), and logistic regression on these gives the score.
+forward-backward marginals of every word of the whole text give the document's four features (highest marginal, logs of the
+summed marginals, of the offending words and of the summed marginals per thousand words), and logistic regression on these gives the score.
 Offending offsets are the code points of words whose marginal is at least 0.5.
 
 The training set is a bounded sample of labelled documents: at most ``TOXIC_DOCS`` toxic and ``CLEAN_DOCS`` clean ones,
 taken in the order of a hash of their id from rows whose crc32(id) mod 4 is not 2. Everything else covers all rows.
 
 Cases: a null text is empty; an empty text has no words and gets the score of the features 0, 0; ids that repeat in the
-labels, and texts that repeat, are toxic if one row says so; rows with a null id or label do not train; a null language, or a table without
-languages, is one language; without toxic or clean training documents the score is 0.0 for all; extra columns pass
+labels, and texts that repeat, are toxic if one row says so; rows with a null id or label do not train; without toxic or clean training documents the score is 0.0 for all; extra columns pass
 through ``tag``.
 """
 
@@ -32,13 +33,15 @@ from .common import _WORD_TABLE, alnum_words, bound_batches, cut, held_out, trim
 TOXIC_DOCS, CLEAN_DOCS = 2000, 4000
 #: A window of training words, and how many windows a training document gives at most.
 SPAN, WINDOWS = 41, 4
-#: An offending term stands in so many toxic training documents of its language at least, with this log ratio to the clean
-#: ones; by chance, at most ``ALPHA`` such terms are expected in a language (Chernoff bound, shared out over its terms).
+#: An offending term stands in so many toxic training documents (of its group) at least, with this log ratio to the clean
+#: ones; by chance, at most ``ALPHA`` such terms are expected in a group (Chernoff bound, shared out over its terms).
 LEAST, LOG_RATIO, ALPHA = 3, 3.0, 0.05
 #: Bytes of the beginnings of a word that are terms and features.
 PREFIXES = (4, 5, 6, 7, 8)
 #: score >= this is predicted toxic.
 DECISION = 0.3
+#: Groups of texts by their letters, and the parts into which trigrams are hashed.
+GROUPS, PROFILE = 6, 512
 #: Words of one lane of the two-level scan.
 LANE = 256
 
@@ -222,15 +225,46 @@ def stream(texts) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
 
 
 def doc_features(p: np.ndarray, words: list[list[bytes]]) -> np.ndarray:
-    out, k = np.zeros((len(words), 2)), 0
+    out, k = np.zeros((len(words), 4)), 0
     for i, x in enumerate(words):
         if x:
             part = p[k : k + len(x)]
-            out[i] = part.max(), np.log1p(part.sum())
+            total = part.sum()
+            out[i] = part.max(), np.log1p(total), np.log1p((part >= 0.5).sum()), np.log1p(1000 * total / len(x))
             k += len(x)
     return out
 
 
+def letter_profile(text: bytes) -> np.ndarray:
+    """Square roots of the counts of hashed trigrams of bytes, A-Z lower-cased and other signs as spaces, to length 1."""
+    x = np.frombuffer(text.translate(_WORD_TABLE), np.uint8).astype(np.uint32)
+    tri = ((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - PROFILE.bit_length() + 1)
+    v = np.sqrt(np.bincount(tri, minlength=PROFILE))
+    return v / max(np.sqrt((v * v).sum()), 1e-12)
+
+
+def letter_groups(profiles: np.ndarray, rounds: int = 10) -> np.ndarray:
+    """Centres of ``GROUPS`` groups: the group that varies most is cut in two across its main direction and both halves settle by k-means, until there are
+    enough; then all do."""
+    def settle(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        for _ in range(rounds):
+            of = (x @ c.T).argmax(1)
+            c = np.array([x[of == k].mean(0) if (of == k).any() else c[k] for k in range(len(c))])
+            c /= np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-12)
+        return c
+
+    parts = [profiles]
+    while len(parts) < GROUPS:
+        k = max(range(len(parts)), key=lambda j: len(parts[j]) * parts[j].var(0).sum())
+        x = parts.pop(k)
+        away = x - x.mean(0)
+        main = away @ np.linalg.eigh(away.T @ away)[1][:, -1]
+        c = settle(x, np.array([x[main <= 0].mean(0) if (main <= 0).any() else x[0], x[main > 0].mean(0) if (main > 0).any() else x[0]]))
+        of = (x @ c.T).argmax(1)
+        parts += [x[of == 0], x[of == 1]] if 0 < of.sum() < len(x) else [x, x[:1]]
+    return settle(profiles, np.array([x.mean(0) for x in parts]))
+
+
 def offsets(text: bytes, on: np.ndarray) -> list[tuple[int, int]]:
     """Code-point spans of the words marked in ``on``."""
     plain = np.frombuffer(text.translate(_WORD_TABLE), np.uint8)
@@ -241,16 +275,16 @@ def offsets(text: bytes, on: np.ndarray) -> list[tuple[int, int]]:
 
 
 def fit_scores(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Logistic regression by Newton steps with a small ridge: (bias, weight, weight)."""
+    """Logistic regression by Newton steps with a small ridge: the bias, then a weight for each feature."""
     x = np.hstack([np.ones((len(x), 1)), x])
-    w, ridge = np.zeros(3), np.diag([1e-3, 1e-2, 1e-2])
+    w, ridge = np.zeros(x.shape[1]), np.diag([1e-3, *[1e-2] * (x.shape[1] - 1)])
     for _ in range(min(steps, 50)):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> dict:
     """Train the field and the document score on the bounded sample; what reaches the driver is bounded by it."""
     spark = docs.sparkSession
     bound_batches(spark)
@@ -259,17 +293,32 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         .groupBy(F.col(id_col).alias("_i")).agg(F.max("toxic").alias("_y")).withColumn("_h", F.xxhash64("_i"))
     )
     pick = marks.filter("_y = 1").orderBy("_h", "_i").limit(toxic_docs).unionByName(marks.filter("_y != 1").orderBy("_h", "_i").limit(clean_docs))
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
-    sample = cut(docs.select(F.col(id_col).alias("_i"), utf8(text_col).alias("t"), lang.alias("l")).join(F.broadcast(pick.select("_i", "_y")), "_i").select("t", F.col("_y").cast("int").alias("y"), "l").groupBy("t").agg(F.max("y").alias("y"), F.min("l").alias("l")))
+    texts = docs.select(F.col(id_col).alias("_i"), utf8(text_col).alias("t")).join(F.broadcast(pick.select("_i", "_y")), "_i").select("t", F.col("_y").cast("int").alias("y"))
+    sample = cut(texts.groupBy("t").agg(F.max("y").alias("y")))
+
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([letter_profile(t).astype(np.float32).tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["p"])
+
+    known = sorted(bytes(r["p"]) for r in sample.mapInArrow(profiles, "p binary").collect())
+    centres = letter_groups(np.frombuffer(b"".join(known), np.float32).reshape(-1, PROFILE)) if known else np.zeros((GROUPS, PROFILE))
+    own = lambda t: str(int((centres @ letter_profile(t)).argmax()))
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([own(t) for t in b.column(0).to_pylist()], pa.string())], ["t", "y", "l"])
+
+    sample = cut(sample.mapInArrow(grouped, "t binary, y int, l string"))
 
     def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w, y, ls = [], [], []
-            for t, l, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = terms(set(alnum_words(t)))
-                w += own
-                y += [int(l == 1)] * len(own)
-                ls += [lang] * len(own)
+            for t, l, group in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                of_text = terms(set(alnum_words(t)))
+                for name in ("", group):
+                    w += of_text
+                    y += [int(l == 1)] * len(of_text)
+                    ls += [name] * len(of_text)
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(y, pa.int32()), pa.array(ls, pa.string())], ["w", "y", "l"])
 
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -277,26 +326,26 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not pos or not neg:
         return {"keys": np.zeros(0, np.uint64), "w": np.zeros((3, 1)), "pkeys": np.zeros(0, np.uint64), "pw": np.zeros(1), "bias": -30.0, "trans": np.zeros((2, 2)), "score": None, "lexicon": []}
     by_word = cut(sample.mapInArrow(word_rows, "w binary, y int, l string").groupBy("l", "w").agg(F.sum("y").alias("p"), F.count("*").alias("n")).filter(F.col("n") >= LEAST))
-    docs_of = sample.groupBy("l").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count("*").alias("all"))
-    per_lang = docs_of.join(by_word.groupBy("l").agg(F.count("*").alias("tests")), "l")
+    docs_of = sample.select("y", F.explode(F.array(F.lit(""), "l")).alias("l")).groupBy("l").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count("*").alias("all"))
+    per_group = docs_of.join(by_word.groupBy("l").agg(F.count("*").alias("tests")), "l")
     p, n, q = F.col("p"), F.col("n"), F.col("pos") / F.col("all")
     ratio = F.log((p + 0.5) / (F.col("pos") + 1)) - F.log((n - p + 0.5) / (F.col("all") - F.col("pos") + 1))
-    # n times the divergence of the term's toxic share from the language's: minus the log of its chance is at least that
+    # n times the divergence of the term's toxic share from the group's: minus the log of its chance is at least that
     chance = p * F.log(p / (n * q)) + F.when(p < n, (n - p) * F.log((n - p) / (n * (1 - q)))).otherwise(0.0)
     sure = (p >= LEAST) & (ratio >= LOG_RATIO) & (p > n * q) & (F.when(p >= LEAST, chance) >= F.log(F.col("tests") / ALPHA))
     found: dict[str, dict[bytes, int]] = {}
-    for x in by_word.filter(p >= LEAST).join(F.broadcast(per_lang), "l").filter(sure).select("l", "w", "p").collect():
+    for x in by_word.filter(p >= LEAST).join(F.broadcast(per_group), "l").filter(sure).select("l", "w", "p").collect():
         found.setdefault(x["l"], {})[bytes(x["w"])] = x["p"]
-    lexicon = {lang: families(x) for lang, x in found.items()}
+    lexicon = {group: families(x) for group, x in found.items()}
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hs, ys = [], []
-            for t, l, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for t, l, group in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = alnum_words(t)
                 if not words:
                     continue
-                bad = lexicon.get(lang, set())
+                bad = lexicon.get("", set()) | lexicon.get(group, set())
                 on = {x for x in set(words) if not bad.isdisjoint(terms({x}))}
                 marked = np.array([x in on for x in words])
                 lab = (marked & (l == 1)).astype(np.int8)
@@ -317,7 +366,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         hs[k, : len(words)], ys[k, : len(words)] = own, np.frombuffer(y, np.int8)
         seen.update(zip(own.tolist(), words, strict=True))
     seen.pop(0, None)
-    model = fit_chain(hs, ys, prefix_hashes([seen[k] for k in sorted(seen)])) | {"score": None, "lexicon": sorted((lang, t) for lang, x in lexicon.items() for t in x)}
+    model = fit_chain(hs, ys, prefix_hashes([seen[k] for k in sorted(seen)])) | {"score": None, "lexicon": sorted((group, t) for group, x in lexicon.items() for t in x)}
     shared = spark.sparkContext.broadcast(model)
 
     def feats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,14 +374,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         for b in batches:
             words, h, starts = stream(b.column(0).to_pylist())
             x = doc_features(chain_marginals(emissions(m, words, h, starts), starts, m["trans"]), words)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), b.column(1)], ["a", "b", "y"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[:, k]) for k in range(4)], b.column(1)], [*"abcd", "y"])
         trim()
 
-    got = sorted((r["a"], r["b"], r["y"]) for r in sample.mapInArrow(feats, "a double, b double, y int").collect())
+    got = sorted(tuple(r) for r in sample.mapInArrow(feats, "a double, b double, c double, d double, y int").collect())
     # the sample holds toxic documents at another rate than the labels: weigh by shifting the bias
     true = {r["_y"]: r["n"] for r in marks.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     rate = true.get(1, 0) / max(1, sum(true.values()))
-    w = fit_scores(np.array([g[:2] for g in got]), np.array([float(g[2] == 1) for g in got]))
+    w = fit_scores(np.array([g[:4] for g in got]), np.array([float(g[4] == 1) for g in got]))
     w[0] += np.log(rate / (1 - rate)) - np.log(pos / neg) if 0 < rate < 1 else 0.0
     return model | {"score": w}
 
