@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import num
 from ..operators import audio, contract, models, predict, states
+from ..operators.order import blocks
+from ..operators.shared import join_keys
 from .adapters import OBS_SQL, obs, table
 from .registry import query
 from .studies import means
@@ -95,14 +97,46 @@ def hidden_state_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("states", "seed", F.round("log_likelihood", 3).alias("log_likelihood"), "rounds", F.round("largest_share", 4).alias("largest_share"))
 
 
+def state_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session's day of hours as a sequence: mean value and quality, share of active zones, log of the rows; sessions are ten groups of users, and folds are
+    blocks of sessions that follow each other by their starts."""
+    o = obs(spark, sf_dir).withColumn("session_id", F.col("user_id") % 10)
+    active = F.avg(F.col("zone").isin("feeding", "open_movement").cast("double"))
+    h = o.groupBy("session_id", F.date_trunc("hour", "start_dt").alias("hour")).agg(F.avg("metric").alias("m"), F.avg("quality").alias("q"), active.alias("a"), F.log(F.count("*").cast("double")).alias("n"))
+    weight = F.coalesce("q", F.lit(0.0))
+    r = F.struct("hour", F.array("m", "q", "a", "n").alias("x"), F.array(weight, weight, F.lit(1.0), F.lit(1.0)).alias("w"))
+    seq = h.groupBy("session_id", F.col("hour").cast("date").alias("date")).agg(F.sort_array(F.collect_list(r)).alias("r"))
+    fold = blocks(o.groupBy("session_id").agg(F.min("start_dt").alias("t")), ["t", "session_id"], 3, "fold")
+    return join_keys(seq, fold.select("session_id", F.col("fold").cast("int").alias("fold")), ["session_id"], "inner").select("session_id", "date", "fold", F.col("r.x").alias("x"), F.col("r.w").alias("w"))
+
+
+SEEDS = [11, 23, 37]
+
+
 @query()
 def hidden_state_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out likelihoods of 2 to 12 states, three folds of sessions and three seeds; a session's day of hourly means is a sequence."""
-    h = obs(spark, sf_dir).groupBy((F.col("session_id") % 3).cast("int").alias("fold"), "session_id", F.date_trunc("hour", "start_dt").alias("hour")).agg(F.avg("metric").alias("m"), F.avg("quality").alias("q"))
-    r = F.struct("hour", F.array("m", "q").alias("x"), F.array(F.coalesce("q", F.lit(0.0)), F.coalesce("q", F.lit(0.0))).alias("w"))
-    seq = h.groupBy("fold", "session_id", F.col("hour").cast("date").alias("date")).agg(F.sort_array(F.collect_list(r)).alias("r"))
-    g = states.cross_validated(seq.select("fold", F.col("r.x").alias("x"), F.col("r.w").alias("w")), list(range(2, 13)), 3, [11, 23, 37])
-    return g.select("states", "fold", "seed", "rounds", "train_rows", "test_rows", *[F.round(c, 3).alias(c) for c in ("train_ll", "test_ll")], F.round("test_ll_per_row", 5).alias("test_ll_per_row"))
+    """Held-out likelihoods of 2 to 12 states, three folds of sessions and three seeds."""
+    g = states.cross_validated(state_sequences(spark, sf_dir), list(range(2, 13)), 3, SEEDS)
+    return g.select("states", "fold", "seed", "rounds", "train_rows", "test_rows", *[F.round(c, 3).alias(c) for c in ("train_ll", "test_ll", "train_bic")], *[F.round(c, 5).alias(c) for c in ("test_ll_per_row", "min_occupancy")])
+
+
+@query()
+def hidden_state_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By number of states, over folds and pairs of seeds: how far the states of the rows agree (adjusted Rand index) and how alike the matched states are."""
+    s = states.stability(states.fit(state_sequences(spark, sf_dir), [2, 3, 4, 6, 8], 3, SEEDS))
+    p = F.when(~F.isnan("profile_correlation"), F.col("profile_correlation"))
+    return s.groupBy("states").agg(F.count("*").alias("pairs"), F.max("rows").alias("rows"), F.round(F.percentile("ari", 0.5), 6).alias("median_ari"), F.round(F.min("ari"), 6).alias("least_ari"), F.round(F.percentile(p, 0.5), 6).alias("median_profile_correlation"))
+
+
+@query()
+def hidden_state_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a model of four states, by session, day and fold: rows, changes of state, share of the commonest state, mean probability of the likeliest."""
+    x = states.paths(states.fit(state_sequences(spark, sf_dir), [4], 3, SEEDS[:1]), ["session_id", "date"])
+    n = F.size("path")
+    changes = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (i < n) & (F.element_at("path", i) != F.element_at("path", F.least(i + 1, n)))))
+    most = F.array_max(F.transform(F.array_distinct("path"), lambda s: F.size(F.filter("path", lambda v: v == s))))
+    mean = F.aggregate("top", F.lit(0.0), lambda a, v: a + v) / n
+    return x.select("session_id", "date", "fold", "held_out", n.alias("rows"), changes.alias("changes"), F.round(most / n, 6).alias("commonest"), F.round(mean, 6).alias("certainty"))
 
 
 @query()

@@ -64,7 +64,7 @@ def frame(spark, data, name):
 
 
 def test_every_query_is_tested():
-    tested = {"bootstrap_interval", "weekly_bootstrap", "record_json", "signed_rank_test", "hidden_state_grid", "hidden_state_cv", "nuisance_predictability", "spectral_features", "short_frame_features", "room_timeline", "response_intervals", "counterfactual_interval", "boundary_coupling_tests", "boundary_coupling_interval"}
+    tested = {"bootstrap_interval", "weekly_bootstrap", "record_json", "signed_rank_test", "hidden_state_grid", "hidden_state_cv", "nuisance_predictability", "spectral_features", "short_frame_features", "room_timeline", "response_intervals", "counterfactual_interval", "hidden_state_stability", "hidden_state_paths", "boundary_coupling_tests", "boundary_coupling_interval"}
     assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == tested
 
 
@@ -146,6 +146,16 @@ def test_hidden_state_folds(spark, data, tmp_path):
     assert len(g) == 99 and set(g["states"]) == set(range(2, 13)) and (g["train_rows"] + g["test_rows"]).nunique() == 1 and np.isfinite(g["test_ll_per_row"]).all()
     best = g.groupby("states")["train_ll"].max()
     assert best[12] > best[2]
+    assert (g["min_occupancy"] <= 1 / g["states"] + 1e-5).all() and g.groupby("fold")["test_rows"].nunique().eq(1).all()
+
+
+def test_hidden_state_stability_and_paths(spark, data):
+    s = frame(spark, data, "hidden_state_stability")
+    assert sorted(s["states"]) == [2, 3, 4, 6, 8] and (s["pairs"] == 9).all() and ((s["least_ari"] <= s["median_ari"]) & (s["median_ari"] <= 1)).all()
+    p = frame(spark, data, "hidden_state_paths")
+    days = p.groupby(["session_id", "date"]).size()
+    assert (days == 3).all() and p.groupby(["session_id", "date"])["held_out"].sum().eq(1).all()  # each day is held out of one fold
+    assert (p["changes"] < p["rows"]).all() and ((p["commonest"] > 0) & (p["commonest"] <= 1)).all() and (p["certainty"] >= 0.25).all()
 
 
 def test_predictability(spark, data):

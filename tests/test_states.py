@@ -3,8 +3,9 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from roomlens.operators import states
+from roomlens.operators import models, states
 
 
 def test_expected_counts_by_enumeration():
@@ -50,3 +51,38 @@ def test_folds_without_rows(spark):
     g = states.cross_validated(df, [2], 2, [1], rounds=2).toPandas().set_index("fold")
     assert g.loc[0, "train_rows"] == 0 and np.isnan(g.loc[0, "test_ll"]) and g.loc[1, "test_rows"] == 0 and np.isnan(g.loc[1, "test_ll_per_row"])
     assert states.cross_validated(df.limit(0), [2], 1, [1]).count() == 1
+
+
+def test_stability_and_paths_by_plain_computation(spark):
+    """Rand indices and matched profiles of all pairs of seeds against paths that are counted one by one."""
+    df = planted(spark, 9, 20).withColumn("id", F.monotonically_increasing_id())
+    fits = states.fit(df, [2, 3], 3, [1, 2, 5], rounds=4)
+    got = {(r["states"], r["fold"], r["seed_a"], r["seed_b"]): r for r in states.stability(fits).collect()}
+    way = {}
+    for r in states.paths(fits, ["id"]).orderBy("id").collect():
+        assert len(r["path"]) == 20 and all(1 / r["states"] <= v <= 1 + 1e-9 for v in r["top"])
+        if not r["held_out"]:
+            way.setdefault((r["states"], r["fold"], r["seed"]), []).extend(r["path"])
+    assert len(got) == 2 * 3 * 3
+    for (k, f, a, b), r in got.items():
+        x, y = np.array(way[k, f, a]), np.array(way[k, f, b])
+        same, alike = x[:, None] == x[None], y[:, None] == y[None]
+        up = np.triu_indices(len(x), 1)
+        p, q, t = same[up].sum(), alike[up].sum(), (same & alike)[up].sum()
+        chance = p * q / len(up[0])
+        assert r["rows"] == len(x) and abs(r["ari"] - ((t - chance) / ((p + q) / 2 - chance) if (p + q) / 2 != chance else 1.0)) < 1e-9
+        m, n = fits.cells[k, f, a]["p"]["mean"], fits.cells[k, f, b]["p"]["mean"]
+        best = min(itertools.permutations(range(k)), key=lambda z: sum(np.linalg.norm(n[i] - m[z[i]]) for i in range(k)))
+        assert abs(r["profile_correlation"] - np.median([np.corrcoef(n[i], m[best[i]])[0, 1] for i in range(k)])) < 1e-9
+    s = states.scores(fits).toPandas()
+    free = 2 * s["states"] * 2 + s["states"] * (s["states"] - 1) + s["states"] - 1
+    assert np.allclose(s["train_bic"], free * np.log(s["train_rows"]) - 2 * s["train_ll"]) and ((s["min_occupancy"] > 0) & (s["min_occupancy"] <= 1 / s["states"] + 1e-9)).all()
+
+
+def test_assignment_is_the_cheapest():
+    r = np.random.default_rng(0)
+    for t in range(200):
+        n = r.integers(1, 7)
+        c = r.normal(size=(n, n)) if t % 2 else r.integers(0, 4, (n, n)).astype(float)
+        a = models.assign(c)
+        assert sorted(a) == list(range(n)) and abs(sum(c[i, a[i]] for i in range(n)) - min(sum(c[i, z[i]] for i in range(n)) for z in itertools.permutations(range(n)))) < 1e-9
