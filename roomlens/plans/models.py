@@ -77,7 +77,9 @@ def posterior_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = models.bootstrap_mean(obs(spark, sf_dir).select("session_id", "window_id", "metric"), ["session_id"], "metric", replicates=5000)
+    """Mean of a session's daily means with the interval of 5,000 draws of days."""
+    d = obs(spark, sf_dir).groupBy("session_id", F.col("start_dt").cast("date").alias("date")).agg(F.avg("metric").alias("metric"))
+    b = models.bootstrap_mean(d, ["session_id"], "metric", replicates=5000)
     return b.select("session_id", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 

@@ -100,11 +100,13 @@ def sound_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_features(spark, sf_dir)
 
 
-@query(f"""WITH {FRAMES_SQL}, {MEDIA_SQL}, {WINDOW_SQL}, {EVENT_SQL}, z AS ({SUMMARY_SQL}), n AS (SELECT s_suppkey AS media_id, unnest(range(6)) * 20 AS win FROM supplier)
+@query(f"""WITH {FRAMES_SQL}, {MEDIA_SQL}, {WINDOW_SQL}, {EVENT_SQL}, z AS ({SUMMARY_SQL}), n AS (SELECT s_suppkey AS media_id, unnest(range(CAST((SELECT MAX(frame) FROM frames) // 100 AS BIGINT) + 1)) * 10 AS win FROM supplier)
 SELECT n.media_id, n.win, z.win IS NOT NULL AS audio_available, CASE WHEN z.win IS NULL THEN 'insufficient_audio_frames' ELSE 'ok' END AS audio_quality_flag, bird_occupancy, coalesce(hint, 'unavailable') AS hint FROM n LEFT JOIN z ON z.media_id = n.media_id AND z.win = n.win""")
 def sound_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planned windows of every medium; those without frames get the defaults."""
-    wins = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("media_id"), F.explode(F.array(*[F.lit(20 * k).cast("long") for k in range(6)])).alias("win"))
+    """All windows of every medium, which are planned as long as the longest one; those without frames get the defaults."""
+    last = frames(spark, sf_dir).agg(F.floor(F.max("frame") / 100).cast("long").alias("last"))
+    wins = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("media_id")).crossJoin(F.broadcast(last))  # one row
+    wins = wins.select("media_id", F.explode(F.sequence(F.lit(0).cast("long"), 10 * F.col("last"), F.lit(10).cast("long"))).alias("win"))
     x = audio.with_unavailable(wins, event_features(spark, sf_dir), KEYS)
     return x.select(*KEYS, "audio_available", "audio_quality_flag", "bird_occupancy", "hint")
 

@@ -69,7 +69,8 @@ def test_every_query_is_tested():
 
 
 def test_bootstrap_intervals_hold_the_mean_and_have_the_right_width(spark, data):
-    plain = obs(spark, data).filter("metric is not null").select("session_id", "metric").toPandas().groupby("session_id")["metric"]
+    o = obs(spark, data).filter("metric is not null").selectExpr("session_id", "date(start_dt) AS date", "metric").toPandas()
+    plain = o.groupby(["session_id", "date"])["metric"].mean().groupby("session_id")
     got = frame(spark, data, "bootstrap_interval").set_index("session_id")
     for k, v in plain:
         r = got.loc[k]
