@@ -64,7 +64,7 @@ def frame(spark, data, name):
 
 
 def test_every_query_is_tested():
-    tested = {"bootstrap_interval", "weekly_bootstrap", "record_json", "signed_rank_test", "hidden_state_grid", "hidden_state_cv", "nuisance_predictability", "spectral_features", "short_frame_features", "room_timeline", "response_intervals", "counterfactual_interval", "hidden_state_stability", "hidden_state_paths", "boundary_coupling_tests", "boundary_coupling_interval"}
+    tested = {"bootstrap_interval", "weekly_bootstrap", "record_json", "signed_rank_test", "hidden_state_grid", "hidden_state_cv", "nuisance_predictability", "spectral_features", "short_frame_features", "room_timeline", "response_intervals", "counterfactual_interval", "hidden_state_stability", "hidden_state_paths", "activity_regions", "boundary_coupling_tests", "boundary_coupling_interval"}
     assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == tested
 
 
