@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import sys
-import tempfile
 import zlib
 
 import numpy as np
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import checkpoint_dir
+
 #: A side of at most so many bytes, as ``byte_count`` has them, is broadcast; beyond it a plain join runs.
 BROADCAST_BYTES = 24 * 1024 * 1024
 
@@ -25,16 +26,8 @@ _WORD_TABLE = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset (tests) a new one."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(base)
-        return base
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a new one in local mode (tests), an error on a cluster."""
+    return checkpoint_dir(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -815,6 +815,37 @@ def test_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
 
 
+def test_pipeline_stages_of_odd_tables(spark, data):
+    """Empty tables, repeated ids, null and empty texts, nulls elsewhere, clashing columns, a very long text."""
+    import corpus_pipeline
+
+    cols = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words string, piece int, label string, t string, _i int"
+    plain = "some quiet words about the lake and the house by the old mill on the hill today"
+    rows = [(7, plain, None, "s", len(plain), None, None, None, None, None, None), (7, plain + " and another ending here", "en", None, 1, 0.5, "x", 1, "y", "z", 1), (8, None, "en", "s", None, *[None] * 6), (9, "", "en", "s", 0, *[None] * 6),
+            (None, "a text without an id, mail me at some.one@example.org", "en", "s", 1, *[None] * 6), (10, "unlike words of a long text " * 9000, "en", "s", 1, *[None] * 6)]
+    odd = spark.createDataFrame(rows, cols)
+    for docs, n in ((odd, len(rows)), (odd.limit(0), 0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.cut(stage(spark, docs, data))
+            assert docs.columns == odd.columns and docs.count() == n
+        if n:
+            got = {(r["doc_id"], r["text"]) for r in docs.collect()}
+            assert {(7, plain), (8, None), (9, "")} <= got and not any("example.org" in (t or "") for _, t in got)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, data)
+        assert packed.select("doc_id", "piece").count() >= n and (packed.count() > 0) == (n > 0)
+
+
+def test_letter_groups_tell_languages_apart():
+    rng = np.random.default_rng(0)
+    kinds = {k: [a + b for a in "aeiou" for b in letters] for k, letters in (("x", "bcdfg"), ("y", "ñrstv"), ("z", "zwxüö"))}
+    texts = [(k, " ".join("".join(rng.choice(kinds[k], 3)) for _ in range(80))) for k in rng.choice(list("xyz"), 200, p=[0.8, 0.12, 0.08])]
+    p = np.array([toxicity.letter_profile(t.encode()) for _, t in texts])
+    of = (p @ toxicity.letter_groups(p).T).argmax(1)
+    assert all(len({k for (k, _), o in zip(texts, of) if o == g}) <= 1 for g in range(toxicity.GROUPS))
+    one = toxicity.letter_groups(np.array([toxicity.letter_profile(b"")]))
+    assert one.shape == (toxicity.GROUPS, toxicity.PROFILE) and np.isfinite(one).all()
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
