@@ -123,9 +123,10 @@ def phase_counts(rows: DataFrame, anchors: DataFrame, key: str, phases: Sequence
     return anchors.select("event_id").join(p, "event_id", "left").select("event_id", (F.size(F.filter(F.array(*ok), lambda x: ~x)) == 0).alias("covered"))
 
 
-def paired(means: DataFrame, by: Sequence[str] = (), names: tuple[str, str, str] = ("baseline", "immediate", "recovery")) -> DataFrame:
-    """Differences in differences of phase means (event_id, side, phase, mean, and ``by``), where side is true for the event and pseudo for its control: the changes of
-    each side from its baseline, and what the event's change exceeds its control's by."""
+def paired(true: DataFrame, pseudo: DataFrame, by: Sequence[str] = (), phases: tuple[str, str, str] = ("before", "during", "after")) -> DataFrame:
+    """Differences in differences: ``true`` and ``pseudo`` are phase means (event_id, phase, mean, and ``by``) of the events and of their controls,
+    under the event's id. immediate and recovery of each side against its own first phase, and their differences."""
+    sides = true.withColumn("side", F.lit("true")).unionByName(pseudo.withColumn("side", F.lit("pseudo")))
     one = lambda s, p: F.max(F.when((F.col("side") == s) & (F.col("phase") == p), F.col("mean")))
-    w = means.groupBy("event_id", *by).agg(*[(one(s, p) - one(s, names[0])).alias(f"{s}_{p}") for s in ("true", "pseudo") for p in names[1:]])
-    return w.select("*", *[(F.col(f"true_{p}") - F.col(f"pseudo_{p}")).alias(f"{p}_difference") for p in names[1:]])
+    w = sides.groupBy("event_id", *by).agg(*[(one(s, p) - one(s, phases[0])).alias(f"{s}_{n}") for s in ("true", "pseudo") for p, n in zip(phases[1:], ("immediate", "recovery"), strict=True)])
+    return w.select("*", *[(F.col(f"true_{n}") - F.col(f"pseudo_{n}")).alias(f"{n}_difference") for n in ("immediate", "recovery")])
