@@ -18,11 +18,16 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def reaches(total: Column, floor: float) -> Column:
+    """Whether a sum is ``floor`` or more, to nine decimals: the last bits of a sum hang on the order of its rows, so one that is ``floor`` exactly may come out below."""
+    return F.round(total, 9) >= floor
+
+
 def weighted_mean(x: Column, w: Column, floor: float = 0.0) -> Column:
     """Mean over rows with a value and a positive weight; null where those weights sum to less than ``floor``."""
     ok = x.isNotNull() & (w > 0)
     total = F.sum(F.when(ok, w))
-    return F.when(total >= floor, F.try_divide(F.sum(F.when(ok, x * w)), total))
+    return F.when(reaches(total, floor), F.try_divide(F.sum(F.when(ok, x * w)), total))
 
 
 def add(columns: list[Column]) -> Column:

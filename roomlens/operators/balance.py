@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.num import weighted_mean
+from ..functions.num import reaches, weighted_mean
 from ..functions.time import is_daylight, week_ending_monday, week_start
 
 #: An hour counts if its qualities sum to this at least; a day without sessions needs this many hours.
@@ -28,7 +28,7 @@ def by_session_all_rows(obs: DataFrame) -> DataFrame:
     """As above without filters on overlap; rows without a value count towards the floor (quality clipped to 0..1)."""
     f = obs.filter(is_daylight(F.col("start_dt")))
     q = F.least(F.greatest(F.coalesce("quality", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    hourly = f.groupBy(*_hours(f, ["session_id"])).agg(weighted_mean(F.col("metric"), q).alias("m"), F.sum(q).alias("w")).filter(F.col("w") >= HOUR_WEIGHT)
+    hourly = f.groupBy(*_hours(f, ["session_id"])).agg(weighted_mean(F.col("metric"), q).alias("m"), F.sum(q).alias("w")).filter(reaches(F.col("w"), HOUR_WEIGHT))
     return hourly.groupBy("session_id", "date").agg(F.avg("m").alias("daily_mean"), F.count("*").alias("hour_bins"))
 
 

@@ -1,5 +1,6 @@
 """Hand-computed cases of the function library and operators."""
 
+import itertools
 import math
 import random
 
@@ -109,6 +110,14 @@ def test_weighted_mean_floor(spark):
     assert r["a"] == 2.0 and r["b"] is None
 
 
+def test_weights_that_sum_to_the_floor_reach_it_in_any_order(spark):
+    assert 0.06 + 0.57 + 0.37 < 1.0 <= 0.57 + 0.37 + 0.06  # the last bit hangs on the order
+    for weights in itertools.permutations((0.06, 0.57, 0.37)):
+        df = spark.createDataFrame([(8.0, w) for w in weights], "x double, w double").coalesce(1)
+        r = df.agg(num.weighted_mean(F.col("x"), F.col("w"), 1.0).alias("a"), num.weighted_mean(F.col("x"), F.col("w"), 1.001).alias("b")).first()
+        assert abs(r["a"] - 8.0) < 1e-9 and r["b"] is None
+
+
 PAIR = "k int, event_id int, row_id int, score double, secs double, e_secs double, length double, clock double, days int"
 
 
