@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,25 +72,37 @@ def control_pairs(events: DataFrame, candidates: DataFrame, operations: DataFram
     ``clock_limit`` minutes off by the clock, ``least_distance`` seconds away, free of operations (key, lo, hi) from ``margin`` before its start to behind its
     end, and with rows (key, secs) enough. The score is the clock minutes, 60 on the same date, and 0.1 for each day between.
 
-    Events and candidates meet by key and five-minute slot of the day, so a busy key is many groups and the rest of the day is never paired."""
+    Candidates are judged before they meet an event, so what is paired is what stays: of a candidate, the first operation that is not over ``margin`` before its start
+    bounds the lengths that it has room for, and coverage is counted for the lengths of the key's events. Events and candidates then meet by key, length and five-minute slot of
+    the day, so a busy key is many groups and the rest of the day is never paired."""
+    lengths = cut(events.select(F.col(key).alias("_k"), "length").distinct())
+    spread = lengths.agg(F.min("length").alias("_short"), F.max("length").alias("_long"))
+    c = candidates.select(key, "row_id", F.col("start_dt").alias("c_dt"), "secs").crossJoin(F.broadcast(spread))  # one row
+    o = operations.groupBy(F.col(key).alias("_k"), F.col("lo").alias("_lo")).agg(F.max("hi").alias("_hi")).withColumn("_b", F.explode(buckets(F.col("_lo"), F.col("_hi"), width)))
+
+    def meet(own: DataFrame, length: str, how: str) -> DataFrame:
+        lo, hi = F.col("secs") - margin[0], F.col("secs") + F.col(length) + margin[1]
+        r = own.withColumn("_c", F.explode(buckets(lo, hi, width)))
+        return r.join(o, (r[key] == o["_k"]) & (F.col("_c") == F.col("_b")) & (F.col("_lo") < hi) & (F.col("_hi") > lo), how)
+
+    # most candidates have no room for the shortest event; a semi-join ends at the first operation that it finds
+    own = c.select(key, "secs", "_short", "_long").distinct()
+    room = cut(own.join(meet(own, "_short", "left_semi").select(key, "secs").distinct(), [key, "secs"], "left_anti"))
+    first = meet(room, "_long", "inner").groupBy(key, "secs").agg(F.min("_lo").alias("_first"))
+    spans = room.join(first, [key, "secs"], "left").join(small_or_plain(lengths), F.col(key) == F.col("_k"))
+    spans = spans.filter(F.col("_first").isNull() | (F.col("_first") >= F.col("secs") + F.col("length") + margin[1])).select(key, "secs", "length")
+    free = cut(spans.select(F.struct(key, "secs", "length").alias("event_id"), key, F.col("secs").alias("anchor"), (F.col("secs") + F.col("length")).alias("end")))
+    good = phase_counts(rows, free, key, coverage, width).filter("covered").select("event_id.*")
+    c = candidates.select(key, "row_id", F.col("start_dt").alias("c_dt"), "secs", F.floor(minute_of_day(F.col("start_dt")) / SLOT_MINUTES).cast("int").alias("_t"))
+    c = small_or_plain(cut(c.join(good, [key, "secs"])))
     m = minute_of_day(F.col("e_dt"))
-    e = events.select(F.col(key).alias("_k"), "event_id", F.col("start_dt").alias("e_dt"), F.col("secs").alias("e_secs"), "length")
+    e = events.select(F.col(key).alias("_k"), "event_id", F.col("start_dt").alias("e_dt"), F.col("secs").alias("e_secs"), F.col("length").alias("_length"))
     slots = F.sequence(F.floor((m - clock_limit) / SLOT_MINUTES).cast("int"), F.floor((m + clock_limit) / SLOT_MINUTES).cast("int"))
     e = e.withColumn("_s", F.explode(F.array_distinct(F.transform(slots, lambda s: F.pmod(s, F.lit(SLOTS))))))
-    c = candidates.select(key, "row_id", F.col("start_dt").alias("c_dt"), "secs", F.floor(minute_of_day(F.col("start_dt")) / SLOT_MINUTES).cast("int").alias("_t"))
     clock, days = clock_distance(F.col("e_dt"), F.col("c_dt")), F.abs(F.datediff("c_dt", "e_dt"))
-    x = c.join(e, (c[key] == e["_k"]) & (F.col("_t") == F.col("_s")) & (clock <= clock_limit) & (F.abs(F.col("secs") - F.col("e_secs")) >= least_distance))
+    x = e.join(c, (c[key] == e["_k"]) & (c["length"] == e["_length"]) & (F.col("_t") == F.col("_s")) & (clock <= clock_limit) & (F.abs(F.col("secs") - F.col("e_secs")) >= least_distance))
     x = x.select(key, "event_id", "e_secs", "length", "row_id", "secs", clock.alias("clock"), days.alias("days"))
-    x = x.withColumn("score", F.col("clock") + F.when(F.col("days") == 0, 60.0).otherwise(0.0) + 0.1 * F.col("days"))
-    own = [key, "secs", "length"]
-    spans = x.select(*own).distinct()
-    o = operations.select(F.col(key).alias("_k"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(buckets(F.col("lo"), F.col("hi"), width)).alias("_b"))
-    lo, hi = F.col("secs") - margin[0], F.col("secs") + F.col("length") + margin[1]
-    r = spans.withColumn("_c", F.explode(buckets(lo, hi, width)))
-    busy = r.join(o, (r[key] == o["_k"]) & (F.col("_c") == F.col("_b")) & (F.col("_lo") < hi) & (F.col("_hi") > lo), "left_semi").select(*own).distinct()
-    free = spans.join(busy, own, "left_anti").select(F.struct(*own).alias("event_id"), key, F.col("secs").alias("anchor"), (F.col("secs") + F.col("length")).alias("end"))
-    good = phase_counts(rows, free, key, coverage, width).filter("covered").select("event_id.*")
-    return x.join(good, own, "left_semi")
+    return x.withColumn("score", F.col("clock") + F.when(F.col("days") == 0, 60.0).otherwise(0.0) + 0.1 * F.col("days"))
 
 
 def match_ranked(pairs: DataFrame, n: int) -> DataFrame:
@@ -96,24 +110,41 @@ def match_ranked(pairs: DataFrame, n: int) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
-def match_greedy(pairs: DataFrame, key: str, radius: float) -> DataFrame:
+#: Pairs of a key that one task of a round settles, and the seconds of event starts that go together.
+PAIRS_A_ROUND, ROUND_STEP = 500_000, 3600
+
+
+def match_greedy(pairs: DataFrame, key: str, radius: float, most: int = PAIRS_A_ROUND) -> DataFrame:
     """One control for each event: in the order of their starts, events take the best of their pairs that is ``radius`` seconds or more from all taken before in the key.
 
-    In rounds: every event proposes its best pair that no earlier event's proposal of the round before blocks. The first n events are right after n rounds, and
-    proposals that repeat are the sequential choice; rounds are as many as events depend on each other in a row, mostly few. Each is one join by key
-    and stretch of time, so no task holds a key, and lineage is cut."""
-    pairs = cut(pairs.withColumn("_b", F.floor(F.col("secs") / radius).cast("long")))
-    rank = F.struct("e_secs", "event_id")
-    best = F.min_by(F.struct("e_secs", "length", "row_id", "secs", "clock", "days", "score", "_b"), F.struct("score", "secs", "row_id")).alias("x")
-    free, before = pairs, None
+    In rounds: of each key, the first events that have ``most`` pairs together (those of one hour at least) are settled one after the other in a task; then all pairs of later
+    events within ``radius`` of what was taken go. So no task holds a key, a round leaves less for the next, and rounds are at most a key's pairs over ``most`` and its hours."""
+    rest = cut(pairs.withColumn("_b", F.floor(F.col("secs") / radius).cast("long")).withColumn("_h", F.floor(F.col("e_secs") / ROUND_STEP).cast("long")))
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken: dict[int, list[float]] = {}
+        keep, event = [], None
+        x = pdf.sort_values(["e_secs", "event_id", "score", "secs", "row_id"])
+        for k, (e, at, b) in enumerate(zip(x["event_id"], x["secs"], x["_b"], strict=True)):
+            if e != event and all(abs(at - u) >= radius for d in (b - 1, b, b + 1) for u in taken.get(d, ())):
+                taken.setdefault(b, []).append(at)
+                keep.append(k)
+                event = e
+        return x.iloc[keep]
+
+    picks = []
     while True:
-        picks = cut(free.groupBy(key, "event_id").agg(best).select(key, "event_id", "x.*"))
-        if before is not None and picks.count() == before.count() and picks.join(before, [key, "event_id", "row_id"], "left_anti").isEmpty():
-            return picks.drop("_b")
+        n = rest.groupBy(key, "_h").agg(F.count("*").alias("_n")).withColumn("_to", F.sum("_n").over(Window.partitionBy(key).orderBy("_h")))  # the hours of a key
+        last = cut(n.filter((F.col("_to") <= most) | (F.col("_to") == F.col("_n"))).groupBy(F.col(key).alias("_k")).agg(F.max("_h").alias("_last")))
+        if last.isEmpty():
+            return reduce(DataFrame.unionByName, picks, rest).drop("_b", "_h")
+        met = rest.join(small_or_plain(last), F.col(key) == F.col("_k"))
+        now = cut(met.filter(F.col("_h") <= F.col("_last")).select(*rest.columns).groupBy(key).applyInPandas(settle, rest.schema))
+        picks.append(now)
         near = F.explode(F.array(*[F.col("_b") + d for d in (-1, 0, 1)])).alias("_near")
-        taken = small_or_plain(picks.select(F.col(key).alias("_k"), rank.alias("_rank"), F.col("secs").alias("_at"), near))
-        free = pairs.join(taken, (pairs[key] == taken["_k"]) & (pairs["_b"] == taken["_near"]) & (F.abs(pairs["secs"] - taken["_at"]) < radius) & (taken["_rank"] < F.struct(pairs["e_secs"], pairs["event_id"])), "left_anti")
-        before = picks
+        taken = small_or_plain(now.select(F.col(key).alias("_t"), F.col("secs").alias("_at"), near))
+        later = met.filter(F.col("_h") > F.col("_last")).select(*rest.columns)
+        rest = cut(later.join(taken, (later[key] == taken["_t"]) & (later["_b"] == taken["_near"]) & (F.abs(later["secs"] - taken["_at"]) < radius), "left_anti"))
 
 
 def phase_counts(rows: DataFrame, anchors: DataFrame, key: str, phases: Sequence[tuple], width: int = 86400) -> DataFrame:

@@ -156,6 +156,39 @@ def test_greedy_matching_in_rounds_is_the_sequential_choice(spark):
         assert got == want
 
 
+def sequential(rows):
+    want, used = set(), {}
+    for k, e, start in sorted({(r[0], r[1], r[5]) for r in rows}, key=lambda x: (x[0], x[2], x[1])):
+        free = [(r[3], r[4], r[2]) for r in rows if r[1] == e and all(abs(r[4] - u) >= 1200.0 for u in used.get(k, []))]
+        if free:
+            want.add((e, min(free)[2]))
+            used.setdefault(k, []).append(min(free)[1])
+    return want
+
+
+def test_greedy_matching_in_rounds_of_any_size(spark):
+    r = random.Random(5)
+    slots = [[600.0 * s for s in r.sample(range(60), 12)] for _ in range(2)]
+    rows = [(e % 2, e, 1000 * e + j, float(r.randrange(40)), at, 900.0 * (e // 3), 0.0, 0.0, 0) for e in range(80) for j, at in enumerate(r.sample(slots[e % 2], 5))]
+    pairs = spark.createDataFrame(rows, PAIR)
+    for most in (1, 40, 1000):
+        assert {(x["event_id"], x["row_id"]) for x in events.match_greedy(pairs, "k", 1200.0, most).collect()} == sequential(rows)
+    assert events.match_greedy(pairs.limit(0), "k", 1200.0).count() == 0
+
+
+def test_candidates_without_room_meet_no_event(spark):
+    def shuffled():
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(found.apply(k).shuffleWriteRecords() for k in range(found.size()))
+
+    at = F.timestamp_seconds("secs")
+    e = spark.range(2000).select(F.lit(1).alias("k"), F.col("id").alias("event_id"), (F.col("id") * 40.0).alias("secs"), F.lit(300.0).alias("length")).withColumn("start_dt", at)
+    c = spark.range(400).select(F.lit(1).alias("k"), F.col("id").alias("row_id"), (F.col("id") * 300.0).alias("secs")).withColumn("start_dt", at)
+    before = shuffled()
+    got = events.control_pairs(e, c, e.select("k", F.col("secs").alias("lo"), (F.col("secs") + 300.0).alias("hi")), c.select("k", "secs"), "k").collect()
+    assert got == [] and shuffled() - before < 50_000  # the 2,000 events and 400 candidates have over 100,000 pairs by the clock alone
+
+
 def test_phase_means_need_a_quarter_of_the_rows(spark):
     rows = spark.createDataFrame([(1, 10.0 * j, v, w) for j, (v, w) in enumerate([(1.0, 1.0), (None, 1.0), (float("nan"), 1.0), (3.0, 1.0), (9.0, 0.0), (5.0, None)])], "k int, secs double, value double, weight double")
     a = spark.createDataFrame([(7, 1, 0.0, 30.0)], "event_id int, k int, anchor double, end double")
