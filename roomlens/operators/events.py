@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.num import weighted_mean
 from ..functions.time import clock_distance, minute_of_day
-from .shared import cut, small_or_plain
+from .shared import BROADCAST_BYTES, cut, small_or_plain
 
 
 def buckets(lo: Column, hi: Column, width: int) -> Column:
@@ -92,7 +92,7 @@ def control_pairs(events: DataFrame, candidates: DataFrame, operations: DataFram
     spans = room.join(first, [key, "secs"], "left").join(small_or_plain(lengths), F.col(key) == F.col("_k"))
     spans = spans.filter(F.col("_first").isNull() | (F.col("_first") >= F.col("secs") + F.col("length") + margin[1])).select(key, "secs", "length")
     free = cut(spans.select(F.struct(key, "secs", "length").alias("event_id"), key, F.col("secs").alias("anchor"), (F.col("secs") + F.col("length")).alias("end")))
-    good = phase_counts(rows, free, key, coverage, width).filter("covered").select("event_id.*")
+    good = phase_counts(rows, small_or_plain(free, BROADCAST_BYTES // 8), key, coverage, width).filter("covered").select("event_id.*")
     c = candidates.select(key, "row_id", F.col("start_dt").alias("c_dt"), "secs", F.floor(minute_of_day(F.col("start_dt")) / SLOT_MINUTES).cast("int").alias("_t"))
     c = small_or_plain(cut(c.join(good, [key, "secs"])))
     m = minute_of_day(F.col("e_dt"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import candidate_slot
 from ..operators import events, models, stats
-from ..operators.shared import cut
+from ..operators.shared import BROADCAST_BYTES, cut, small_or_plain
 from .adapters import OBS_SQL, obs
 from .registry import query
 
@@ -84,7 +84,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, m = F.col("quality"), F.col("metric")
     values = (("metric", m, q), ("log_metric", F.log(1 + F.greatest(m, F.when(m.isNotNull(), F.lit(0.0)))), q), ("active", F.when(F.col("zone").isin("feeding", "open_movement"), 1.0).otherwise(0.0), F.when(m.isNull(), 0.0).otherwise(1.0)))
     rows = o.select(KEY, "secs", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), v.cast("double").alias("value"), w.cast("double").alias("weight")) for n, v, w in values])).alias("f")).select(KEY, "secs", "f.*")
-    means = cut(events.phase_means(rows, side("true", "e_secs").unionByName(side("pseudo", "secs")), KEY, PHASES, EVERY, width=7200, by=["feature"]))
+    sides = small_or_plain(side("true", "e_secs").unionByName(side("pseudo", "secs")), BROADCAST_BYTES // 8)  # each is in a few phases and buckets
+    means = cut(events.phase_means(rows, sides, KEY, PHASES, EVERY, width=7200, by=["feature"]))
     of = lambda name: means.filter(F.col("event_id.side") == name).select(F.col("event_id.own").alias("event_id"), "feature", "phase", "mean")
     x = events.paired(of("true"), of("pseudo"), ["feature"], tuple(p[0] for p in PHASES))
     return x.join(picks.select("event_id", KEY, F.timestamp_seconds("e_secs").cast("date").alias("date")), "event_id")
