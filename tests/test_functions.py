@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from roomlens.functions import num, text, time
-from roomlens.operators import environment, events, stats, windows, zones
+from roomlens.operators import audio, environment, events, stats, windows, zones
 
 
 def one(spark, **columns):
@@ -110,6 +110,19 @@ def test_weighted_mean_floor(spark):
     assert r["a"] == 2.0 and r["b"] is None
 
 
+def test_masks_are_summed_without_a_row_for_each(spark):
+    r = random.Random(3)
+    rows = [(k, i, r.random() < 0.7, r.choice([True, False, None])) for k in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, i int, a boolean, b boolean")
+    s = audio.mask_summary(df, ["k"], ["i"], ["a", "b"], 0.1, 30.0, {"brief": ("a", 5)})
+    assert "Generate" not in s._jdf.queryExecution().optimizedPlan().toString()
+    for x in s.collect():
+        for name, at, most in (("a", 2, 99), ("b", 3, 99), ("brief", 2, 5)):
+            sizes = [n for on, g in itertools.groupby(row[at] for row in rows if row[0] == x["k"]) if on and (n := len(list(g))) <= most]
+            assert math.isclose(x[f"{name}_occupancy"], sum(sizes) * 0.1 / 30) and math.isclose(x[f"{name}_rate"], len(sizes) * 2)
+            assert math.isclose(x[f"{name}_mean_duration"], sum(sizes) * 0.1 / len(sizes) if sizes else 0.0)
+
+
 def test_weights_that_sum_to_the_floor_reach_it_in_any_order(spark):
     assert 0.06 + 0.57 + 0.37 < 1.0 <= 0.57 + 0.37 + 0.06  # the last bit hangs on the order
     for weights in itertools.permutations((0.06, 0.57, 0.37)):
