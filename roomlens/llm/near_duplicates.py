@@ -40,6 +40,8 @@ SHINGLE, PERCENT = 3, 90
 LOCAL, COMMON = 2, 1 << 20
 #: Most sets of a light list; most sets and shingles of a block of a heavy class.
 LIGHT, BLOCK_SETS, BLOCK_SHINGLES = 32, 128, 400_000
+#: Edges of one task of a component round.
+EDGES = 20_000
 #: Most sets of very many copies that are sent to all tasks.
 HOT_SETS = 200_000
 #: Sizes over this are never enumerated; it bounds the table of sizes sent to the driver.
@@ -241,18 +243,20 @@ def light_pairs(buckets: DataFrame, small: int, percent: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): connected components of edges (u, v), label the smallest node; large-star and small-star rounds until
-    nothing changes."""
+    nothing changes. A round has a task for each ``EDGES`` edges, as each task of each exchange leaves two files, however few its rows."""
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    parts = e.count() // EDGES + 1
+    e = e.coalesce(parts)
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = join_hot(both, low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = join_hot(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        e = cut(small)
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts)
+        large = join_hot(both, low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").coalesce(parts).distinct().coalesce(parts)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
+        small = join_hot(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").coalesce(parts).distinct()
+        e = cut(small.coalesce(parts))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

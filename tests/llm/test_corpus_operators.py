@@ -3,6 +3,7 @@
 import collections
 import functools
 import hashlib
+import os
 import re
 import zlib
 
@@ -861,3 +862,25 @@ def test_pipeline(spark, data):
 
 def pii_free(docs):
     return not any(pii.base_spans(r["text"]) for r in docs.select("text").collect())
+
+
+def test_component_rounds_leave_few_files(spark):
+    from roomlens.operators.shared import checkpoint_dir
+
+    folder = checkpoint_dir(spark).removeprefix("file://")
+
+    def files():
+        return sum(len(names) for _, _, names in os.walk(folder))
+
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        before = files()
+        edges = spark.createDataFrame([(k, k + 1) for k in range(300) if k % 100 != 99], "u long, v long")
+        got = {r["node"]: r["label"] for r in near_duplicates.components(edges).collect()}
+        assert got == {k: k // 100 * 100 for k in range(300)}
+        assert files() - before < 240  # one exchange of 60 tasks leaves 120 files, with their checksums
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
