@@ -7,10 +7,11 @@ equal are one node (a 64-bit fingerprint), so copies never meet pairwise. Links
 * small sets (up to the boundary): for each partner size the fixed-size subsets that a link needs are enumerated; two sets
   that share one link, so a bucket gives a star, not pairs;
 * larger sets: an inverted list for each shingle of the prefix that a link must touch, rare shingles first. A light list
-  (up to ``LIGHT`` sets) proposes pairs, filtered by size and position; a heavy list proposes a star. What is so connected is
-  a candidate class. A class is one task, or if large is cut into blocks of bounded size, of which only those of near sizes
-  meet, each two in a task of their own, which gives a spanning forest of its pairs. This is done twice: with parity
-  sketches, whose differing bits bound the difference of two sets from below, and in the classes that remain with the sets.
+  (up to ``LIGHT`` sets, of a size step of a longer one four times as many) proposes pairs, filtered by size and position and, pair by pair, by parity sketches, whose differing
+  bits bound the difference of two sets from below; so long texts that share a shingle by chance are not chained into one
+  class. A heavy list proposes a star; what stars connect is a class, whose pairs the sketches judge. What the judged pairs
+  connect is a candidate class, judged by the sets themselves. A class is one task, or if large is cut into blocks of bounded
+  size, of which only those of near sizes meet, each two in a task of their own, which gives a spanning forest of its pairs.
 
 The boundary is the size at which enumerating subsets stops being cheaper than prefix entries and their expected list work.
 Classes are connected components by rounds of large-star and small-star. The shingle order needs which shingles are common:
@@ -38,8 +39,8 @@ from .common import bound_batches, cut, join_hot, small_or_plain, trim, utf8, wi
 SHINGLE, PERCENT = 3, 90
 #: A partition names a shingle as common from so many documents on; so many are kept at most (16 bytes each).
 LOCAL, COMMON = 2, 1 << 20
-#: Most sets of a light list; most sets and shingles of a block of a heavy class.
-LIGHT, BLOCK_SETS, BLOCK_SHINGLES = 32, 128, 400_000
+#: Most sets of a light list, and times as many of a size step of a heavy list; most sets and shingles of a block of a heavy class.
+LIGHT, STEP_LIGHT, BLOCK_SETS, BLOCK_SHINGLES = 32, 4, 128, 400_000
 #: Edges of one task of a component round.
 EDGES = 20_000
 #: Most sets of very many copies that are sent to all tasks.
@@ -230,15 +231,31 @@ def entries(texts: DataFrame, common, small: int, shingle: int, percent: int) ->
 
 
 def light_pairs(buckets: DataFrame, small: int, percent: int) -> DataFrame:
-    """Pairs proposed by lists of at most LIGHT sets; ``buckets``: (key, sets array<struct<at,fp,n>>)."""
+    """Pairs proposed by lists of at most STEP_LIGHT * LIGHT sets; ``buckets``: (key, sets array<struct<at,fp,n>>)."""
     a, b = F.col("a"), F.col("b")
     one = buckets.select("sets", F.posexplode("sets").alias("i", "a"))
-    two = one.select("a", F.explode(F.slice("sets", F.col("i") + 2, LIGHT)).alias("b"))
+    two = one.select("a", F.explode(F.slice("sets", F.col("i") + 2, STEP_LIGHT * LIGHT)).alias("b"))
     least = F.ceil(F.lit(percent) * (a["n"] + b["n"]) / F.lit(100 + percent))
     rest = F.least(a["n"] - a["at"], b["n"] - b["at"])  # shingles from here on, this one included
     fits = (F.greatest(a["n"], b["n"]) * percent <= F.least(a["n"], b["n"]) * 100) & (F.greatest(a["n"], b["n"]) > small)
-    # at the first shared prefix shingle nothing before is shared, so the intersection is at most ``rest``
-    return two.filter(fits).select(F.least(a["fp"], b["fp"]).alias("u"), F.greatest(a["fp"], b["fp"]).alias("v"), (rest >= least).alias("ok")).groupBy("u", "v").agg(F.max("ok").alias("ok")).filter("ok").select("u", "v")
+    # at the first shared prefix shingle nothing before is shared, so the intersection is at most ``rest``; one list where it is enough proposes the pair
+    return two.filter(fits & (rest >= least)).select(F.least(a["fp"], b["fp"]).alias("u"), F.greatest(a["fp"], b["fp"]).alias("v")).distinct()
+
+
+def possible_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that sketches allow, each judged by itself. ``reps``: (fp, n, sk)."""
+    side = lambda k: reps.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("sk").alias(f"sk{k}"))
+    met = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "nv", "sku", "skv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = b.column(2).to_numpy() + b.column(3).to_numpy()
+            differ = np.fromiter(itertools.starmap(differing, zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)), np.int64, len(b))
+            at = pa.array(np.flatnonzero(differ <= allowed(size, percent)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["u", "v"])
+        trim()
+
+    return met.mapInArrow(run, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -287,13 +304,24 @@ def forest(ok: np.ndarray, left: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def allowed(size: np.ndarray, percent: int) -> np.ndarray:
+    """Most elements that differ between linked sets whose sizes sum to ``size``."""
+    return size - 2 * -(-percent * size // (100 + percent))
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits that differ between two sketches; a wider one is folded onto a narrower one by exclusive or."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def possible(sketches: list[bytes], n: np.ndarray, percent: int) -> np.ndarray:
     """Pairs that sizes and sketches allow. Bits that differ are at most the elements that differ, and a link allows so
     many of these; a wider sketch is folded onto a narrower one by exclusive or."""
     width = np.array([8 * len(x) for x in sketches])
     bits = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in sketches]
     size = n[:, None] + n[None, :]
-    allow = size - 2 * -(-percent * size // (100 + percent))
+    allow = allowed(size, percent)
     ok = np.zeros((len(n), len(n)), bool)
     for w in np.unique(width):
         rows = np.flatnonzero(width >= w)
@@ -436,12 +464,12 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     split = cut(split.select("*", F.count("*").over(part).alias("k"), F.min("fp").over(part).alias("x")))
     packed = F.sort_array(F.collect_list(F.struct("at", "fp", "n"))).alias("sets")
     light = lists.filter(F.col("k") <= LIGHT).groupBy("key").agg(packed).select("sets")
-    light = light.unionByName(split.filter(F.col("k").between(2, LIGHT)).groupBy("key", "c").agg(packed).select("sets"))
-    pairs = cut(light_pairs(light, small, percent))
-    heavy = split.filter(F.col("k") > LIGHT).select(F.col("fp").alias("u"), F.col("x").alias("v"))
-    # candidate classes are first cut down by sketches, a hundredth of the sets' size, then by the sets themselves
-    wide = components(pairs.unionByName(heavy)).join(reps, F.col("node") == F.col("fp")).select("label", "fp", "n", F.col("sk").alias("rest"))
+    light = light.unionByName(split.filter(F.col("k").between(2, STEP_LIGHT * LIGHT)).groupBy("key", "c").agg(packed).select("sets"))
+    heavy = split.filter(F.col("k") > STEP_LIGHT * LIGHT).select(F.col("fp").alias("u"), F.col("x").alias("v"))
+    # pairs, and classes of heavy lists, are first cut down by sketches, a hundredth of the sets' size, then by the sets themselves
+    wide = components(heavy).join(reps, F.col("node") == F.col("fp")).select("label", "fp", "n", F.col("sk").alias("rest"))
     near = solve(tasks(cut(wide), percent).withColumnRenamed("rest", "load"), lambda x, n: possible(x, n, percent))
+    near = near.unionByName(possible_pairs(light_pairs(light, small, percent), reps, percent))
     narrow = components(near).join(reps, F.col("node") == F.col("fp")).select("label", "fp", "n", F.col("rep").alias("rest"))
     exact = with_sets(cut(tasks(cut(narrow), percent)), texts, shingle)
     edges = solve(exact, lambda x, n: linked([np.frombuffer(b, np.uint64) for b in x], n, percent)).unionByName(stars)

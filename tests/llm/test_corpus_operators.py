@@ -3,6 +3,7 @@
 import collections
 import functools
 import hashlib
+import itertools
 import os
 import re
 import zlib
@@ -90,6 +91,38 @@ def test_classes_of_small_sets_and_heavy_lists(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == root
 
 
+def test_texts_that_share_shingles_by_chance_are_not_chained_into_one_class(spark, monkeypatch):
+    """Each text shares half of its words with the next, which links none: no task may meet them all."""
+    met = []
+
+    def counted(nodes, percent, tasks=near_duplicates.tasks):
+        met.extend(r["m"] for r in nodes.groupBy("label").agg(F.count("*").alias("m")).collect())
+        return tasks(nodes, percent)
+
+    monkeypatch.setattr(near_duplicates, "tasks", counted)
+    texts = [" ".join(f"w{j}" for j in range(100 * k, 100 * k + 200)) for k in range(30)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, texts[7] + " x"])], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.classes(df).collect()}
+    assert got == {k: 7 if k == 30 else k for k in range(31)}
+    assert max(met) == 2
+
+
+def test_sketches_of_pairs_are_those_of_classes():
+    """Pair by pair the same are possible as in one block, over sketches of unlike widths; linked sets always are."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k : k + n], rng.integers(0, 1 << 63, e).astype(np.uint64)])) for n, k, e in [(2100, 0, 0), (2040, 0, 20), (2000, 100, 0), (2060, 0, 60), (500, 0, 0), (540, 0, 5), (510, 0, 0)]]
+    n, sk = np.array([len(s) for s in sets]), [near_duplicates.sketch(s) for s in sets]
+    ok = near_duplicates.possible(sk, n, 90)
+    assert len({len(x) for x in sk}) > 1
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if 100 * min(n[i], n[j]) >= 90 * max(n[i], n[j]):  # as pairs are proposed
+            one = near_duplicates.differing(sk[i], sk[j]) <= near_duplicates.allowed(n[i] + n[j], 90)
+            assert one == ok[i, j]
+            both = len(np.intersect1d(sets[i], sets[j]))
+            assert one or 100 * both < 90 * (n[i] + n[j] - both)
+
+
 def test_classes_of_odd_rows(odd, empty):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates.classes(odd).collect()), key=str)
     assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3), (None, 1, None), (5, 1, 5)], key=str)
