@@ -18,6 +18,12 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """Rounded as the ROUND of DuckDB does it: the product with the power of ten to the nearest integer, halves away from zero. Spark's own goes by the shortest decimals
+    of ``x``, which differs where the product comes out as a half."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def reaches(total: Column, floor: float) -> Column:
     """Whether a sum is ``floor`` or more, to nine decimals: the last bits of a sum hang on the order of its rows, so one that is ``floor`` exactly may come out below."""
     return F.round(total, 9) >= floor

@@ -42,14 +42,21 @@ def phase_rows(rows: DataFrame, anchors: DataFrame, key: str, phases: Sequence[t
 
 
 def phase_means(rows: DataFrame, anchors: DataFrame, key: str, phases: Sequence[tuple], every: float, share: float = 0.25, least_weight: float = 1.0, width: int = 86400,
-                by: Sequence[str] = ()) -> DataFrame:
+                by: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
     """Weighted mean of each event and phase (and of each ``by``), and n, the rows with a value and a positive weight. Null below ``share`` of the rows that a
-    phase of its length has when one stands every ``every`` seconds, below one row, and below ``least_weight``."""
+    phase of its length has when one stands every ``every`` seconds, below one row, and below ``least_weight``. With ``order``, columns of ``rows``, a phase's rows are
+    summed one after the other in that order and the weights compared as they come out, so the last bits are those of SQL that reads its table in that order."""
     p = phase_rows(rows, anchors, key, phases, width)
     v, w = F.col("value"), F.col("weight")
     valid = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")) & (w > 0)
     need = F.coalesce(*[F.when(F.col("phase") == x[0], max(math.ceil(share * max(round((x[2] - x[1]) / every), 1)), 1)) for x in phases])
-    m = p.groupBy("event_id", "phase", *by).agg(weighted_mean(F.when(valid, v), w, least_weight).alias("mean"), F.count(F.when(valid, 1)).alias("n"))
+    keys, n = ["event_id", "phase", *by], F.count(F.when(valid, 1)).alias("n")
+    if order:
+        own = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        p = p.select("*", F.sum(F.when(valid, w)).over(own).alias("_w"), F.sum(F.when(valid, v * w)).over(own).alias("_x"))
+        m = p.groupBy(*keys).agg(F.when(F.first("_w") >= least_weight, F.first("_x") / F.first("_w")).alias("mean"), n)
+    else:
+        m = p.groupBy(*keys).agg(weighted_mean(F.when(valid, v), w, least_weight).alias("mean"), n)
     return m.withColumn("mean", F.when(F.col("n") >= need, F.col("mean")))
 
 

@@ -53,19 +53,19 @@ pm AS (SELECT event_id, phase, CASE WHEN COUNT(w) >= need AND SUM(w) >= 1.0 THEN
 
 def means(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = obs(spark, sf_dir)
-    rows = o.select("user_id", "secs", F.col("metric").alias("value"), F.col("quality").alias("weight"))
-    return events.phase_means(rows, anchors(o), "user_id", PHASES, EVERY)
+    rows = o.select("user_id", "secs", "window_id", F.col("metric").alias("value"), F.col("quality").alias("weight"))
+    return events.phase_means(rows, anchors(o), "user_id", PHASES, EVERY, order=["window_id"])
 
 
 @query(f"WITH {OBS_SQL}, {EVENT_SQL}, {PHASE_SQL} SELECT event_id, phase, ROUND(mean, 6) AS mean, n FROM pm")
 def phase_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return means(spark, sf_dir).withColumn("mean", F.round("mean", 6))
+    return means(spark, sf_dir).withColumn("mean", num.rounded(F.col("mean")))
 
 
 @query(f"""WITH {OBS_SQL}, {EVENT_SQL}, {PHASE_SQL}, w AS (SELECT event_id, MAX(mean) FILTER (phase = 'before') AS b, MAX(mean) FILTER (phase = 'during') AS d,
  MAX(mean) FILTER (phase = 'after') AS a FROM pm GROUP BY event_id) SELECT event_id, ROUND(d - b, 6) AS immediate, ROUND(a - b, 6) AS recovery FROM w""")
 def difference_in_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.differences(means(spark, sf_dir)).select("event_id", F.round("immediate", 6).alias("immediate"), F.round("recovery", 6).alias("recovery"))
+    return events.differences(means(spark, sf_dir)).select("event_id", num.rounded(F.col("immediate")).alias("immediate"), num.rounded(F.col("recovery")).alias("recovery"))
 
 
 @query(f"""WITH {OBS_SQL}, {EVENT_SQL}, b AS (SELECT unnest(range(-10, 10)) AS bin)
@@ -91,7 +91,7 @@ def isolation_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = a.withColumn("near", near).select("event_id", "near", gaps).filter((F.col("s.gap") == 0) | (F.col("near") >= F.col("s.gap")))
     d = events.differences(means(spark, sf_dir)).select("event_id", "immediate")
     x = kept.select("event_id", "s.setting").join(d, "event_id", "left")
-    return x.groupBy("setting").agg(F.count("*").alias("events"), F.count("immediate").alias("usable"), F.round(F.avg("immediate"), 6).alias("mean_immediate"),
+    return x.groupBy("setting").agg(F.count("*").alias("events"), F.count("immediate").alias("usable"), num.rounded(F.avg("immediate")).alias("mean_immediate"),
                                     F.signum(F.avg("immediate")).cast("int").alias("direction"))
 
 

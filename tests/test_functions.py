@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from roomlens.functions import num, text, time
@@ -210,6 +211,27 @@ def test_phase_means_need_a_quarter_of_the_rows(spark):
     assert [r["mean"] for r in one(5.0)] == [None, None]  # 2 of 16 rows and 1 of 6 are less than a quarter
 
 
+def test_phase_means_sum_in_the_order_given(spark):
+    """Weights that are 1.0 by their decimals reach it or not by the order in which they are added; so do the last bits of a mean."""
+    weights = (0.06, 0.57, 0.37)
+    a = spark.createDataFrame([(7, 1, 0.0)], "event_id int, k int, anchor double")
+    for order in itertools.permutations(range(3)):
+        own = [weights[j] for j in order]
+        rows = spark.createDataFrame([(1, float(j), j, 8.1 + j, w) for j, w in enumerate(own)], "k int, secs double, id int, value double, weight double").repartition(3, "secs")
+        r = events.phase_means(rows, a, "k", [("all", 0.0, 80.0)], 40.0, order=["id"]).first()
+        total, x = 0.0, 0.0
+        for j, w in enumerate(own):
+            total, x = total + w, x + (8.1 + j) * w
+        assert r["n"] == 3 and r["mean"] == (x / total if total >= 1.0 else None)
+
+
+def test_rounded_is_that_of_the_product(spark):
+    x = [17.0615625, 17.061562499999998, -0.0000025, 2.5e-7, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").coalesce(1).select(num.rounded(F.col("x"))).collect()]
+    assert got == [v if v is None else math.copysign(math.floor(abs(v * 1e6) + 0.5), v) / 1e6 for v in x]
+    assert got == [duckdb.sql(f"SELECT ROUND(CAST({'NULL' if v is None else repr(v)} AS DOUBLE), 6)").fetchall()[0][0] for v in x]
+
+
 def test_safe_corr_of_a_constant(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double")
     assert df.agg(num.safe_corr(F.col("x"), F.col("y")).alias("r")).first()["r"] is None
